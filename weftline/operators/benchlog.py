@@ -1,6 +1,6 @@
 """Benchmark logs: parsing, summaries, rankings, the configuration grid and its pruning.
 
-Lines are (file, line_no, text); a configuration is encoded in the file name.
+Logs are (file, content); a configuration is encoded in the file name.
 """
 
 from __future__ import annotations
@@ -10,7 +10,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .ordered import ranked, running_sums, windowed
+from .ordered import ranked
 
 # Measured steps, steps of a whole run, needed step times.
 FIRST_STEP, LAST_STEP = 2, 11
@@ -29,13 +29,12 @@ GRID = {
 }
 AXES = list(GRID)
 
-_MARKERS = "Step stats:|optimizer_step:|global_step_time:|max_cuda_ram:"
+_MEASURED = r"optimizer_step: (?:[2-9]|1[01])(?![0-9])"
 
 
 def read_logs(spark: SparkSession, path: str) -> DataFrame:
-    """Log files with true line numbers. One log is small, so it is read whole and split."""
-    whole = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_name").alias("file"), "value")
-    return whole.select("file", F.posexplode(F.split("value", "\n")).alias("line_no", "text")).withColumn("line_no", F.col("line_no").cast("long"))
+    """Log files (file, content). One log is small, so it is one row."""
+    return spark.read.text(path, wholetext=True).select(F.col("_metadata.file_name").alias("file"), F.col("value").alias("content"))
 
 
 def _number(text: Column, pattern: str, kind: str = "double") -> Column:
@@ -56,50 +55,31 @@ def elapsed_seconds(text: Column, label: str) -> Column:
     return F.when(unit == "ms", part(1) / 1000).when(unit != "", clock)
 
 
-def log_steps(lines: DataFrame) -> DataFrame:
-    """Step, time and memory per step block of each log.
+def _parse_block(block: Column, number: Column) -> Column:
+    """Step, time and memory of the text after one ``Step stats:``.
 
-    ``Step stats:`` opens a block; its first step number inside the measured range counts, then its
-    first time at or after that line. Memory is read until the last measured step has its time.
-    Only lines with a marker are looked at.
+    The first step number inside the measured range counts, then the first time on that line or later.
     """
-    text = F.col("text")
-    marked = lines.where(text.rlike(_MARKERS)).select("file", "line_no", "text")
-    opens = text.contains("Step stats:").cast("long")
-    numbered = running_sums(marked, ["line_no"], {"before": opens}, keys=["file"])
-    step = _number(text, "optimizer_step: ([0-9]+)", "int")
-    parsed = numbered.select(
-        "file",
-        "line_no",
-        (F.col("before") + opens).alias("block"),
-        F.when(step.between(FIRST_STEP, LAST_STEP), step).alias("step"),
-        elapsed_seconds(text, "global_step_time").alias("time"),
-        _number(text, r"max_cuda_ram: ([0-9.]+) GB").alias("ram"),
-    )
-    heads = (
-        parsed.where(F.col("step").isNotNull())
-        .groupBy("file", "block")
-        .agg(F.min("line_no").alias("head_line"), F.min_by("step", "line_no").alias("step"))
-    )
-    timed = (
-        parsed.where(F.col("time").isNotNull())
-        .select("file", "block", "line_no", "time")
-        .join(heads, ["file", "block"])
-        .where(F.col("line_no") >= F.col("head_line"))
-        .groupBy("file", "block", "step")
-        .agg(F.min_by("time", "line_no").alias("time"), F.min("line_no").alias("time_line"))
-    )
-    stops = timed.where(F.col("step") == LAST_STEP).groupBy("file").agg(F.min("time_line").alias("stop"))
-    ram = (
-        parsed.where(F.col("ram").isNotNull())
-        .select("file", "block", "line_no", "ram")
-        .join(stops, "file", "left")
-        .where(F.col("stop").isNull() | (F.col("line_no") <= F.col("stop")))
-        .groupBy("file", "block")
-        .agg(F.max("ram").alias("ram"))
-    )
-    kept = timed.join(stops, "file", "left").where(F.col("stop").isNull() | (F.col("time_line") <= F.col("stop")))
-    return kept.select("file", "block", "step", "time").join(ram, ["file", "block"], "full").select("file", "block", "step", "time", "ram")
+    tail = F.regexp_extract(block, rf"(?s)([^\n]*{_MEASURED}.*)", 1)
+    step = _number(tail, "optimizer_step: ([0-9]+)", "int")
+    time = elapsed_seconds(tail, "global_step_time")
+    # after the time of the last measured step nothing more is read
+    last = (step == LAST_STEP) & time.isNotNull()
+    read = F.when(last, F.regexp_extract(block, r"(?s)^(.*?global_step_time: [^\n]*)", 1)).otherwise(block)
+    rams = F.transform(F.regexp_extract_all(read, F.lit(r"max_cuda_ram: ([0-9.]+) GB"), F.lit(1)), lambda r: r.try_cast("double"))
+    return F.struct(number.cast("long").alias("block"), step.alias("step"), time.alias("time"), F.array_max(rams).alias("ram"), last.alias("last"))
+
+
+def log_steps(logs: DataFrame) -> DataFrame:
+    """Step, time and memory per step block of each log (file, content), until the last measured step has its time.
+
+    A log is parsed inside its row, so there is no shuffle however many logs there are.
+    """
+    parsed = logs.select("file", F.transform(F.split("content", "Step stats:"), _parse_block).alias("blocks"))
+    stop = F.array_min(F.transform(F.filter("blocks", lambda b: b["last"]), lambda b: b["block"]))
+    kept = F.filter("blocks", lambda b: (b["time"].isNotNull() | b["ram"].isNotNull()) & (F.col("stop").isNull() | (b["block"] <= F.col("stop"))))
+    rows = parsed.withColumn("stop", stop).select("file", F.explode(kept).alias("b"))
+    return rows.select("file", "b.block", "b.step", "b.time", "b.ram")
 
 
 def config_columns(name: Column) -> dict[str, Column]:
@@ -115,14 +95,12 @@ def config_columns(name: Column) -> dict[str, Column]:
     }
 
 
-def log_config(lines: DataFrame) -> DataFrame:
+def log_config(logs: DataFrame) -> DataFrame:
     """One row per log; the device count comes from its content first, from its name second."""
-    stated = _number(F.col("text"), r"args\.num_devices=([0-9]+)", "int")
-    files = lines.groupBy("file").agg(F.min_by(stated, F.when(stated.isNotNull(), F.col("line_no"))).alias("stated"))
     columns = config_columns(F.col("file"))
-    columns["devices"] = F.coalesce(F.col("stated"), columns["devices"])
+    columns["devices"] = F.coalesce(_number(F.col("content"), r"args\.num_devices=([0-9]+)", "int"), columns["devices"])
     columns["precision"] = F.when(columns["precision"] == "", "unknown").otherwise(columns["precision"])
-    return files.select("file", *[c.alias(n) for n, c in columns.items()])
+    return logs.select("file", *[c.alias(n) for n, c in columns.items()])
 
 
 def run_summary(steps: DataFrame, configs: DataFrame) -> DataFrame:
@@ -168,11 +146,7 @@ def speedup(best: DataFrame) -> DataFrame:
 def ranked_report(summary: DataFrame) -> DataFrame:
     """Runs with their place by hours inside (devices, precision), out of memory last."""
     hours = F.when(F.col("oom"), F.lit(float("inf"))).otherwise(F.col("gpu_hours"))
-    return ranked_rows(summary.withColumn("_hours", hours)).drop("_hours")
-
-
-def ranked_rows(rows: DataFrame) -> DataFrame:
-    return ranked(rows, ["_hours", "file"], "place", keys=["devices", "precision"])
+    return ranked(summary.withColumn("_hours", hours), ["_hours", "file"], "place", keys=["devices", "precision"]).drop("_hours")
 
 
 def config_grid(spark: SparkSession) -> DataFrame:
@@ -212,16 +186,12 @@ def dominated(grid: DataFrame, failed: DataFrame) -> DataFrame:
     )
 
 
-def log_oom(lines: DataFrame) -> DataFrame:
+def log_oom(logs: DataFrame) -> DataFrame:
     """Logs with too few lines that open a block and are followed by a step number on the next line."""
-    text = F.col("text")
-    # the line before is found through blocks of line numbers, so one long log is no single window
-    flagged = lines.select("file", "line_no", text.contains("Step stats:").alias("opens"), text.contains("optimizer_step:").alias("numbers"))
-
-    def before(frame) -> dict[str, Column]:
-        return {"_seen": F.first("opens").over(frame), "_rows": F.count(F.lit(1)).over(frame)}
-
-    paired = windowed(flagged, ["file"], "line_no", 2, before)
-    pairs = F.count_if(F.col("numbers") & F.col("_seen") & (F.col("_rows") == 2))
-    return paired.groupBy("file").agg(pairs.alias("pairs")).withColumn("oom", F.col("pairs") < NEEDED_TIMES)
-
+    lines = F.col("lines")
+    follows = F.filter(
+        F.transform(lines, lambda text, i: text.contains("optimizer_step:") & F.coalesce(F.get(lines, i - 1).contains("Step stats:"), F.lit(False))),
+        lambda hit: hit,
+    )
+    pairs = F.size(follows).cast("long")
+    return logs.select("file", F.split("content", "\n").alias("lines")).select("file", pairs.alias("pairs"), (pairs < NEEDED_TIMES).alias("oom"))

@@ -48,6 +48,9 @@ def _blocked(queries: DataFrame, keys: DataFrame, run: Callable, schema: str) ->
     q = q.withColumn("_last", k_last).withColumn("_kb", F.explode(F.sequence(F.lit(0).cast("long"), "_last"))).drop("_last")
     k = k.withColumn("_last", q_last).withColumn("_qb", F.explode(F.sequence(F.lit(0).cast("long"), "_last"))).drop("_last")
 
+    # fresh column identities: both sides may come from the same table
+    k = k.select(*[F.col(c).alias(c) for c in k.columns])
+
     def pair(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         if left.empty or right.empty:
             return pd.DataFrame({c.split()[0]: [] for c in schema.split(", ")})

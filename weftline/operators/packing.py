@@ -20,7 +20,9 @@ from pyspark.sql import functions as F
 
 from ..functions.constants import SHUFFLE_SEED
 from ..functions.draws import order_key
-from .ordered import KEY_DIGITS, key_shard
+from .ordered import key_shard
+
+SHARD_DOCS = 1 << 19
 
 _REPORT = "shard string, low long, high long, out long, closed long, absolute boolean"
 _START = "shard string, carry long, first_chunk long, chunks long"
@@ -89,14 +91,25 @@ def _walk_shard(docs: pd.DataFrame, start: pd.DataFrame, block: int) -> pd.DataF
     return walked[chunk < int(start["chunks"].iloc[0])]
 
 
+def shard_digits(rows: int) -> int:
+    """Hexadecimal digits that leave about SHARD_DOCS documents per shard, and some parallelism for few documents."""
+    digits = 1
+    while rows > SHARD_DOCS * 16**digits:
+        digits += 1
+    return digits
+
+
 def pack_greedy(
-    docs: DataFrame, block: int, seed: int = SHUFFLE_SEED, skip_last: bool = False, digits: int = KEY_DIGITS
+    docs: DataFrame, block: int, seed: int = SHUFFLE_SEED, skip_last: bool = False, digits: int | None = None
 ) -> DataFrame:
     """Members of every sample: (sample_id, doc_id, order) from documents (doc_id, len).
 
     Members of a sample follow ``order``. Packed samples have even ids in closing order, a document
     longer than the block has the odd id 2 * doc_id + 1. The chunk still open at the end is dropped.
+    The result does not depend on ``digits``, the key digits that make a shard: unset, it follows the row count.
     """
+    if digits is None:
+        digits = shard_digits(docs.count())
     docs = docs.select("doc_id", F.col("len").cast("long").alias("len"))
     if skip_last:
         last = docs.agg(F.max("doc_id").alias("last")).scalar()
@@ -107,7 +120,7 @@ def pack_greedy(
 
     reports = short.groupBy("shard").applyInPandas(lambda pdf: _report_shard(pdf, block), _REPORT)
     # one group of at most (block + 2) rows per shard: bounded by block and 16 ** digits, not by the data
-    starts = reports.groupBy(F.lit(0)).applyInPandas(_chain_reports, _START)
+    starts = reports.withColumn("all", F.lit(0)).groupBy("all").applyInPandas(_chain_reports, _START)
     walked = (
         short.groupBy("shard")
         .cogroup(starts.groupBy("shard"))

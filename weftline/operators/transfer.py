@@ -22,7 +22,8 @@ def padded_targets(targets: DataFrame, first_id: int, multiple: int) -> DataFram
     filler = (
         targets.agg(F.count(F.lit(1)).alias("n"))
         .where(size < wanted)
-        .select(F.lit(None).cast("string").alias("token"), F.explode(F.sequence(size, wanted - 1)).cast("int").alias("id"))
+        .select(F.explode(F.sequence(size, wanted - 1)).alias("id"))
+        .select(F.lit(None).cast("string").alias("token"), F.col("id").cast("int").alias("id"))
     )
     return targets.select("token", F.col("id").cast("int").alias("id")).unionByName(filler)
 

@@ -165,8 +165,8 @@ def tensor_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def log_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Events rendered as benchmark logs: twelve steps per file, files over the configurations in turn.
+def log_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events rendered as benchmark logs (file, content): twelve steps per file, files over the configurations in turn.
 
     Every second log wraps its blocks over three lines; demanding configurations stop after step 5.
     """
@@ -201,10 +201,10 @@ def log_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
     first = F.when(F.col("f") % 3 == 0, F.concat(F.lit("args.num_devices="), "devices")).otherwise(F.lit("starting"))
     lines_of = F.when(F.col("step") == 1, F.concat(F.array(first), body)).otherwise(body)
-    width = F.when(wrapped, 3).otherwise(1)
-    start = F.when(F.col("step") == 1, 0).otherwise(1 + (F.col("step") - 1) * width)
-    flat = kept.select(name.alias("file"), start.alias("start"), F.posexplode(lines_of).alias("pos", "text"))
-    return flat.select("file", (F.col("start") + F.col("pos")).cast("long").alias("line_no"), "text")
+    text = kept.select(name.alias("file"), "step", F.array_join(lines_of, "\n").alias("text"))
+    # twelve events make one log
+    parts = text.groupBy("file").agg(F.array_sort(F.collect_list(F.struct("step", "text"))).alias("parts"))
+    return parts.select("file", F.array_join(F.transform("parts", lambda p: p["text"]), "\n").alias("content"))
 
 
 def scored(spark: SparkSession, sf_dir: str, size: int = SMALL_VOCAB, batch: int = 16, clip: int | None = None) -> DataFrame:

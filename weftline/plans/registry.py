@@ -17,7 +17,7 @@ from ..functions.text import pieces
 from ..operators import aligned, benchlog, bpe, corpus, encode, evaluate, index, overlap, packing
 from ..operators import samples as shaping
 from ..operators import scripts, splits, telemetry, tensors, transfer, vocab
-from ..session import fresh_folder
+from ..session import fresh_folder, spread
 from ..sources import corpora
 from ..sources.tables import materialise
 from ..streaming import ingest
@@ -371,7 +371,10 @@ def sample_contiguous(spark, sf_dir):
 
 @query
 def segment_lengths(spark, sf_dir):
-    return shaping.segment_lengths(_packed(spark, sf_dir, True).select("sample_id", "segment_ids"))
+    """Over the written samples, as a trainer would read them."""
+    inputs = [f"{sf_dir}/documents.parquet"]
+    samples = materialise(spark, "packed", {"block": BLOCK, "vocab": derived.SMALL_VOCAB}, inputs, lambda: _packed(spark, sf_dir, True))
+    return shaping.segment_lengths(samples.select("sample_id", "segment_ids"))
 
 
 @query
@@ -392,7 +395,7 @@ def label_mask(spark, sf_dir):
 
 
 def _target(spark, sf_dir) -> DataFrame:
-    return derived.language_vocab(spark, sf_dir, "de").select("token", "id")
+    return spread(derived.language_vocab(spark, sf_dir, "de").select("token", "id"))
 
 
 def _source(spark, sf_dir) -> DataFrame:
@@ -556,18 +559,18 @@ def tensor_groups(spark, sf_dir):
 
 
 def _summary(spark, sf_dir) -> DataFrame:
-    lines = derived.log_lines(spark, sf_dir)
-    return benchlog.run_summary(benchlog.log_steps(lines), benchlog.log_config(lines))
+    logs = derived.log_files(spark, sf_dir)
+    return benchlog.run_summary(benchlog.log_steps(logs), benchlog.log_config(logs))
 
 
 @query
 def log_steps(spark, sf_dir):
-    return benchlog.log_steps(derived.log_lines(spark, sf_dir))
+    return benchlog.log_steps(derived.log_files(spark, sf_dir))
 
 
 @query
 def log_config(spark, sf_dir):
-    return benchlog.log_config(derived.log_lines(spark, sf_dir))
+    return benchlog.log_config(derived.log_files(spark, sf_dir))
 
 
 @query
@@ -595,9 +598,9 @@ def ranked_report(spark, sf_dir):
 @query
 def config_grid(spark, sf_dir):
     """The grid with the logs and measured steps found for each configuration."""
-    lines = derived.log_lines(spark, sf_dir)
-    steps = benchlog.log_steps(lines).groupBy("file").agg(F.count("time").alias("times"))
-    runs = benchlog.log_config(lines).join(steps, "file", "left")
+    logs = derived.log_files(spark, sf_dir)
+    steps = benchlog.log_steps(logs).groupBy("file").agg(F.count("time").alias("times"))
+    runs = benchlog.log_config(logs).join(steps, "file", "left")
     found = runs.groupBy(*benchlog.AXES).agg(F.count(F.lit(1)).alias("logs"), F.sum("times").alias("times"))
     grid = benchlog.config_grid(spark).join(found, benchlog.AXES, "left")
     return grid.select(
@@ -614,7 +617,7 @@ def dominated(spark, sf_dir):
 
 @query
 def log_oom(spark, sf_dir):
-    return benchlog.log_oom(derived.log_lines(spark, sf_dir))
+    return benchlog.log_oom(derived.log_files(spark, sf_dir))
 
 
 # --- streams ---
@@ -664,9 +667,13 @@ def stream_throughput(spark, sf_dir):
 
 def german_packing(spark: SparkSession, sf_dir: str, block: int = BLOCK) -> DataFrame:
     """How many packed samples does the German corpus give, and how full are they?"""
-    german = corpus.normalise_text(corpora.adapt(derived.texts(spark, sf_dir), "mc4", "de")).select("doc_id", "text")
-    words = vocab.build_vocab(vocab.word_freq(german))
-    tokens = encode.encode_corpus(german, encode.vocab_encoder(words))
+
+    def build() -> DataFrame:
+        german = corpus.normalise_text(corpora.adapt(derived.texts(spark, sf_dir), "mc4", "de")).select("doc_id", "text")
+        words = vocab.build_vocab(vocab.word_freq(german))
+        return encode.encode_corpus(german, encode.vocab_encoder(words))
+
+    tokens = materialise(spark, "german_tokens", {}, [f"{sf_dir}/documents.parquet"], build)
     members = packing.pack_greedy(tokens, block)
     shaped = shaping.packed_samples(members, tokens, block, bos=True, eos=False, segment_mask=True)
     scored = F.size(F.filter("labels", lambda v: v != -1))
