@@ -19,11 +19,21 @@ def hash_bucket(key: Column, buckets: int) -> Column:
     return F.pmod(F.conv(F.substring(key, 1, 8), 16, 10).cast("long"), F.lit(buckets).cast("long"))
 
 
-def _uniform(key: Column, start: int) -> Column:
-    return (F.conv(F.substring(key, start, 8), 16, 10).cast("double") + F.lit(0.5)) / F.lit(4294967296.0)
+def standard_normals(seed: int, ident: Column, count: Column) -> Column:
+    """Array of ``count`` Box-Muller draws keyed by (seed, ident, position).
 
+    One md5 gives four uniforms and with them two pairs of draws, so a vector costs a quarter of a digest per value.
+    """
+    blocks = F.sequence(F.lit(0), F.floor((count - 1) / 4).cast("int"))
+    digests = F.transform(blocks, lambda b: order_key(seed, ident, b))
 
-def standard_normal(seed: int, *cols) -> Column:
-    """Box-Muller draw keyed by (seed, identifiers)."""
-    key = order_key(seed, *cols)
-    return F.sqrt(F.lit(-2.0) * F.ln(_uniform(key, 1))) * F.cos(F.lit(2.0 * math.pi) * _uniform(key, 9))
+    def uniform(key: Column, start: int) -> Column:
+        return (F.conv(F.substring(key, start, 8), 16, 10).cast("double") + F.lit(0.5)) / F.lit(4294967296.0)
+
+    def pairs(key: Column, start: int) -> Column:
+        radius = F.sqrt(F.lit(-2.0) * F.ln(uniform(key, start)))
+        return F.struct(radius.alias("r"), (F.lit(2.0 * math.pi) * uniform(key, start + 8)).alias("a"))
+
+    polar = F.flatten(F.transform(digests, lambda key: F.array(pairs(key, 1), pairs(key, 17))))
+    draws = F.flatten(F.transform(polar, lambda p: F.array(p["r"] * F.cos(p["a"]), p["r"] * F.sin(p["a"]))))
+    return F.slice(draws, F.lit(1), count)

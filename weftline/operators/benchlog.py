@@ -42,32 +42,54 @@ def _number(text: Column, pattern: str, kind: str = "double") -> Column:
     return F.regexp_extract(text, pattern, 1).try_cast(kind)
 
 
-def elapsed_seconds(text: Column, label: str) -> Column:
-    """Seconds of ``label: value`` as printed: 5ms, 1.23s, 1:05m, 1:00:05h or 1:02:03:04d."""
-    found = F.regexp_extract(text, label + r": ([0-9:.]+(?:ms|s|m|h|d))", 1)
-    unit = F.regexp_extract(found, "(ms|s|m|h|d)$", 1)
-    parts = F.split(F.regexp_replace(found, "(ms|s|m|h|d)$", ""), ":")
+_CLOCK = r"global_step_time: ([0-9:.]+(?:ms|s|m|h|d))"
+
+
+def elapsed_seconds(printed: Column) -> Column:
+    """Seconds of a printed time: 5ms, 1.23s, 1:05m, 1:00:05h or 1:02:03:04d; null for an empty text."""
+    parts = F.split(F.regexp_replace(printed, "[a-z]+$", ""), ":")
 
     def part(from_end: int) -> Column:
         return F.coalesce(F.try_element_at(parts, F.lit(-from_end)).try_cast("double"), F.lit(0.0))
 
     clock = part(1) + 60 * part(2) + 3600 * part(3) + 86400 * part(4)
-    return F.when(unit == "ms", part(1) / 1000).when(unit != "", clock)
+    return F.when(printed.endswith("ms"), part(1) / 1000).when(printed != "", clock)
 
 
-def _parse_block(block: Column, number: Column) -> Column:
-    """Step, time and memory of the text after one ``Step stats:``.
+def _parse_blocks(content: Column) -> Column:
+    """Step, time and memory of the text after each ``Step stats:``.
 
     The first step number inside the measured range counts, then the first time on that line or later.
+    Each stage is its own transform, so a pattern runs once per block.
     """
-    tail = F.regexp_extract(block, rf"(?s)([^\n]*{_MEASURED}.*)", 1)
-    step = _number(tail, "optimizer_step: ([0-9]+)", "int")
-    time = elapsed_seconds(tail, "global_step_time")
-    # after the time of the last measured step nothing more is read
-    last = (step == LAST_STEP) & time.isNotNull()
-    read = F.when(last, F.regexp_extract(block, r"(?s)^(.*?global_step_time: [^\n]*)", 1)).otherwise(block)
-    rams = F.transform(F.regexp_extract_all(read, F.lit(r"max_cuda_ram: ([0-9.]+) GB"), F.lit(1)), lambda r: r.try_cast("double"))
-    return F.struct(number.cast("long").alias("block"), step.alias("step"), time.alias("time"), F.array_max(rams).alias("ram"), last.alias("last"))
+    cut = F.transform(
+        F.split(content, "Step stats:"),
+        lambda b, i: F.struct(i.cast("long").alias("block"), b.alias("text"), F.regexp_extract(b, rf"(?sm)^([^\n]*{_MEASURED}.*)", 1).alias("tail")),
+    )
+    found = F.transform(
+        cut,
+        lambda b: F.struct(
+            b["block"].alias("block"),
+            b["text"].alias("text"),
+            _number(b["tail"], "optimizer_step: ([0-9]+)", "int").alias("step"),
+            F.regexp_extract(b["tail"], _CLOCK, 1).alias("printed"),
+        ),
+    )
+
+    def read(b: Column) -> Column:
+        # after the time of the last measured step nothing more is read
+        last = (b["step"] == LAST_STEP) & (b["printed"] != "")
+        text = F.when(last, F.regexp_extract(b["text"], r"(?s)^(.*?global_step_time: [^\n]*)", 1)).otherwise(b["text"])
+        rams = F.transform(F.regexp_extract_all(text, F.lit(r"max_cuda_ram: ([0-9.]+) GB"), F.lit(1)), lambda r: r.try_cast("double"))
+        return F.struct(
+            b["block"].alias("block"),
+            b["step"].alias("step"),
+            elapsed_seconds(b["printed"]).alias("time"),
+            F.array_max(rams).alias("ram"),
+            F.coalesce(last, F.lit(False)).alias("last"),
+        )
+
+    return F.transform(found, read)
 
 
 def log_steps(logs: DataFrame) -> DataFrame:
@@ -75,7 +97,7 @@ def log_steps(logs: DataFrame) -> DataFrame:
 
     A log is parsed inside its row, so there is no shuffle however many logs there are.
     """
-    parsed = logs.select("file", F.transform(F.split("content", "Step stats:"), _parse_block).alias("blocks"))
+    parsed = logs.select("file", _parse_blocks(F.col("content")).alias("blocks"))
     stop = F.array_min(F.transform(F.filter("blocks", lambda b: b["last"]), lambda b: b["block"]))
     kept = F.filter("blocks", lambda b: (b["time"].isNotNull() | b["ram"].isNotNull()) & (F.col("stop").isNull() | (b["block"] <= F.col("stop"))))
     rows = parsed.withColumn("stop", stop).select("file", F.explode(kept).alias("b"))

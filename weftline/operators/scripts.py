@@ -42,19 +42,27 @@ def _bare(token: Column) -> Column:
 
 
 def token_script(tokens: DataFrame, table: DataFrame | None = None) -> DataFrame:
-    """Most frequent script of a token's characters, the first seen on a tie.
+    """Most frequent script of a token's characters, the first seen on a tie. Works inside the row.
 
     With a table the scripts are looked up by code point (an equi-join on at most 1,114,112 codes).
     """
-    chars = tokens.select("token", "id", F.posexplode(F.split(_bare(F.col("token")), "")).alias("pos", "char")).where(F.col("char") != "")
+    chars = F.filter(F.split(_bare(F.col("token")), ""), lambda c: c != "")
     if table is None:
-        named = chars.withColumn("script", script_of(F.col("char")))
+        named = tokens.select("token", "id", F.transform(chars, script_of).alias("found"))
     else:
+        flat = tokens.select("token", "id", F.posexplode(chars).alias("pos", "char"))
         # code point of a character: its big-endian UTF-32 bytes
         code = F.conv(F.hex(F.encode(F.col("char"), "UTF-32")), 16, 10).cast("int")
-        named = chars.withColumn("code", code).join(table, "code", "left").withColumn("script", F.coalesce("script", F.lit("UNK")))
-    counts = named.groupBy("token", "id", "script").agg(F.count(F.lit(1)).alias("n"), F.min("pos").alias("first"))
-    return counts.groupBy("token", "id").agg(F.max_by("script", F.struct(F.col("n"), -F.col("first"))).alias("script"))
+        looked = flat.withColumn("code", code).join(table, "code", "left").withColumn("script", F.coalesce("script", F.lit("UNK")))
+        rows = looked.groupBy("token", "id").agg(F.array_sort(F.collect_list(F.struct("pos", "script"))).alias("rows"))  # one token
+        named = rows.select("token", "id", F.transform("rows", lambda r: r["script"]).alias("found"))
+
+    def better(best: Column, script: Column) -> Column:
+        count = F.size(F.filter("found", lambda f: f == script))
+        return F.when(count > best["n"], F.struct(count.alias("n"), script.alias("script"))).otherwise(best)
+
+    start = F.struct(F.lit(0).alias("n"), F.lit("UNK").alias("script"))
+    return named.select("token", "id", F.aggregate(F.array_distinct("found"), start, better)["script"].alias("script"))
 
 
 def script_groups(scripts: DataFrame, specials: list[str] = TRANSFER_SPECIALS, word_position: bool = True) -> DataFrame:

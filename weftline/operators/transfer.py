@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.constants import SHUFFLE_SEED, TRANSFER_SPECIALS
-from ..functions.draws import standard_normal
+from ..functions.draws import standard_normals
 
 RANDOM_SCALE = 0.02
 
@@ -45,8 +45,8 @@ def moments(vectors: DataFrame, keys: list[str] | None = None) -> DataFrame:
 
 
 def _draw(mean: Column, std: Column, seed: int) -> Column:
-    dims = F.sequence(F.lit(0), F.size(mean) - 1)
-    return F.transform(dims, lambda d: F.get(mean, d) + F.get(std, d) * standard_normal(seed, F.col("id"), d))
+    draws = standard_normals(seed, F.col("id"), F.size(mean))
+    return F.zip_with(F.zip_with(std, draws, lambda s, z: s * z), mean, lambda v, m: m + v)
 
 
 def init_mean(targets: DataFrame, source: DataFrame, seed: int = SHUFFLE_SEED) -> DataFrame:
@@ -60,9 +60,11 @@ def init_random(targets: DataFrame, dim: int | Column, seed: int = SHUFFLE_SEED)
     """Standard normal draws times 0.02."""
     width = F.lit(dim) if isinstance(dim, int) else dim
     sized = targets.select("token", "id", width.alias("_dim"))
-    dims = F.sequence(F.lit(0), F.col("_dim") - 1)
-    vec = F.transform(dims, lambda d: standard_normal(seed, F.col("id"), d) * RANDOM_SCALE)
-    return sized.select("token", "id", vec.alias("vec"))
+    return sized.select("token", "id", _small_draws(F.col("_dim"), seed).alias("vec"))
+
+
+def _small_draws(width: Column, seed: int) -> Column:
+    return F.transform(standard_normals(seed, F.col("id"), width), lambda z: z * RANDOM_SCALE)
 
 
 def vector_width(source: DataFrame) -> Column:
@@ -71,9 +73,9 @@ def vector_width(source: DataFrame) -> Column:
 
 def init_rank_copy(targets: DataFrame, source: DataFrame, seed: int = SHUFFLE_SEED) -> DataFrame:
     """Rows copied by id; ids beyond the source stay random."""
-    base = init_random(targets, vector_width(source), seed)
     copies = source.select("id", F.col("vec").alias("_copy"))
-    return base.join(copies, "id", "left").select("token", "id", F.coalesce("_copy", "vec").alias("vec"))
+    joined = targets.join(copies, "id", "left").withColumn("_dim", vector_width(source))
+    return joined.select("token", "id", F.coalesce(F.col("_copy"), _small_draws(F.col("_dim"), seed)).alias("vec"))
 
 
 def init_identity(targets: DataFrame, source: DataFrame, specials: list[str] = TRANSFER_SPECIALS) -> DataFrame:
@@ -91,9 +93,20 @@ def init_by_category(targets: DataFrame, source: DataFrame, omit: str = "special
     return joined.select("token", "id", _draw(F.col("mean"), F.col("std"), seed).alias("vec"))
 
 
-def first_available(targets: DataFrame, *layers: DataFrame) -> DataFrame:
-    """For every target the vector of the first layer that has one."""
-    out = targets.select("token", "id")
-    for i, layer in enumerate(layers):
-        out = out.join(layer.select("id", F.col("vec").alias(f"_v{i}")), "id", "left")
-    return out.select("token", "id", F.coalesce(*[f"_v{i}" for i in range(len(layers))]).alias("vec"))
+def init_heuristic(
+    targets: DataFrame, source: DataFrame, omit: str = "special", specials: list[str] = TRANSFER_SPECIALS, seed: int = SHUFFLE_SEED
+) -> DataFrame:
+    """Copy of the same token, else a draw by category, else a small random row.
+
+    Both sides are (token, id, category), source also has ``vec``. The layers meet in one row, so only the one that counts is drawn.
+    """
+    facts = moments(source.where(F.col("category") != omit), ["category"])
+    copies = source.where((F.col("category") != omit) & ~F.col("token").isin(specials)).select("token", F.col("vec").alias("_copy"))
+    named = targets.where(F.col("category") != omit)
+    joined = (
+        named.join(F.broadcast(facts), "category", "left")  # two rows per script at most
+        .join(copies, "token", "left")
+        .withColumn("_dim", vector_width(source))
+    )
+    drawn = F.when(F.col("mean").isNotNull(), _draw(F.col("mean"), F.col("std"), seed))
+    return joined.select("token", "id", F.coalesce(F.col("_copy"), drawn, _small_draws(F.col("_dim"), seed)).alias("vec"))

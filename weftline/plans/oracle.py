@@ -37,10 +37,11 @@ def key(seed: str, ident: str) -> str:
 
 
 def normal(seed: int, ident: str, dim: str) -> str:
-    k = f"md5('{seed}:' || {ident} || ':' || {dim})"
-    u = f"(('0x' || substr({k}, 1, 8))::UBIGINT::DOUBLE + 0.5::DOUBLE) / 4294967296::DOUBLE"
-    v = f"(('0x' || substr({k}, 9, 8))::UBIGINT::DOUBLE + 0.5::DOUBLE) / 4294967296::DOUBLE"
-    return f"(sqrt(-2::DOUBLE * ln({u})) * cos(2 * pi() * {v}))"
+    k = f"md5('{seed}:' || {ident} || ':' || ({dim} // 4))"
+    first = f"(1 + 16 * (({dim} % 4) // 2))"
+    u = f"(('0x' || substr({k}, {first}, 8))::UBIGINT::DOUBLE + 0.5::DOUBLE) / 4294967296::DOUBLE"
+    a = f"(2 * pi() * ((('0x' || substr({k}, {first} + 8, 8))::UBIGINT::DOUBLE + 0.5::DOUBLE) / 4294967296::DOUBLE))"
+    return f"(sqrt(-2::DOUBLE * ln({u})) * CASE WHEN {dim} % 2 = 0 THEN cos({a}) ELSE sin({a}) END)"
 
 
 def millionths(value: str) -> str:

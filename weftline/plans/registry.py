@@ -440,22 +440,19 @@ def script_groups(spark, sf_dir):
     return _categories(derived.corpus_vocab(spark, sf_dir, vocab.DEFAULT_VOCAB_SIZE))
 
 
-def _by_script(spark, sf_dir) -> DataFrame:
+def _known_categories(spark, sf_dir) -> DataFrame:
     source = _source(spark, sf_dir)
-    known = _categories(source).join(source.select("id", "vec"), "id")
-    return transfer.init_by_category(_categories(_target(spark, sf_dir)), known)
+    return _categories(source).join(source.select("id", "vec"), "id")
 
 
 @query
 def init_script(spark, sf_dir):
-    return vector_text(_by_script(spark, sf_dir))
+    return vector_text(transfer.init_by_category(_categories(_target(spark, sf_dir)), _known_categories(spark, sf_dir)))
 
 
 @query
 def init_heuristic(spark, sf_dir):
-    target, source = _target(spark, sf_dir), _source(spark, sf_dir)
-    current = transfer.init_random(target, transfer.vector_width(source))
-    return vector_text(transfer.first_available(target, transfer.init_identity(target, source), _by_script(spark, sf_dir), current))
+    return vector_text(transfer.init_heuristic(_categories(_target(spark, sf_dir)), _known_categories(spark, sf_dir)))
 
 
 @query
