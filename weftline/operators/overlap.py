@@ -14,7 +14,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.constants import WORD_MARK
+from ..functions.constants import SHUFFLE_SEED, WORD_MARK
+from .transfer import draw, moments
 
 BLOCK = 4096
 
@@ -135,20 +136,26 @@ def neighbour_means(queries: DataFrame, keys: DataFrame, neighbours: int, temper
 
 
 def init_overlap(
-    targets: DataFrame, source: DataFrame, auxiliary: DataFrame, fallback: DataFrame, exact: bool = True, match_symbols: bool = False
+    targets: DataFrame,
+    source: DataFrame,
+    auxiliary: DataFrame,
+    exact: bool = True,
+    match_symbols: bool = False,
+    seed: int = SHUFFLE_SEED,
 ) -> DataFrame:
-    """Copies for the overlap, weighted means for the other tokens with an auxiliary vector, the fallback for the rest.
+    """Copies for the overlap, weighted means for other tokens with an auxiliary vector, draws from the source's moments for the rest.
 
-    ``targets`` (token, id), ``source`` (token, id, vec), ``auxiliary`` (token, aux) over target tokens,
-    ``fallback`` (id, vec).
+    ``targets`` (token, id), ``source`` (token, id, vec), ``auxiliary`` (token, aux) over target tokens.
     """
     matched = match_overlap(targets, source, exact, match_symbols)
     copied = matched.join(source.select(F.col("id").alias("source_id"), "vec"), "source_id").select("token", "id", "vec")
     keys = copied.join(auxiliary, "token").select("id", "aux", "vec")
     others = targets.join(copied.select("id"), "id", "left_anti").join(auxiliary, "token").select("id", "aux")
     means = overlap_means(others, keys)
-    out = targets.select("token", "id")
-    for name, layer in (("a", copied), ("b", means), ("c", fallback)):
+    facts = moments(source).select(F.struct("mean", "std").alias("m")).scalar()
+    out = targets.select("token", "id", facts.alias("_m"))
+    for name, layer in (("a", copied), ("b", means)):
         out = out.join(layer.select("id", F.col("vec").alias(f"_{name}")), "id", "left")
     kind = F.when(F.col("_a").isNotNull(), "copied").when(F.col("_b").isNotNull(), "weighted").otherwise("drawn")
-    return out.select("token", "id", kind.alias("kind"), F.coalesce("_a", "_b", "_c").alias("vec"))
+    vec = F.coalesce(F.col("_a"), F.col("_b"), draw(F.col("_m.mean"), F.col("_m.std"), seed))
+    return out.select("token", "id", kind.alias("kind"), vec.alias("vec"))

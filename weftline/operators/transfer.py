@@ -44,7 +44,7 @@ def moments(vectors: DataFrame, keys: list[str] | None = None) -> DataFrame:
     )
 
 
-def _draw(mean: Column, std: Column, seed: int) -> Column:
+def draw(mean: Column, std: Column, seed: int) -> Column:
     draws = standard_normals(seed, F.col("id"), F.size(mean))
     return F.zip_with(F.zip_with(std, draws, lambda s, z: s * z), mean, lambda v, m: m + v)
 
@@ -53,7 +53,7 @@ def init_mean(targets: DataFrame, source: DataFrame, seed: int = SHUFFLE_SEED) -
     """Every target row drawn from the source's per-dimension normal distribution."""
     facts = moments(source).select(F.struct("mean", "std").alias("m")).scalar()
     drawn = targets.select("token", "id", facts.alias("_m"))
-    return drawn.select("token", "id", _draw(F.col("_m.mean"), F.col("_m.std"), seed).alias("vec"))
+    return drawn.select("token", "id", draw(F.col("_m.mean"), F.col("_m.std"), seed).alias("vec"))
 
 
 def init_random(targets: DataFrame, dim: int | Column, seed: int = SHUFFLE_SEED) -> DataFrame:
@@ -90,7 +90,7 @@ def init_by_category(targets: DataFrame, source: DataFrame, omit: str = "special
     """
     facts = moments(source.where(F.col("category") != omit), ["category"])
     joined = targets.where(F.col("category") != omit).join(F.broadcast(facts), "category")  # two rows per script at most
-    return joined.select("token", "id", _draw(F.col("mean"), F.col("std"), seed).alias("vec"))
+    return joined.select("token", "id", draw(F.col("mean"), F.col("std"), seed).alias("vec"))
 
 
 def init_heuristic(
@@ -108,5 +108,5 @@ def init_heuristic(
         .join(copies, "token", "left")
         .withColumn("_dim", vector_width(source))
     )
-    drawn = F.when(F.col("mean").isNotNull(), _draw(F.col("mean"), F.col("std"), seed))
+    drawn = F.when(F.col("mean").isNotNull(), draw(F.col("mean"), F.col("std"), seed))
     return joined.select("token", "id", F.coalesce(F.col("_copy"), drawn, _small_draws(F.col("_dim"), seed)).alias("vec"))

@@ -125,7 +125,11 @@ def auxiliary(spark: SparkSession, sf_dir: str, lang: str, min_count: int = 10)
 
 
 def telemetry(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Events as training batches: run, device, dense step, samples, tokens, times, flops."""
+    """Events as training batches: run, device, dense step, samples, tokens, times, flops. Written once, as a trainer would."""
+    return materialise(spark, "telemetry", {}, [f"{sf_dir}/events.parquet"], lambda: _telemetry(spark, sf_dir))
+
+
+def _telemetry(spark: SparkSession, sf_dir: str) -> DataFrame:
     user = F.col("user_id")
     named = table(spark, sf_dir, "events").select(
         (user % 8).alias("run_id"),
@@ -168,8 +172,12 @@ def tensor_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
 def log_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Events rendered as benchmark logs (file, content): twelve steps per file, files over the configurations in turn.
 
-    Every second log wraps its blocks over three lines; demanding configurations stop after step 5.
+    Every second log wraps its blocks over three lines; demanding configurations stop after step 5. Written once, as landed logs are.
     """
+    return spread(materialise(spark, "logs", {}, [f"{sf_dir}/events.parquet"], lambda: _log_files(spark, sf_dir)))
+
+
+def _log_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     events = table(spark, sf_dir, "events")
     file_no = F.floor(F.col("event_id") / 12)
     base = events.select(

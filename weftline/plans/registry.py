@@ -17,7 +17,7 @@ from ..functions.text import pieces
 from ..operators import aligned, benchlog, bpe, corpus, encode, evaluate, index, overlap, packing
 from ..operators import samples as shaping
 from ..operators import scripts, splits, telemetry, tensors, transfer, vocab
-from ..session import fresh_folder, spread
+from ..session import fresh_folder, spread, written
 from ..sources import corpora
 from ..sources.tables import materialise
 from ..streaming import ingest
@@ -459,7 +459,7 @@ def init_heuristic(spark, sf_dir):
 def init_overlap(spark, sf_dir):
     target, source = _target(spark, sf_dir), _source(spark, sf_dir)
     auxiliary = derived.auxiliary(spark, sf_dir, "de")
-    return vector_text(overlap.init_overlap(target, source, auxiliary, transfer.init_mean(target, source)))
+    return vector_text(overlap.init_overlap(target, source, auxiliary))
 
 
 @query
@@ -588,7 +588,7 @@ def speedup(spark, sf_dir):
 
 @query
 def ranked_report(spark, sf_dir):
-    out = benchlog.ranked_report(_summary(spark, sf_dir))
+    out = benchlog.ranked_report(written(_summary(spark, sf_dir), "summary"))
     return rounded(out.select("devices", "precision", "file", "oom", "gpu_hours", "place"), "gpu_hours")
 
 

@@ -71,6 +71,11 @@ def read_splits(spark: SparkSession, path: str, schema: T.StructType, fmt: str =
     return spark.read.schema(full).format(fmt).load(path)
 
 
+def write_lines(df: DataFrame, path: str, column: str = "line") -> None:
+    """One text line per row, as vector trainers read it."""
+    df.select(column).write.mode("overwrite").text(path)
+
+
 def write_contiguous(df: DataFrame, path: str, order: str, shards: int = 1024) -> None:
     """Contiguous shards in order: concatenating the files by name gives the ordered set."""
     df.repartitionByRange(shards, order).sortWithinPartitions(order).write.mode("overwrite").parquet(path)
