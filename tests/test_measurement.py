@@ -101,7 +101,7 @@ def test_rates_fill_the_window_first(spark):
 
 
 def test_utilisation(spark):
-    data = [("NVIDIA H100 80GB HBM3", "bf16-true", 494.75e12), ("NVIDIA A10G", "transformer-engine", 1.0), ("card", "bf16-true", 1.0), ("Tesla T4", "8-mixed", 13e12)]
+    data = [("NVIDIA H100 80GB HBM3", "bf16-true", 494.75e12), ("NVIDIA A10G", "transformer-engine", 1.0), ("card", "bf16-true", 1.0), ("Tesla T4", "8-true", 13e12)]
     df = spark.createDataFrame(data, "device_name string, precision string, flops_per_sec double")
     got = {r["device_name"]: (r["utilisation"], r["unknown_precision"]) for r in telemetry.utilisation(df).collect()}
     assert got == {"NVIDIA H100 80GB HBM3": (0.5, False), "NVIDIA A10G": (None, True), "card": (None, False), "Tesla T4": (0.1, False)}

@@ -20,9 +20,17 @@ def quality_filter(df: DataFrame, warnings: str = "warnings", rejected: list[str
 
 
 def number_documents(lines: DataFrame) -> DataFrame:
-    """Add ``doc_no``, the breaks before a line in its source, to lines (source_id, line_no, text)."""
+    """Add ``doc_no``, the breaks before a line in its source, and ``doc_no_total`` to lines (source_id, line_no, text)."""
     is_break = F.when(F.col("text") == "\n", 1).otherwise(0).cast("long")
-    return running_sums(lines, ["line_no"], {"doc_no": is_break}, keys=["source_id"])
+    return running_sums(lines, ["line_no"], {"doc_no": is_break}, keys=["source_id"], totals_too=True)
+
+
+def join_lines(numbered: DataFrame) -> DataFrame:
+    """Texts of numbered lines by (source_id, doc_no); a group is one document, break rows add nothing."""
+    body = F.when(F.col("text") != "\n", F.struct("line_no", "text"))
+    grouped = numbered.groupBy("source_id", "doc_no").agg(F.array_sort(F.collect_list(body)).alias("parts"))
+    text = F.array_join(F.transform("parts", lambda part: part["text"]), "")
+    return grouped.select("source_id", "doc_no", text.alias("text"))
 
 
 def lines_to_documents(lines: DataFrame, keep_tail: bool = False) -> DataFrame:
@@ -32,15 +40,7 @@ def lines_to_documents(lines: DataFrame, keep_tail: bool = False) -> DataFrame:
     it is dropped before grouping, so it is never collected.
     """
     numbered = number_documents(lines)
-    breaks = lines.where(F.col("text") == "\n").groupBy("source_id").agg(F.count(F.lit(1)).alias("_closed"))
-    body = F.when(F.col("text") != "\n", F.struct("line_no", "text"))
-    if not keep_tail:
-        numbered = numbered.join(breaks, "source_id").where(F.col("doc_no") < F.col("_closed"))
-    # one group is one document; collect_list skips the break rows
-    grouped = numbered.groupBy("source_id", "doc_no").agg(F.array_sort(F.collect_list(body)).alias("parts"))
-    return grouped.select(
-        "source_id", "doc_no", F.array_join(F.transform("parts", lambda part: part["text"]), "").alias("text")
-    )
+    return join_lines(numbered if keep_tail else numbered.where(F.col("doc_no") < F.col("doc_no_total")))
 
 
 def normalise_text(df: DataFrame) -> DataFrame:

@@ -46,8 +46,9 @@ def running_sums(
     sums: dict[str, Column],
     keys: list[str] | None = None,
     shard: Column | None = None,
+    totals_too: bool = False,
 ) -> DataFrame:
-    """Add exclusive running sums of ``sums`` along ``order`` inside ``keys``.
+    """Add exclusive running sums of ``sums`` along ``order`` inside ``keys``, on request with ``<name>_total`` of the key.
 
     The totals read only the key, shard and summed columns. The shard shuffle of the main
     side serves both the base join and the window.
@@ -58,16 +59,21 @@ def running_sums(
     tagged = tagged.select("*", *[sums[n].alias(f"_v_{n}") for n in names])
     totals = tagged.groupBy(*keys, _SHARD).agg(*[F.sum(f"_v_{n}").alias(f"_t_{n}") for n in names])
     before = Window.partitionBy(*keys).orderBy(_SHARD).rowsBetween(Window.unboundedPreceding, -1)
+    whole = Window.partitionBy(*keys)
     # at most SHARDS (or 16 ** KEY_DIGITS) rows per key here
     bases = totals.select(
-        *keys, _SHARD, *[F.coalesce(F.sum(f"_t_{n}").over(before), F.lit(0)).alias(f"_b_{n}") for n in names]
+        *keys,
+        _SHARD,
+        *[F.coalesce(F.sum(f"_t_{n}").over(before), F.lit(0)).alias(f"_b_{n}") for n in names],
+        *[F.sum(f"_t_{n}").over(whole).alias(f"{n}_total") for n in names if totals_too],
     )
     if not keys:
         bases = F.broadcast(bases)  # bounded by the number of shards
     inside = Window.partitionBy(*keys, _SHARD).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
     local = tagged.select("*", *[F.coalesce(F.sum(f"_v_{n}").over(inside), F.lit(0)).alias(f"_l_{n}") for n in names])
     joined = local.join(bases, [*keys, _SHARD])
-    return joined.select(*df.columns, *[(F.col(f"_b_{n}") + F.col(f"_l_{n}")).alias(n) for n in names])
+    running = [(F.col(f"_b_{n}") + F.col(f"_l_{n}")).alias(n) for n in names]
+    return joined.select(*df.columns, *running, *[f"{n}_total" for n in names if totals_too])
 
 
 def ranked(df: DataFrame, order: list[str], name: str = "rank", keys: list[str] | None = None, shard: Column | None = None) -> DataFrame:
@@ -109,14 +115,15 @@ def rank_marks(df: DataFrame, key: str, marks: dict[str, Callable[[Column], Colu
     slim = df.select(F.col(key).alias("_key"))
     slim = with_range_shard(slim, "_key") if shard is None else df.select(F.col(key).alias("_key"), shard.alias(_SHARD))
     counts = slim.groupBy(_SHARD).agg(F.count(F.lit(1)).alias("cnt"))
-    all_rows = counts.agg(F.sum("cnt").alias("n"))
-    ranks = F.array(*[F.struct(F.lit(name).alias("mark"), rule(F.col("n")).cast("long").alias("want")) for name, rule in marks.items()])
-    wanted = all_rows.select(F.explode(ranks).alias("m")).select("m.mark", "m.want")
     before = Window.orderBy(_SHARD).rowsBetween(Window.unboundedPreceding, -1)
-    based = counts.withColumn("base", F.coalesce(F.sum("cnt").over(before), F.lit(0)))  # one row per shard
-    hit = F.broadcast(wanted).join(
-        based, (F.col("base") < F.col("want")) & (F.col("want") <= F.col("base") + F.col("cnt"))
-    ).select("mark", _SHARD, (F.col("want") - F.col("base")).alias("nth"))
+    # one row per shard here
+    based = counts.select(
+        _SHARD, "cnt", F.coalesce(F.sum("cnt").over(before), F.lit(0)).alias("base"), F.sum("cnt").over(Window.partitionBy()).alias("n")
+    )
+    ranks = F.array(*[F.struct(F.lit(name).alias("mark"), rule(F.col("n")).cast("long").alias("want")) for name, rule in marks.items()])
+    wanted = counts.agg(F.sum("cnt").alias("n")).select(F.explode(ranks).alias("m")).select("m.mark", "m.want")
+    here = F.filter(ranks, lambda r: (r["want"] > F.col("base")) & (r["want"] <= F.col("base") + F.col("cnt")))
+    hit = based.select(_SHARD, "base", F.explode(here).alias("m")).select("m.mark", _SHARD, (F.col("m.want") - F.col("base")).alias("nth"))
     inside = Window.partitionBy("mark", _SHARD).orderBy("_key")
     found = (
         slim.join(F.broadcast(hit), _SHARD)  # one row per mark

@@ -126,7 +126,7 @@ def auxiliary(spark: SparkSession, sf_dir: str, lang: str, min_count: int = 10)
 
 def telemetry(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Events as training batches: run, device, dense step, samples, tokens, times, flops. Written once, as a trainer would."""
-    return materialise(spark, "telemetry", {}, [f"{sf_dir}/events.parquet"], lambda: _telemetry(spark, sf_dir))
+    return materialise(spark, "telemetry", {"time_unit": "1/1024"}, [f"{sf_dir}/events.parquet"], lambda: _telemetry(spark, sf_dir))
 
 
 def _telemetry(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -138,8 +138,9 @@ def _telemetry(spark: SparkSession, sf_dir: str) -> DataFrame:
         "event_type",
         F.lit(1).alias("samples"),
         F.get_json_object("props", "$.k").cast("long").alias("tokens"),
-        (F.col("value") / 100 + 0.01).alias("train_s"),
-        (F.col("value") / 100 + 0.015).alias("e2e_s"),
+        # fractions of a power of two, so that sums are exact in any order
+        ((F.round(F.col("value") * 100) + 1) / 1024).alias("train_s"),
+        ((F.round(F.col("value") * 100) + 9) / 1024).alias("e2e_s"),
     ).withColumn("flops", F.col("tokens") * 6000000000.0)
     return ordered.ranked(named, ["event_id"], "step", keys=["run_id", "device"])
 

@@ -267,7 +267,7 @@ def nll(cap: int) -> str:
 
 TELEMETRY = """tele AS (
   SELECT user_id % 8 AS run_id, (user_id // 8) % 2 AS device, event_type, event_id, 1 AS samples,
-    regexp_extract(props, '"k": *([0-9]+)', 1)::BIGINT AS tokens, value / 100 + 0.01::DOUBLE AS train_s, value / 100 + 0.015::DOUBLE AS e2e_s,
+    regexp_extract(props, '"k": *([0-9]+)', 1)::BIGINT AS tokens, (round(value * 100) + 1) / 1024::DOUBLE AS train_s, (round(value * 100) + 9) / 1024::DOUBLE AS e2e_s,
     regexp_extract(props, '"k": *([0-9]+)', 1)::BIGINT * 6000000000::DOUBLE AS flops,
     row_number() OVER (PARTITION BY user_id % 8, (user_id // 8) % 2 ORDER BY event_id) - 1 AS step FROM events)"""
 

@@ -122,11 +122,11 @@ def token_shards(spark, sf_dir):
     back = spark.read.parquet(folder).select("*", F.col("_metadata.file_name").alias("file"))
     files = back.groupBy("file").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi"), F.count(F.lit(1)).alias("n"), F.sum("len").alias("t"))
     number = F.regexp_extract("file", "part-([0-9]+)", 1).cast("int")
-    pairs = files.select(number.alias("no"), "lo", "hi", "n", "t")
-    # files are numbered in order; at most 16 rows
-    wrong = pairs.alias("a").join(pairs.alias("b"), F.col("a.no") < F.col("b.no")).where(F.col("a.hi") >= F.col("b.lo"))
-    bad = wrong.agg(F.count(F.lit(1)).alias("n")).scalar()
-    return pairs.agg(F.sum("n").alias("docs"), F.sum("t").alias("tokens")).withColumn("overlaps", bad)
+    # files are numbered in order: each must end before the next one starts; 16 rows
+    ordered = F.array_sort(F.collect_list(F.struct(number.alias("no"), "lo", "hi")))
+    out = files.agg(F.sum("n").alias("docs"), F.sum("t").alias("tokens"), ordered.alias("o"))
+    wrong = F.filter(F.transform("o", lambda f, i: F.coalesce(F.get("o", i - 1)["hi"] >= f["lo"], F.lit(False))), lambda bad: bad)
+    return out.select("docs", "tokens", F.size(wrong).alias("overlaps"))
 
 
 @query
@@ -470,8 +470,9 @@ def overlap_fuzzy(spark, sf_dir):
 
 @query
 def aux_vectors(spark, sf_dir):
-    docs = derived.texts(spark, sf_dir).select(pieces(F.col("text")).alias("tokens"))
-    out = aligned.train_auxiliary(docs, dim=32, epochs=3)
+    """Over token ids: the trained table has at most as many rows as the vocabulary."""
+    docs = spread(derived.tokens(spark, sf_dir, vocab.DEFAULT_VOCAB_SIZE)).select(F.col("ids").cast("array<string>").alias("tokens"))
+    out = aligned.train_auxiliary(docs, dim=32, epochs=1)
     return out.select("token", F.size("aux").alias("dim"))
 
 

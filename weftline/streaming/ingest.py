@@ -16,10 +16,10 @@ from pyspark.sql.streaming import StreamingQuery
 
 from ..functions.constants import SHUFFLE_SEED
 from ..functions.draws import order_key
-from ..operators.corpus import normalise_text, number_documents, quality_filter
+from ..operators.corpus import join_lines, normalise_text, number_documents, quality_filter
 from ..operators.splits import split_hash
 from ..operators.telemetry import DEVICE, throughput
-from ..sources.tables import exists
+from ..sources.tables import exists, remove
 
 
 def _start(stream: DataFrame, folder: str, step: Callable[[DataFrame, int], None]) -> StreamingQuery:
@@ -38,6 +38,12 @@ def _state(batch: DataFrame, folder: str, number: int, empty: DataFrame) -> Data
     return spark.read.schema(empty.schema).parquet(path) if exists(spark, path) else empty
 
 
+def _keep(state: DataFrame, folder: str, number: int) -> None:
+    """Write the state after a batch. Only the last batch can be replayed, so older states go."""
+    state.write.mode("overwrite").parquet(f"{folder}/state/batch={number}")
+    remove(state.sparkSession, f"{folder}/state/batch={number - 2}")
+
+
 def stream_ingest(stream: DataFrame, folder: str, dev_share: float, test_share: float, seed: int = SHUFFLE_SEED) -> StreamingQuery:
     """Filter, normalise, split by hash and write; rows of a micro-batch are its shuffle buffer.
 
@@ -67,25 +73,21 @@ def stream_documents(stream: DataFrame, folder: str) -> StreamingQuery:
         known = _state(batch, folder, number, empty)
         seen = known.groupBy("source_id").agg(F.max("closed").alias("closed_before"))  # one row per source
         lines = known.where(F.col("text").isNotNull()).unionByName(rows).select("source_id", "line_no", "text")
-        numbered = number_documents(lines)
+        placed = number_documents(lines).join(seen, "source_id", "left").withColumn("before", F.coalesce("closed_before", F.lit(0)))
+        closed = F.col("doc_no") < F.col("doc_no_total")
+        done = placed.where(closed).withColumn("doc_no", F.col("doc_no") + F.col("before"))
+        join_lines(done).write.mode("overwrite").parquet(f"{folder}/out/batch={number}")
+        tail = placed.where(~closed & (F.col("text") != "\n"))
+        open_lines = tail.select("source_id", "line_no", "text", (F.col("before") + F.col("doc_no_total")).alias("closed"))
         totals = lines.groupBy("source_id").agg(F.count_if(F.col("text") == "\n").alias("breaks"))
-        placed = numbered.join(totals, "source_id").join(seen, "source_id", "left")
-        before = F.coalesce("closed_before", F.lit(0))
-        body = F.when(F.col("text") != "\n", F.struct("line_no", "text"))
-        done = placed.where(F.col("doc_no") < F.col("breaks")).groupBy("source_id", (F.col("doc_no") + before).alias("doc_no"))
-        parts = done.agg(F.array_sort(F.collect_list(body)).alias("parts"))  # one document
-        text = F.array_join(F.transform("parts", lambda p: p["text"]), "")
-        parts.select("source_id", "doc_no", text.alias("text")).write.mode("overwrite").parquet(f"{folder}/out/batch={number}")
-        tail = placed.where((F.col("doc_no") >= F.col("breaks")) & (F.col("text") != "\n"))
-        open_lines = tail.select("source_id", "line_no", "text", (before + F.col("breaks")).alias("closed"))
         # one mark row per source keeps its break count even when no line is open
         marks = totals.join(seen, "source_id", "full").select(
             "source_id",
             F.lit(-1).cast("long").alias("line_no"),
             F.lit(None).cast("string").alias("text"),
-            (F.coalesce("breaks", F.lit(0)) + before).alias("closed"),
+            (F.coalesce("breaks", F.lit(0)) + F.coalesce("closed_before", F.lit(0))).alias("closed"),
         )
-        open_lines.unionByName(marks).write.mode("overwrite").parquet(f"{folder}/state/batch={number}")
+        _keep(open_lines.unionByName(marks), folder, number)
 
     return _start(stream, folder, step)
 
@@ -105,7 +107,7 @@ def stream_throughput(stream: DataFrame, folder: str, window: int, world: int =
         new.write.mode("overwrite").parquet(f"{folder}/out/batch={number}")
         last = both.groupBy(*DEVICE).agg(F.max("step").alias("_last"))
         kept = both.join(last, DEVICE).where(F.col("step") > F.col("_last") - (window - 1)).drop("_last")
-        kept.write.mode("overwrite").parquet(f"{folder}/state/batch={number}")
+        _keep(kept, folder, number)
 
     return _start(stream, folder, step)
 
