@@ -76,14 +76,13 @@ def test_windowed_equals_a_plain_window(spark):
 
 @pytest.mark.parametrize("name", ["shuffle_global", "split_head", "split_tail", "read_slice", "epoch_order", "doc_offsets", "lines_to_docs"])
 def test_only_shard_tables_are_in_one_partition(spark, name):
-    """A window without partition keys may only run over one row per shard."""
+    """What is moved to a single partition is already aggregated, to one row or to one row per shard."""
     df = registry.QUERIES[name](spark, "/root/testdata/sf0.001")
-    plan = df._jdf.queryExecution().executedPlan().toString()
-    lines = plan.split("\n")
-    for at, line in enumerate(lines):
-        if re.search(r"Window \[", line) and not re.search(r"\], \[[^\]]+\], \[", line):
-            below = "\n".join(lines[at : at + 8])
-            assert "HashAggregate(keys=[_shard" in below, below
+    lines = df._jdf.queryExecution().executedPlan().toString().split("\n")
+    found = [lines[i + 1 : i + 3] for i, line in enumerate(lines) if "Exchange SinglePartition" in line]
+    assert found
+    for below in found:
+        assert re.search(r"Aggregate\(keys=\[(_shard#\d+)?\]", "".join(below)), below
 
 
 def test_splits_need_no_shuffle_of_the_documents(spark):

@@ -37,7 +37,8 @@ def with_range_shard(df: DataFrame, order: str, shards: int = SHARDS) -> DataFra
         F.lit(0),
         lambda at, step: at + F.when(F.get(F.col("_bounds"), at + step - 1) <= F.col(order), step).otherwise(F.lit(0)),
     )
-    return df.withColumn("_bounds", bounds).withColumn(_SHARD, found).drop("_bounds")
+    # rows without an order key come first; a shard is never null, so no null check repeats the search
+    return df.withColumn("_bounds", bounds).withColumn(_SHARD, F.coalesce(found, F.lit(0))).drop("_bounds")
 
 
 def running_sums(

@@ -15,17 +15,19 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.constants import SHUFFLE_SEED
 from ..functions.draws import order_key
-from .ordered import key_shard
-
 SHARD_DOCS = 1 << 19
 
-_REPORT = "shard string, low long, high long, out long, closed long, absolute boolean"
-_START = "shard string, carry long, first_chunk long, chunks long"
+_REPORT = "shard long, low long, high long, out long, closed long, absolute boolean"
+_START = "shard long, carry long, first_chunk long, chunks long"
+
+
+def _walk_order(pdf: pd.DataFrame) -> pd.DataFrame:
+    return pdf.sort_values(["high_key", "low_key", "doc_id"], kind="stable")
 
 
 def _close_points(lengths: np.ndarray, block: int) -> tuple[np.ndarray, np.ndarray]:
@@ -35,8 +37,7 @@ def _close_points(lengths: np.ndarray, block: int) -> tuple[np.ndarray, np.ndarr
 
 
 def _report_shard(pdf: pd.DataFrame, block: int) -> pd.DataFrame:
-    pdf = pdf.sort_values(["order", "doc_id"], kind="stable")
-    prefix, ends = _close_points(pdf["len"].to_numpy(), block)
+    prefix, ends = _close_points(_walk_order(pdf)["len"].to_numpy(), block)
     n = len(pdf)
     seen: dict[int, tuple[int, int]] = {}
 
@@ -53,7 +54,7 @@ def _report_shard(pdf: pd.DataFrame, block: int) -> pd.DataFrame:
         return out, closed
 
     rows, low = [], 0
-    shard = pdf["shard"].iloc[0]
+    shard = int(pdf["shard"].iloc[0])
     # lengths that leave the chunk open through the whole shard
     if prefix[n] <= block:
         rows.append((shard, 0, int(block - prefix[n]), int(prefix[n]), 0, False))
@@ -78,7 +79,7 @@ def _chain_reports(pdf: pd.DataFrame) -> pd.DataFrame:
 
 
 def _walk_shard(docs: pd.DataFrame, start: pd.DataFrame, block: int) -> pd.DataFrame:
-    docs = docs.sort_values(["order", "doc_id"], kind="stable")
+    docs = _walk_order(docs)
     prefix, ends = _close_points(docs["len"].to_numpy(), block)
     n = len(docs)
     at = int(np.searchsorted(prefix, block + 1 - int(start["carry"].iloc[0]), side="left"))
@@ -87,46 +88,49 @@ def _walk_shard(docs: pd.DataFrame, start: pd.DataFrame, block: int) -> pd.DataF
         borders.append(at)
         at = int(ends[at])
     chunk = int(start["first_chunk"].iloc[0]) + np.searchsorted(np.array(borders, dtype=np.int64), np.arange(n), side="right")
-    walked = pd.DataFrame({"doc_id": docs["doc_id"].to_numpy(), "order": docs["order"].to_numpy(), "chunk": chunk})
+    walked = pd.DataFrame({"doc_id": docs["doc_id"].to_numpy(), "chunk": chunk})
     return walked[chunk < int(start["chunks"].iloc[0])]
 
 
-def shard_digits(rows: int) -> int:
-    """Hexadecimal digits that leave about SHARD_DOCS documents per shard, and some parallelism for few documents."""
-    digits = 1
-    while rows > SHARD_DOCS * 16**digits:
-        digits += 1
-    return digits
-
-
 def pack_greedy(
-    docs: DataFrame, block: int, seed: int = SHUFFLE_SEED, skip_last: bool = False, digits: int | None = None
+    docs: DataFrame, block: int, seed: int = SHUFFLE_SEED, skip_last: bool = False, shards: int | None = None
 ) -> DataFrame:
     """Members of every sample: (sample_id, doc_id, order) from documents (doc_id, len).
 
     Members of a sample follow ``order``. Packed samples have even ids in closing order, a document
     longer than the block has the odd id 2 * doc_id + 1. The chunk still open at the end is dropped.
-    The result does not depend on ``digits``, the key digits that make a shard: unset, it follows the row count.
+    The result does not depend on ``shards``: unset, a shard holds about SHARD_DOCS documents.
     """
-    if digits is None:
-        digits = shard_digits(docs.count())
     docs = docs.select("doc_id", F.col("len").cast("long").alias("len"))
+    if shards is None:
+        shards = max(16, docs.count() // SHARD_DOCS)
     if skip_last:
         last = docs.agg(F.max("doc_id").alias("last")).scalar()
         docs = docs.where(F.col("doc_id") != last)
-    docs = docs.withColumn("order", order_key(seed, "doc_id")).withColumn("shard", key_shard("order", digits))
-    alone = docs.where(F.col("len") > block).select((F.col("doc_id") * 2 + 1).alias("sample_id"), "doc_id", "order")
-    short = docs.where(F.col("len") <= block)
+
+    def digits(first: int, count: int) -> Column:
+        return F.conv(F.substring("order", first, count), 16, 10).cast("long")
+
+    # tasks sort by the leading 30 digits of the key as two numbers
+    keyed = docs.withColumn("order", order_key(seed, "doc_id"))
+    alone = keyed.where(F.col("len") > block).select((F.col("doc_id") * 2 + 1).alias("sample_id"), "doc_id", "order")
+    short = keyed.where(F.col("len") <= block).select(
+        "doc_id",
+        "len",
+        digits(1, 15).alias("high_key"),
+        digits(16, 15).alias("low_key"),
+        F.shiftright(digits(1, 8) * shards, 32).alias("shard"),
+    )
 
     reports = short.groupBy("shard").applyInPandas(lambda pdf: _report_shard(pdf, block), _REPORT)
-    # one group of at most (block + 2) rows per shard: bounded by block and 16 ** digits, not by the data
+    # one group: per shard as many rows as documents fit in one chunk, block + 2 at most
     starts = reports.withColumn("all", F.lit(0)).groupBy("all").applyInPandas(_chain_reports, _START)
     walked = (
         short.groupBy("shard")
         .cogroup(starts.groupBy("shard"))
-        .applyInPandas(lambda d, s: _walk_shard(d, s, block), "doc_id long, order string, chunk long")
+        .applyInPandas(lambda d, s: _walk_shard(d, s, block), "doc_id long, chunk long")
     )
-    packed = walked.select((F.col("chunk") * 2).alias("sample_id"), "doc_id", "order")
+    packed = walked.select((F.col("chunk") * 2).alias("sample_id"), "doc_id", order_key(seed, "doc_id").alias("order"))
     return packed.unionByName(alone)
 
 
