@@ -15,6 +15,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.constants import SHUFFLE_SEED, WORD_MARK
+from ..session import written
 from .transfer import draw, moments
 
 BLOCK = 4096
@@ -149,8 +150,9 @@ def init_overlap(
     """
     matched = match_overlap(targets, source, exact, match_symbols)
     copied = matched.join(source.select(F.col("id").alias("source_id"), "vec"), "source_id").select("token", "id", "vec")
-    keys = copied.join(auxiliary, "token").select("id", "aux", "vec")
-    others = targets.join(copied.select("id"), "id", "left_anti").join(auxiliary, "token").select("id", "aux")
+    # both are at most a vocabulary long and read by every block pair of two passes: written once
+    keys = written(copied.join(auxiliary, "token").select("id", "aux", "vec"), "overlap-keys")
+    others = written(targets.join(copied.select("id"), "id", "left_anti").join(auxiliary, "token").select("id", "aux"), "overlap-queries")
     means = overlap_means(others, keys)
     facts = moments(source).select(F.struct("mean", "std").alias("m")).scalar()
     out = targets.select("token", "id", facts.alias("_m"))

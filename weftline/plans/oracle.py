@@ -123,6 +123,12 @@ members AS (
   UNION ALL SELECT 2 * doc_id + 1, doc_id, {key('42', 'doc_id')} FROM tok WHERE len > {B})"""
 
 
+REPORT = f"""SELECT count(*) AS samples, (SELECT count(*) FROM tok) AS docs_in, sum(d)::BIGINT AS docs_used, max(d) AS max_docs,
+      sum(least(t, {B + 1}))::BIGINT AS tokens_used, ((SELECT sum(len) FROM tok) - sum(least(t, {B + 1})))::BIGINT AS tokens_dropped,
+      round(sum(least(t, {B + 1})) / (count(*) * {B + 1}), 6) AS fill
+      FROM (SELECT sample_id, count(*) AS d, sum(len) AS t FROM members JOIN tok USING (doc_id) GROUP BY sample_id)"""
+
+
 def ensured(ids: str, bos: bool, eos: bool) -> str:
     if bos:
         ids = f"CASE WHEN {ids}[1] IS NOT DISTINCT FROM 1 THEN {ids} ELSE list_concat([1], {ids}) END"
@@ -427,10 +433,7 @@ def build() -> dict[str, str]:
       count(*) FILTER (a.id = b.id) AS same_id, count(*) FILTER (a.id = b.id) = count(*) AS equal FROM a FULL JOIN b USING (token)"""
 
     sql["pack_greedy"] = with_(*TOKENS, PACK) + "SELECT sample_id, doc_id FROM members"
-    sql["pack_report"] = with_(*TOKENS, PACK) + f"""SELECT count(*) AS samples, (SELECT count(*) FROM tok) AS docs_in, sum(d)::BIGINT AS docs_used, max(d) AS max_docs,
-      sum(least(t, {B + 1}))::BIGINT AS tokens_used, ((SELECT sum(len) FROM tok) - sum(least(t, {B + 1})))::BIGINT AS tokens_dropped,
-      round(sum(least(t, {B + 1})) / (count(*) * {B + 1}), 6) AS fill
-      FROM (SELECT sample_id, count(*) AS d, sum(len) AS t FROM members JOIN tok USING (doc_id) GROUP BY sample_id)"""
+    sql["pack_report"] = with_(*TOKENS, PACK) + REPORT
     study = with_(*TOKENS, PACK, *packed(True, False))
     sql["sample_packed"] = study + f"SELECT sample_id, {lists('input_ids', 'labels')} FROM sampled"
     sql["sample_segments"] = study + f"SELECT sample_id, {lists('segment_ids')} FROM sampled"
@@ -516,6 +519,24 @@ def build() -> dict[str, str]:
       count(*) FILTER (contains(text, 'optimizer_step:') AND coalesce(contains(prev, 'Step stats:'), false)) < 10 AS oom
       FROM (SELECT *, lag(text) OVER (PARTITION BY file ORDER BY line_no) AS prev FROM lines) GROUP BY file"""
 
+    rounds = 16
+    merges = ["""w0 AS MATERIALIZED (SELECT ' ' || array_to_string(list_filter(string_split(token, ''), lambda c: c <> ''), '  ') || ' ' AS s, count(*) AS freq
+      FROM words GROUP BY token)"""]
+    for i in range(rounds):
+        merges.append(f"""b{i} AS MATERIALIZED (SELECT cs[i] AS l, cs[i + 1] AS r, sum(freq)::BIGINT AS f FROM (
+          SELECT cs, freq, unnest(range(1, len(cs))) AS i FROM (SELECT list_filter(string_split(s, ' '), lambda c: c <> '') AS cs, freq FROM w{i}))
+          GROUP BY ALL ORDER BY f DESC, l, r LIMIT 1)""")
+        merges.append(f"w{i + 1} AS MATERIALIZED (SELECT replace(s, ' ' || l || '  ' || r || ' ', ' ' || l || r || ' ') AS s, freq FROM w{i}, b{i})")
+    sql["bpe_merges"] = with_(WORDS, *merges) + " UNION ALL ".join(f'SELECT {i}::BIGINT AS rank, l AS "left", r AS "right", f AS freq FROM b{i}' for i in range(rounds))
+    # trained and aligned vectors have no SQL; which tokens get one does
+    sql["aux_vectors"] = with_(WORDS, vocab("v"), token_rows("tok", "words", "v")) + """SELECT label::VARCHAR AS token, 32 AS dim
+      FROM (SELECT unnest(ids) AS label FROM tok) GROUP BY label HAVING count(*) >= 10"""
+    sql["init_aligned"] = with_(*TRANSFER, aux("aux_de", "de")) + "SELECT token, id, (SELECT w FROM width)::INTEGER AS dim FROM tgt JOIN aux_de USING (token)"
+    german = "german AS (SELECT * FROM words WHERE lang = 'de')"
+    sql["german_packing"] = with_(WORDS, vocab("v", lang="de"), german, token_rows("tok", "german", "v"), PACK, *packed(True, False)) + f"""SELECT r.*,
+      (SELECT sum(len(list_filter(labels, lambda y: y <> -1)))::BIGINT FROM sampled) AS scored_labels, (SELECT max(list_max(segment_ids)) FROM sampled)::INTEGER AS max_segments
+      FROM ({REPORT}) r"""
+
     # a stream must give what the batch gives
     sql["stream_ingest"] = with_(WARNED) + f"""SELECT doc_id, CASE WHEN {bucket} < 500 THEN 'dev' WHEN {bucket} < 1000 THEN 'test' ELSE 'train' END AS split,
       {strip('text')} || chr(10) AS text FROM warned WHERE text <> chr(10)

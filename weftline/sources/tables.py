@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import functools
 import hashlib
 import json
+import pathlib
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -26,8 +28,15 @@ def _file_marks(spark: SparkSession, paths: list[str]) -> list[str]:
     return sorted(marks)
 
 
+@functools.cache
+def _code_mark() -> str:
+    """Digest of this package's source: a changed program does not read tables of an older one."""
+    root = pathlib.Path(__file__).resolve().parent.parent
+    return hashlib.sha256(b"".join(f.read_bytes() for f in sorted(root.rglob("*.py")))).hexdigest()
+
+
 def fingerprint(spark: SparkSession, name: str, params: dict, inputs: list[str]) -> str:
-    facts = json.dumps({"name": name, "params": params, "inputs": _file_marks(spark, inputs)}, sort_keys=True)
+    facts = json.dumps({"name": name, "params": params, "inputs": _file_marks(spark, inputs), "code": _code_mark()}, sort_keys=True)
     return hashlib.sha256(facts.encode()).hexdigest()[:24]
 
 
