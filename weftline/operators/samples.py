@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.arrays import ensure_bos, ensure_eos, ensure_marks, mask_labels, pad_right, segments
+from ..functions.arrays import ensure_marks, mask_labels, pad_right, segments
 from ..functions.constants import IGNORE_ID, PAD_ID
 from .ordered import running_sums
 

@@ -82,9 +82,8 @@ def split_tail(df: DataFrame, dev: int, test: int, max_train: int = -1, key: str
 
 def _label(keyed: DataFrame, marks: Column, names: list[str]) -> DataFrame:
     marked = keyed.withColumn("_marks", marks)
-    label = F
-    for name in names:
-        label = label.when(within(F.col("_marks"), name, F.col("_order")), name)
+    # the first name whose rank the row lies within
+    label = F.coalesce(*[F.when(within(F.col("_marks"), name, F.col("_order")), name) for name in names])
     return marked.withColumn("split", label).where(F.col("split").isNotNull()).drop("_marks", "_order")
 
 

@@ -13,8 +13,6 @@ from ..functions.constants import (
 )
 from ..functions.text import pieces
 
-BROADCAST_VOCAB_ROWS = 1 << 20
-
 
 def training_text(df: DataFrame, max_bytes: int | None = MAX_SENTENCE_BYTES) -> DataFrame:
     """Texts within the trainer's length limit; None takes all."""
