@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weftline.llm import best_fit, exact_dedup, line_dedup, token_frames, warc
+from weftline.llm import best_fit, exact_dedup, language_id, line_dedup, lm_score, piece_sampling, token_frames, warc
 from weftline.session import fresh_folder
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -24,6 +24,21 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+@query
+def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = language_id.fit(docs.filter(~language_id.held_out()))
+    return language_id.predict(docs, model).select("doc_id", language_id.held_out().alias("held_out"), "lang_pred", "score")
+
+
+@query
+def op3_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The target is what the labels call good."""
+    docs = table(spark, sf_dir, "documents")
+    good = table(spark, sf_dir, "labels").filter("quality = 1").select("doc_id")
+    return lm_score.score(docs, lm_score.fit(docs, good))
+
+
 @query
 def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_copies(table(spark, sf_dir, "documents"), digest_all=True)
@@ -36,6 +51,11 @@ SELECT doc_id, keep_id, group_size, doc_id = keep_id AS kept, text_sha256 FROM d
 """
 
 
+@query
+def op5_piece_sampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return piece_sampling.sample_pieces(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"), ids=False)
+
+
 @query
 def op7_best_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return best_fit.pack_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), end_id=1, capacity=4096)

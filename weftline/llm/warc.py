@@ -23,7 +23,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from weftline.llm.common import batches, file_system, only, write_file
+from weftline.llm.common import batches, file_system, only, partitions_for, write_file
 from weftline.session import written
 
 #: Fixed values of the archive format.
@@ -150,6 +150,10 @@ def _reader(folder: str, gap: int, most: int, payloads: bool):
 
 
 def read_records(index: DataFrame, folder: str, gap: int = 1 << 16, most: int = 8 << 20, payloads: bool = True) -> DataFrame:
-    """The records of these index rows, read in order of their places; neighbours at most ``gap`` bytes apart share a read."""
-    places = index.select("file", "offset", "length").repartitionByRange("file", "offset").sortWithinPartitions("file", "offset")
+    """The records of these index rows, read in order of their places; neighbours at most ``gap`` bytes apart share a read.
+
+    An index row is small and stands for a whole record, so tasks are counted by the bytes to read.
+    """
+    tasks = partitions_for(index.agg(F.coalesce(F.sum("length"), F.lit(0))).first()[0], 2 * most)
+    places = index.select("file", "offset", "length").repartitionByRange(tasks, "file", "offset").sortWithinPartitions("file", "offset")
     return places.mapInArrow(_reader(folder, gap, most, payloads), _RECORD_DDL)
