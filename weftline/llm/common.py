@@ -103,7 +103,7 @@ def shingle_sets(texts: list[bytes], size: int) -> Iterator[np.ndarray]:
             if n >= size:
                 yield np.unique(full[at : at + n - size + 1])
             elif n:
-                yield mix((words[at : at + n] * weights[:n]).sum(dtype=np.uint64, keepdims=True) + weights[size] * np.uint64(n))
+                yield mix((words[at : at + n] * weights[:n]).sum(dtype=np.uint64, keepdims=True) + np.uint64(int(weights[size]) * n & _MASK))
             else:
                 yield np.empty(0, np.uint64)
             at += n

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weftline.llm import best_fit, exact_dedup, knn_join, language_id, line_dedup, lm_score, piece_sampling, token_frames, warc
+from weftline.llm import best_fit, exact_dedup, jaccard_join, knn_join, language_id, line_dedup, lm_score, piece_sampling, token_frames, warc
 from weftline.session import fresh_folder
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -31,6 +31,11 @@ def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.predict(docs, model).select("doc_id", language_id.held_out().alias("held_out"), "lang_pred", "score")
 
 
+@query
+def op2_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.linked_documents(table(spark, sf_dir, "documents"), size=4, num=85, den=100).drop("class_id")
+
+
 @query
 def op3_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The target is what the labels call good."""
