@@ -148,7 +148,7 @@ def _sketch(size: int, t: Threshold):
                 n.append(len(tokens))
                 sig.append(signature(tokens) if len(tokens) else None)
                 heads.append(tokens[: -(-t.prefix(len(tokens)) // 4)])
-            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(n, pa.int64()), pa.array(sig, pa.binary()), long_lists(heads)], ["id", "n", "sig", "head"])
+            yield pa.RecordBatch.from_arrays([part.column(0), part.column(2), pa.array(n, pa.int64()), pa.array(sig, pa.binary()), long_lists(heads)], ["id", "text_hash", "n", "sig", "head"])
 
     return run
 
@@ -331,11 +331,11 @@ def _frequent_bits(lists: DataFrame, least: int) -> np.ndarray:
 
 
 def linked_documents(docs: DataFrame, size: int = 4, num: int = 85, den: int = 100, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per input row: the id, n_shingles, class_id (signature of its set, null if empty), component_id."""
+    """One row per input row: the id, text_hash (xxhash64 of the text), n_shingles, class_id (signature of its set, null if empty), component_id."""
     spark = docs.sparkSession
     t = Threshold(num, den)
     texts = only(docs, id_col, text_col).select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-    base = written(texts.mapInArrow(_sketch(size, t), "id long, n long, sig binary, head array<long>"), "jaccard-base")
+    base = written(texts.withColumn("text_hash", F.xxhash64("text")).mapInArrow(_sketch(size, t), "id long, text_hash long, n long, sig binary, head array<long>"), "jaccard-base")
     rows = base.filter("sig is not null")
     classes = rows.groupBy("sig", "n").agg(F.min("id").alias("least_id")).withColumn("cid", F.monotonically_increasing_id())
     classes = written(classes, "jaccard-classes")
@@ -416,5 +416,5 @@ def _finish(texts: DataFrame, base: DataFrame, classes: DataFrame, entries: Data
     named = classes.join(labels.hint("merge"), classes.cid == labels.id, "left").select("sig", "least_id", F.coalesce("label", "cid").alias("label"))
     smallest = named.groupBy("label").agg(F.min("least_id").alias("component_id"))
     of_class = named.join(smallest.hint("merge"), "label").select("sig", "component_id")
-    out = base.select("id", "n", "sig").join(of_class.hint("merge"), "sig", "left")
-    return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.lower(F.hex("sig")).alias("class_id"), F.when(F.col("sig").isNull(), F.col("id")).otherwise(F.col("component_id")).alias("component_id"))
+    out = base.select("id", "text_hash", "n", "sig").join(of_class.hint("merge"), "sig", "left")
+    return out.select(F.col("id").alias(id_col), "text_hash", F.col("n").alias("n_shingles"), F.lower(F.hex("sig")).alias("class_id"), F.when(F.col("sig").isNull(), F.col("id")).otherwise(F.col("component_id")).alias("component_id"))

@@ -9,7 +9,8 @@ their id. A gram enters a language's filter when it occurs there at least ``leas
 ``share`` of its highest rate in any language. The table's size follows the number of grams, up to ``most_slots``.
 
 A text that is null or has no letter is ``und`` with score 0. Ties go to the language with more sampled rows, then by name.
-Rows with a null text or language teach nothing; without any, every row is ``und``. A null id counts as an empty one.
+Rows with a null text or language teach nothing; if none are left, a text with letters has a null language and score 0. A
+null id counts as an empty one.
 """
 
 from __future__ import annotations
@@ -160,10 +161,10 @@ def shares(model: Model, texts: list[str | None]) -> tuple[np.ndarray, np.ndarra
     return n, np.clip((rate - model.false_rate) / (1 - np.minimum(model.false_rate, 0.999999)), 0, 1)
 
 
-def predict(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
-    """The id, the ``keep`` columns, lang_pred and score of every row, from its whole text alone."""
+def predict(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = (), named: tuple[str, str] = ("lang_pred", "score")) -> DataFrame:
+    """The id, the ``keep`` columns, and the language and score of every row, ``named`` so, from its whole text alone."""
     sent = docs.sparkSession.sparkContext.broadcast((model.languages, model.table, model.hashes, model.false_rate))
-    names = [id_col, *keep]
+    names = [*dict.fromkeys([id_col, *keep])]
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = Model(*sent.value)
@@ -174,12 +175,12 @@ def predict(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str
                 score = np.where(n > 0, rate[np.arange(len(n)), best], 0.0)
                 lang = [known.languages[i] if k else UNKNOWN for i, k in zip(best.tolist(), n.tolist())]
             else:
-                score, lang = np.zeros(len(n)), [UNKNOWN] * len(n)
-            yield pa.RecordBatch.from_arrays([*part.columns[:-1], pa.array(lang, pa.string()), pa.array(score, pa.float64())], [*names, "lang_pred", "score"])
+                score, lang = np.zeros(len(n)), [None if k else UNKNOWN for k in n.tolist()]
+            yield pa.RecordBatch.from_arrays([*part.columns[:-1], pa.array(lang, pa.string()), pa.array(score, pa.float64())], [*names, *named])
 
     rows = docs.select(*names, F.col(text_col).cast("string").alias("__text"))
     ddl = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*names).schema)
-    return rows.mapInArrow(run, f"{ddl}, lang_pred string, score double")
+    return rows.mapInArrow(run, f"{ddl}, `{named[0]}` string, `{named[1]}` double")
 
 
 def held_out(id_col: str = "doc_id"):

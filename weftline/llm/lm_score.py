@@ -140,7 +140,8 @@ def fit(docs: DataFrame, target_ids: DataFrame, id_col: str = "doc_id", text_col
     top = words.orderBy(F.desc("background"), "key").limit(vocabulary).select("key").toArrow()["key"].to_numpy()
     known = Vocabulary(top.view(np.uint64), slots)
     target = target_ids.select(F.col(id_col).alias("id")).filter("id is not null").distinct().withColumn("target", F.lit(True))
-    flagged = texts.join(target, "id", "left").select("text", F.coalesce("target", F.lit(False)).alias("target"))
+    # A merge join at every size: tasks hold neither side whole, and hot ids are split at run time.
+    flagged = texts.join(target.hint("merge"), "id", "left").select("text", F.coalesce("target", F.lit(False)).alias("target"))
     counts = written(_counted(flagged, known.keys), "lm-counts")
     got = counts.select(F.col("key").cast("int"), "background", "target").toArrow()  # at most slots + 2 * vocabulary + 4 rows
     sums = np.stack([got["background"].to_numpy(), got["target"].to_numpy()])

@@ -39,7 +39,8 @@ _PARTS = re.compile(rf" *[^ {re.escape(CUTS)}]+| *[{re.escape(CUTS)}]+[^ {re.esc
 class Lattice:
     """The vocabulary, and the filtered lattices of the parts seen so far, as arrays over edges.
 
-    Node k's incoming edges hold the values k + (cumulated share of the mass); drawing one is a search for k + u.
+    Node k's incoming edges lie from ``head[k]`` on and hold the values k + (cumulated share of the mass); the drawn one is
+    the first above k + u.
     """
 
     def __init__(self, path: str, theta: float):
@@ -58,26 +59,46 @@ class Lattice:
                 self.bytes_of[i] = bytes([int(piece[3:5], 16)])
             elif not (model.is_control(i) or model.is_unknown(i) or model.is_unused(i)):
                 text = piece.replace(MARK, " ")
-                self.weight[text] = (i, math.exp(-theta * math.log(rank + 2)))
+                self.weight[text] = (i, -theta * math.log(rank + 2))
                 self.bytes_of[i] = text.encode()
                 rank += 1
-        self.byte_weight = math.exp(-theta * math.log(rank + 2))
-        inside = {p[:k] for p in self.weight for k in range(1, len(p))}
-        self.prefixes = inside
+        self.byte_weight = -theta * math.log(rank + 2)
+        self.tables = self._tables()
         bad = [p for p in self.weight if " " in p.lstrip(" ") or any(a not in " " + CUTS and b in CUTS and a.isalnum() and a.isascii() for a, b in zip(p, p[1:]))]
         if bad:
             raise ValueError(f"pieces cross the borders of parts: {bad[:5]}")
         self.crossing = {p[k : k + 2] for p in self.weight for k in range(len(p) - 1) if p[k] not in " " + CUTS and p[k + 1] in CUTS}
+        self.may_cross = re.compile(f"[{re.escape(''.join(sorted({a for a, _ in self.crossing})))}][{re.escape(CUTS)}]") if self.crossing else None
         self.ends: dict[str, int] = {}
         self.nodes = self.size = 0
         self.share, self.before = np.empty(1 << 16), np.empty(1 << 16, np.int64)
-        self.unit = np.empty(1 << 16, np.int64)
+        self.unit, self.head = np.empty(1 << 16, np.int64), np.empty(1 << 16, np.int64)
         self.units: list[tuple[int, ...]] = [(i,) for i in range(n)]  # several ids for a character in bytes
         self.unit_of_char: dict[str, int] = {}
+        self.flat = (np.empty(0, np.int64), np.empty(0, np.int64))
+
+    def _extend(self, h: np.ndarray, code: np.ndarray) -> np.ndarray:
+        """Hash of a run of characters from that of the run without its last one."""
+        return mix(h * constants(9, 1)[0] + code.astype(np.uint64) + np.uint64(1))
+
+    def _tables(self) -> list[tuple[np.ndarray, ...]]:
+        """For each length: sorted hashes of the runs that pieces start with, the piece's id (-1: none), its weight, whether longer ones exist."""
+        inside = {p[:k] for p in self.weight for k in range(1, len(p))}
+        out = []
+        for size in range(1, max(map(len, self.weight)) + 1):
+            runs = sorted({p for p in self.weight if len(p) == size} | {p for p in inside if len(p) == size})
+            codes = np.frombuffer("".join(runs).encode("utf-32-le"), np.uint32).reshape(len(runs), size)
+            h = np.zeros(len(runs), np.uint64)
+            for j in range(size):
+                h = self._extend(h, codes[:, j])
+            order = np.argsort(h)
+            ids = np.array([self.weight.get(r, (-1, 0.0))[0] for r in runs])[order]
+            out.append((h[order], ids, np.array([self.weight.get(r, (-1, 0.0))[1] for r in runs])[order], np.array([r in inside for r in runs])[order]))
+        return out
 
     def parts(self, text: str) -> list[str]:
         found = _PARTS.findall(" " + text)
-        if self.crossing:  # a border that some piece does cross is none
+        if self.may_cross and self.may_cross.search(text):  # a border that some piece does cross is none
             joined: list[str] = []
             for p in found:
                 if joined and joined[-1][-1] + p[0] in self.crossing:
@@ -87,54 +108,83 @@ class Lattice:
             return joined
         return found
 
+    def unit_ids(self) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all units in a row, and where each unit's ids begin."""
+        if len(self.flat[1]) != len(self.units) + 1:
+            self.flat = np.array([i for u in self.units for i in u]), np.concatenate(([0], np.cumsum([len(u) for u in self.units])))
+        return self.flat
+
     def _char(self, c: str) -> int:
         if c not in self.unit_of_char:
             self.unit_of_char[c] = len(self.units)
             self.units.append(tuple(self.byte_id[b] for b in c.encode()))
         return self.unit_of_char[c]
 
-    def filter(self, part: str, first: int) -> tuple[list[float], list[int], list[int]]:
-        """Share, node before (-1: the start) and unit of each edge, for nodes numbered from ``first``."""
-        n = len(part)
-        edges: list[list[tuple[int, int, float]]] = [[] for _ in range(n + 1)]
-        weight, prefixes = self.weight, self.prefixes
-        for i in range(n):
-            for j in range(i + 1, n + 1):
-                piece = part[i:j]
-                found = weight.get(piece)
-                if found:
-                    edges[j].append((i, found[0], found[1]))
-                elif j == i + 1:
-                    size = len(piece.encode())
-                    edges[j].append((i, self._char(piece), self.byte_weight**size))
-                if piece not in prefixes:
-                    break
-        mass = [1.0] + [0.0] * n  # of each node, scaled by the masses of the nodes before it
-        share, before, unit = [], [], []
-        scale = [0.0] * (n + 1)
-        long = n > 24
-        for j in range(1, n + 1):
-            through = [mass[i] * w * (math.exp(scale[i] - scale[j - 1]) if long else 1.0) for i, _, w in edges[j]]
-            total = sum(through)
-            if long:  # keep masses near 1, their logarithms beside them
-                scale[j], mass[j] = scale[j - 1] + math.log(total), 1.0
-            else:
-                mass[j] = total
-            done = 0.0
-            node = first + j - 1
-            for (i, u, _), t in zip(edges[j], through):
-                done += t
-                share.append(node + min(done / total, 1.0))
-                before.append(first + i - 1 if i else -1)
-                unit.append(u)
-            share[-1] = float(node + 1)
-        return share, before, unit
-
-    def _append(self, columns: tuple[list, list, list], at: int) -> None:
-        need = at + len(columns[0])
-        while need > len(self.share):
-            self.share, self.before, self.unit = (np.concatenate([x, np.empty_like(x)]) for x in (self.share, self.before, self.unit))
-        for array, values in zip((self.share, self.before, self.unit), columns):
+    def _edges(self, codes: np.ndarray, left: np.ndarray) -> tuple[np.ndarray, ...]:
+        """First and last character, unit and log weight of every edge; ``left``: characters to the end of the part, itself included."""
+        start, end, unit, weight = [], [], [], []
+        at, h = np.arange(len(codes)), np.zeros(len(codes), np.uint64)
+        for size in range(1, len(self.tables) + 1):
+            h = self._extend(h, codes[at + size - 1])
+            known, ids, weights, more = self.tables[size - 1]
+            k = np.minimum(np.searchsorted(known, h), len(known) - 1)
+            seen = known[k] == h
+            whole = seen & (ids[k] >= 0)
+            start.append(at[whole])
+            end.append(at[whole] + size - 1)
+            unit.append(ids[k[whole]])
+            weight.append(weights[k[whole]])
+            if size == 1:
+                for i in np.flatnonzero(~whole).tolist():
+                    c = chr(codes[i])
+                    start.append([i])
+                    end.append([i])
+                    unit.append([self._char(c)])
+                    weight.append([self.byte_weight * len(c.encode())])
+            go = seen & more[k] & (left[at] > size)
+            at, h = at[go], h[go]
+        return tuple(np.concatenate(x) for x in (start, end, unit, weight))
+
+    def filter(self, parts: list[str], first: int) -> tuple[np.ndarray, ...]:
+        """Share, node before (-1: the start) and unit of the edges of all parts, and each node's first edge; a character's node is the one behind it.
+
+        The sums run over all parts at once, character by character. A sum is kept as its logarithm, and each step works
+        relative to the node before, so that long parts neither vanish nor overflow.
+        """
+        codes = np.frombuffer("".join(parts).encode("utf-32-le"), np.uint32)
+        lengths = np.array([len(p) for p in parts])
+        begin = np.repeat(np.cumsum(lengths) - lengths, lengths)
+        place = np.arange(len(codes)) - begin
+        start, end, unit, weight = self._edges(codes, np.repeat(lengths, lengths) - place)
+        by = np.lexsort((start, end))
+        start, end, unit, weight = start[by], end[by], unit[by], weight[by]
+        mass, through = np.zeros(len(codes)), np.empty(len(end))
+        order = np.argsort(place[end], kind="stable")
+        slices = np.searchsorted(place[end][order], np.arange(int(lengths.max()) + 1))
+        for j, (a, b) in enumerate(zip(slices[:-1], slices[1:])):
+            own = order[a:b]
+            node, from_ = end[own], start[own]
+            base = mass[node - 1] if j else np.zeros(b - a)
+            before = np.where(place[from_] > 0, mass[from_ - 1], 0.0)
+            t = through[own] = np.exp(before + weight[own] - base)
+            heads = np.flatnonzero(np.diff(node, prepend=-1))
+            mass[node[heads]] = base[heads] + np.log(np.add.reduceat(t, heads))
+        heads = np.flatnonzero(np.diff(end, prepend=-1))
+        sizes = np.diff(np.append(heads, len(end)))
+        total = np.repeat(np.add.reduceat(through, heads), sizes)
+        running = np.cumsum(through / total)
+        within = running - np.repeat(running[heads] - (through / total)[heads], sizes)
+        share = first + end + np.clip(within, 0.0, 1.0)
+        share[heads + sizes - 1] = first + end[heads] + 1.0
+        return np.maximum.accumulate(share), np.where(place[start] > 0, first + start - 1, -1), unit, heads
+
+    def _append(self, columns: tuple[np.ndarray, ...], edge: int, node: int) -> None:
+        for name, at, values in zip(("share", "before", "unit", "head"), (edge, edge, edge, node), columns):
+            array = getattr(self, name)
+            need = at + len(values)
+            if need > len(array):
+                array = np.concatenate([array, np.empty(max(len(array), need - len(array)), array.dtype)])
+                setattr(self, name, array)
             array[at:need] = values
 
     def last_nodes(self, parts: list[str]) -> tuple[np.ndarray, int]:
@@ -143,26 +193,16 @@ class Lattice:
         found = [*map(known.get, parts)]
         edges = self.size
         if None in found:
-            share, before, unit = [], [], []
-            nodes, passing = self.nodes, {}
-            keeping = len(known) < KEPT_PARTS and self.size < KEPT_EDGES
-            for k, f in enumerate(found):
-                if f is None:
-                    p = parts[k]
-                    end = passing.get(p)
-                    if end is None:
-                        a, b, c = self.filter(p, nodes)
-                        share += a
-                        before += b
-                        unit += c
-                        nodes += len(p)
-                        end = passing[p] = nodes - 1
-                    found[k] = end
-            self._append((share, before, unit), self.size)
-            edges = self.size + len(share)
-            if keeping:
+            new = list(dict.fromkeys(p for p, f in zip(parts, found) if f is None))
+            columns = self.filter(new, self.nodes)
+            last = (self.nodes - 1 + np.cumsum([len(p) for p in new])).tolist()
+            passing = dict(zip(new, last))
+            found = [passing[p] if f is None else f for p, f in zip(parts, found)]
+            self._append((*columns[:3], columns[3] + self.size), self.size, self.nodes)
+            edges = self.size + len(columns[0])
+            if len(known) < KEPT_PARTS and self.size < KEPT_EDGES:
                 known.update(passing)
-                self.nodes, self.size = nodes, edges
+                self.nodes, self.size = last[-1] + 1, edges
         return np.array(found, np.int64), edges
 
     def sample(self, parts: list[str], seeds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -175,7 +215,12 @@ class Lattice:
         while len(live):
             u = (mix(seeds[live] + np.uint64(len(steps_) * step_of % (1 << 64))) >> np.uint64(11)).astype(float) * 2.0**-53
             # The node's number takes bits from u; the largest u may round up to the next node's start.
-            edge = np.searchsorted(share, np.minimum(at + u, np.nextafter(at + 1.0, 0)), side="right")
+            drawn = np.minimum(at + u, np.nextafter(at + 1.0, 0))
+            edge = self.head[at]
+            low = np.flatnonzero(share[edge] <= drawn)
+            while len(low):
+                edge[low] += 1
+                low = low[share[edge[low]] <= drawn[low]]
             steps_.append((live, self.unit[edge]))
             at = self.before[edge]
             more = at >= 0
@@ -217,13 +262,11 @@ def segment(model: Lattice, keys: list, texts: list[str | None], seed: int) -> I
         size = np.array(sizes)
         place = np.arange(len(parts)) - np.repeat(np.cumsum(size) - size, size)
         units, counts = model.sample(parts, mix(np.repeat(seeds, size) + place.astype(np.uint64) * constants(8, 1)[0]))
-        if len(units) and units.max() >= len(model.bytes_of):
-            ids = [model.units[u] for u in units.tolist()]
-            lengths = np.array([len(i) for i in ids])
-            units = np.fromiter((x for i in ids for x in i), np.int64, int(lengths.sum()))
-            bounds = np.concatenate(([0], np.cumsum(lengths)))[np.concatenate(([0], np.cumsum(counts)))]
-        else:
-            bounds = np.concatenate(([0], np.cumsum(counts)))
+        flat, first = model.unit_ids()
+        lengths = np.diff(first)[units]
+        done = np.cumsum(lengths)
+        units = flat[np.repeat(first[units] - done + lengths, lengths) + np.arange(done[-1] if len(done) else 0)]
+        bounds = np.concatenate(([0], done))[np.concatenate(([0], np.cumsum(counts)))]
         borders = bounds[np.concatenate(([0], np.cumsum(size)))]
         for a, b in zip(borders[:-1].tolist(), borders[1:].tolist()):
             yield units[a:b].astype("<u4")

@@ -33,7 +33,7 @@ def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def op2_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return jaccard_join.linked_documents(table(spark, sf_dir, "documents"), size=4, num=85, den=100).drop("class_id")
+    return jaccard_join.linked_documents(table(spark, sf_dir, "documents"), size=4, num=85, den=100).drop("class_id", "text_hash")
 
 
 @query
