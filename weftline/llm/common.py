@@ -15,7 +15,7 @@ SPACE = " \t\n\x0b\x0c\r"
 SPACE_RUN = r"[\x20\x09-\x0D]+"
 
 #: Text bytes that one vectorised step takes at a time; a longer document makes a step of its own.
-STEP_BYTES = 1 << 20
+STEP_BYTES = 1 << 18
 
 _MASK = (1 << 64) - 1
 

@@ -12,7 +12,7 @@ Heavy classes are found by inverted lists over prefixes: in any common order of
 their first s - ceil(num * s / den) + 1. The order is by hash with frequent shingles last; which ones are frequent is counted
 over all documents and kept in a bit set of fixed size. The lists serve in two ways:
 
-- lists of ordinary shingles are short; their pairs are counted, and a pair goes on only if the prefix entries it shares
+- lists of ordinary shingles are short, since shingles found frequent are counted away twice; their pairs are counted, and a pair goes on only if the prefix entries it shares
   leave room for c(a, b) (an exact bound); then both whole sets are compared;
 - frequent shingles that are still in a prefix belong to classes made of frequent shingles only, families of near copies.
   Classes that such lists connect form a family; a family is cut into blocks by size, and each pair of blocks
@@ -35,6 +35,7 @@ from math import comb
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -42,10 +43,11 @@ from weftline.llm.common import batches, constants, long_lists, mix, only, raw_t
 from weftline.llm.graph import components
 from weftline.session import written
 
-#: List length from which a shingle counts as frequent, at least; and how many frequent ones the order knows at most.
-FREQUENT, MOST_FREQUENT = 24, 1 << 21
-#: Bits of the set of frequent shingles, and of the set of classes whose whole sets are compared.
-BITS = 1 << 25
+#: Documents from which a shingle counts as frequent: first in the smallest quarters of plain prefixes, then in the prefixes
+#: without those; and how many frequent ones the order knows at most (beyond, the counts from which they are so double).
+SKETCH_LEAST, LIST_LEAST, MOST_FREQUENT = 6, 8, 1 << 23
+#: Bits of the set of frequent shingles (16 MB), and of the set of rows whose whole sets are compared.
+BITS = 1 << 27
 #: Classes in one block of a family.
 BLOCK = 1024
 #: Largest size that may count as light.
@@ -153,6 +155,21 @@ def _sketch(size: int, t: Threshold):
     return run
 
 
+def _ordinary(size: int, t: Threshold, sent):
+    """The ordinary shingles of each document's prefix."""
+
+    def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        order = Order(sent.value)
+        for part in parts:
+            found = []
+            for tokens in shingle_sets(raw_texts(part.column(1)), size):
+                first, flags = order.prefix(tokens, t.prefix(len(tokens)))
+                found.append(first[~flags])
+            yield pa.RecordBatch.from_arrays([long_lists(found)], ["rare"])
+
+    return run
+
+
 def _entries(size: int, t: Threshold, light: int, sent):
     """id, sig, n, last (the prefix's last shingle), prefix, its frequent part, and subset keys of light sets."""
 
@@ -194,8 +211,8 @@ def _pairs(t: Threshold, light: int):
         place = np.arange(len(token)) - np.repeat(starts, np.diff(np.append(starts, len(token))))
         done = np.cumsum(place)
         a = 0
-        while a < len(token):  # at most about a million pairs at a time
-            b = max(a + 1, int(np.searchsorted(done, (done[a - 1] if a else 0) + (1 << 20))))
+        while a < len(token):  # a bounded number of pairs at a time
+            b = max(a + 1, int(np.searchsorted(done, (done[a - 1] if a else 0) + (1 << 18))))
             count = place[a:b]
             right = np.repeat(np.arange(a, b), count)
             left = right - 1 - (np.arange(len(right)) - np.repeat(np.cumsum(count) - count, count))
@@ -235,37 +252,56 @@ def _pairs(t: Threshold, light: int):
     return run
 
 
+def packed(tokens: np.ndarray) -> bytes:
+    """A sorted set as 48-bit hashes: whole sets move once or twice, and two sets of a thousand have one false hit in 10**8 pairs."""
+    return np.ascontiguousarray((tokens >> np.uint64(16)).view(np.uint8).reshape(-1, 8)[:, :6]).tobytes()
+
+
+def unpacked(raw: bytes) -> np.ndarray:
+    out = np.zeros((len(raw) // 6, 8), np.uint8)
+    out[:, :6] = np.frombuffer(raw, np.uint8).reshape(-1, 6)
+    return out.view(np.uint64).ravel()
+
+
+def row_slot(sig: bytes, id_: int | None) -> int:
+    """What ``xxhash64(sig, id)`` gives in Spark, cut to a slot."""
+    h = xxhash.xxh64_intdigest(sig, 42)
+    if id_ is not None:
+        h = xxhash.xxh64_intdigest(id_.to_bytes(8, "little", signed=True), h)
+    return h & (BITS - 1)
+
+
 def _whole_sets(size: int, sent):
-    """sig and the whole set of the documents whose class may be asked for."""
+    """sig and the whole set of the rows that stand for a class asked for."""
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bits = sent.value
         for part in parts:
-            out: dict[str, list] = {"id": [], "sig": [], "tokens": []}
+            out: dict[str, list] = {"sig": [], "tokens": []}
             for id_, tokens in zip(part.column(0).to_pylist(), shingle_sets(raw_texts(part.column(1)), size)):
                 if not len(tokens):
                     continue
                 sig = signature(tokens)
-                slot = int.from_bytes(sig[:4], "big") % BITS
+                slot = row_slot(sig, id_)
                 if bits[slot >> 3] >> (slot & 7) & 1:
-                    out["id"].append(id_)
                     out["sig"].append(sig)
-                    out["tokens"].append(tokens.tobytes())
-            yield from batches(out, pa.schema([("id", pa.int64()), ("sig", pa.binary()), ("tokens", pa.binary())]), 4096)
+                    out["tokens"].append(packed(tokens))
+            yield from batches(out, pa.schema([("sig", pa.binary()), ("tokens", pa.binary())]), 4096)
 
     return run
 
 
 def _verify(t: Threshold):
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in parts:
-            keep = []
-            for a, b in zip(part.column("tu").to_pylist(), part.column("tv").to_pylist()):
-                a, b = np.frombuffer(a, np.uint64), np.frombuffer(b, np.uint64)
-                both = np.sort(np.concatenate([a, b]))
-                shared = int(np.count_nonzero(both[1:] == both[:-1]))
-                keep.append(shared >= t.overlap(len(a) + len(b)))
-            yield part.select(["u", "v"]).filter(pa.array(keep, pa.bool_()))
+        for whole in parts:
+            for at in range(0, whole.num_rows, 512):
+                part, keep = whole.slice(at, 512), []
+                for a, b in zip(part.column("tu").to_pylist(), part.column("tv").to_pylist()):
+                    a, b = unpacked(a), unpacked(b)
+                    both = np.sort(np.concatenate([a, b]))
+                    shared = int(np.count_nonzero(both[1:] == both[:-1]))
+                    keep.append(shared >= t.overlap(len(a) + len(b)))
+                yield part.select(["u", "v"]).filter(pa.array(keep, pa.bool_()))
 
     return run
 
@@ -310,7 +346,7 @@ def block_links(ids: np.ndarray, sets: list[np.ndarray], group: np.ndarray, t: T
 
 def _compare(t: Threshold):
     def run(frame: pd.DataFrame) -> pd.DataFrame:
-        sets = [np.frombuffer(x, np.uint64) for x in frame["tokens"]]
+        sets = [unpacked(x) for x in frame["tokens"]]
         found = block_links(frame["cid"].to_numpy(), sets, frame["side"].to_numpy(), t)
         return pd.DataFrame({"u": found[:, 0], "v": found[:, 1]})
 
@@ -318,7 +354,7 @@ def _compare(t: Threshold):
 
 
 def _frequent_bits(lists: DataFrame, least: int) -> np.ndarray:
-    """Slots of the frequent shingles; beyond MOST_FREQUENT of them the least length rises to a higher power of two."""
+    """The bit set of the shingles that occur at least so often; of at most MOST_FREQUENT of them."""
     often = lists.groupBy("token").count().filter(F.col("count") >= least)
     often = written(often.select(F.expr(f"cast(shiftrightunsigned(token, 8) & {BITS - 1}L as int)").alias("slot"), F.expr("cast(log2(count) as int)").alias("size")), "jaccard-frequent")
     sizes = sorted(((r["size"], r["n"]) for r in often.groupBy("size").agg(F.count(F.lit(1)).alias("n")).collect()), reverse=True)
@@ -341,10 +377,12 @@ def linked_documents(docs: DataFrame, size: int = 4, num: int = 85, den: int = 1
     classes = written(classes, "jaccard-classes")
     small = {r["n"]: r["count"] for r in classes.filter(F.col("n") <= LIGHT_MOST).groupBy("n").count().collect()}
     light = light_boundary(small, t)
-    bits = _frequent_bits(rows.select(F.explode("head").alias("token")), FREQUENT)
+    bits = _frequent_bits(rows.select(F.explode("head").alias("token")), SKETCH_LEAST)
+    ordinary = texts.mapInArrow(_ordinary(size, t, spark.sparkContext.broadcast(bits)), "rare array<long>")
+    bits = bits | _frequent_bits(ordinary.select(F.explode("rare").alias("token")), LIST_LEAST)
     entries = texts.mapInArrow(_entries(size, t, light, spark.sparkContext.broadcast(bits)), "id long, n long, sig binary, rare array<long>, often array<long>, last long, keys array<long>, subset array<long>")
     own = classes.select("sig", "cid", "least_id").hint("merge")
-    entries = entries.filter("sig is not null").join(own, "sig").filter("id <=> least_id")
+    entries = entries.filter("sig is not null").join(own, "sig").filter("id <=> least_id").dropDuplicates(["sig"])
     entries = written(entries.select("cid", "n", "rare", "often", "last", "keys", "subset"), "jaccard-entries")
 
     # Light classes: a star per subset, around its smallest class.
@@ -397,17 +435,18 @@ def _finish(texts: DataFrame, base: DataFrame, classes: DataFrame, entries: Data
     # Whole sets of the classes to compare, from one more scan; a bit set of fixed size leaves out most others.
     asked = pairs.select(F.col("u").alias("cid")).unionByName(pairs.select(F.col("v").alias("cid"))).unionByName(blocks.select("cid")).distinct()
     wanted = written(classes.join(asked.hint("merge"), "cid").select("cid", "sig", "least_id"), "jaccard-wanted")
-    slots = wanted.select(F.expr(f"cast(conv(hex(substring(sig, 1, 4)), 16, 10) as long) & {BITS - 1}L").cast("int").alias("slot")).distinct()
+    slots = wanted.select(F.expr(f"cast(xxhash64(sig, least_id) & {BITS - 1}L as int)").alias("slot")).distinct()
     bits = bit_array(slots.toArrow()["slot"].to_numpy().astype(np.int64))
-    sets = texts.mapInArrow(_whole_sets(size, spark.sparkContext.broadcast(bits)), "id long, sig binary, tokens binary")
-    sets = sets.join(wanted.hint("merge"), "sig").filter("id <=> least_id").select("cid", "tokens").dropDuplicates(["cid"])
-    sets = written(sets, "jaccard-sets")
+    sets = texts.mapInArrow(_whole_sets(size, spark.sparkContext.broadcast(bits)), "sig binary, tokens binary")
+    sets = written(sets, "jaccard-sets").dropDuplicates(["sig"])
 
-    left = pairs.join(sets.select(F.col("cid").alias("u"), F.col("tokens").alias("tu")).hint("merge"), "u")
-    both = left.join(sets.select(F.col("cid").alias("v"), F.col("tokens").alias("tv")).hint("merge"), "v")
+    named = wanted.select("cid", "sig")
+    asked = pairs.join(named.toDF("u", "su").hint("merge"), "u").join(named.toDF("v", "sv").hint("merge"), "v")
+    left = asked.join(sets.toDF("su", "tu").hint("merge"), "su")
+    both = left.join(sets.toDF("sv", "tv").hint("merge"), "sv")
     links = both.select("u", "v", "tu", "tv").mapInArrow(_verify(t), "u long, v long")
 
-    member = blocks.join(sets.hint("merge"), "cid").select("cid", "family", "block", "tokens")
+    member = blocks.join(named.hint("merge"), "cid").join(sets.hint("merge"), "sig").select("cid", "family", "block", "tokens")
     first = member.join(tasks, (member.family == tasks.family) & (member.block == tasks.x)).select("cid", "tokens", tasks.family, "x", "y", F.lit(0).alias("side"))
     second = member.join(tasks.filter("x != y"), (member.family == tasks.family) & (member.block == tasks.y)).select("cid", "tokens", tasks.family, "x", "y", F.lit(1).alias("side"))
     forest = first.unionByName(second).groupBy("family", "x", "y").applyInPandas(_compare(t), "u long, v long")
