@@ -219,6 +219,7 @@ def _pairs(t: Threshold, light: int):
             nu, nv = rows["n"][left], rows["n"][right]
             small, large = np.minimum(nu, nv), np.maximum(nu, nv)
             ok = (small * t.den >= large * t.num) & (large > light) & (rows["cid"][left] != rows["cid"][right])
+            ok &= (rows["family"][left] < 0) | (rows["family"][left] != rows["family"][right])
             left, right = left[ok], right[ok]
             if len(left):
                 u, v = rows["cid"][left], rows["cid"][right]
@@ -238,7 +239,7 @@ def _pairs(t: Threshold, light: int):
         for part in parts:
             if not part.num_rows:
                 continue
-            rows = {c: part.column(c).to_numpy() for c in ("token", "cid", "n", "last")}
+            rows = {c: part.column(c).to_numpy() for c in ("token", "cid", "n", "last", "family")}
             if held is not None:
                 rows = {c: np.concatenate([held[c], rows[c]]) for c in rows}
             # The last list may go on in the next batch.
@@ -391,12 +392,15 @@ def linked_documents(docs: DataFrame, size: int = 4, num: int = 85, den: int = 1
     stars = subsets.join(centre.hint("merge"), ["key", "c"]).filter(f"cid != m.cid and (n + m.n) * {num} <= c * {num + den}").select(F.col("cid").alias("u"), F.col("m.cid").alias("v")).distinct()
 
     # Ordinary lists: pairs, bounded by what they share of their prefixes.
-    listed = entries.select("cid", "n", "last", F.explode("rare").alias("token"))
+    # Pairs within a family are left to its blocks.
+    families = written(_families(entries), "jaccard-family")
+    of = families.select("cid", "family").hint("merge")
+    listed = entries.select("cid", "n", "last", "rare").join(of, "cid", "left").select("cid", "n", "last", F.coalesce("family", F.lit(-1)).alias("family"), F.explode("rare").alias("token"))
     pairs = listed.repartition("token").sortWithinPartitions("token", "cid").mapInArrow(_pairs(t, light), ", ".join(f"{n} long" for n in _PAIR.names))
     pairs = pairs.groupBy("u", "v", "nu", "nv", "first").agg(F.sum("shared").alias("shared"))
     least = F.expr(f"({num} * (nu + nv) + {num + den - 1}) div {num + den}")
     unseen = F.expr(f"({num} * first + {den - 1}) div {den} - 1")  # of the set whose prefix ends first, what lies behind it
-    return _finish(texts, base, classes, entries, stars, pairs.filter(F.col("shared") + unseen >= least).select("u", "v"), size, t, id_col)
+    return _finish(texts, base, classes, families, stars, pairs.filter(F.col("shared") + unseen >= least).select("u", "v"), size, t, id_col)
 
 
 def _families(entries: DataFrame) -> DataFrame:
@@ -423,10 +427,10 @@ def _blocks(families: DataFrame, t: Threshold) -> tuple[DataFrame, DataFrame]:
     return blocks, blocks.groupBy("family", "block").agg(F.min("n").alias("low"), F.max("n").alias("high"))
 
 
-def _finish(texts: DataFrame, base: DataFrame, classes: DataFrame, entries: DataFrame, stars: DataFrame, pairs: DataFrame, size: int, t: Threshold, id_col: str) -> DataFrame:
+def _finish(texts: DataFrame, base: DataFrame, classes: DataFrame, families: DataFrame, stars: DataFrame, pairs: DataFrame, size: int, t: Threshold, id_col: str) -> DataFrame:
     spark = texts.sparkSession
     pairs = written(pairs, "jaccard-pairs")
-    blocks, ranges = _blocks(written(_families(entries), "jaccard-family"), t)
+    blocks, ranges = _blocks(families, t)
     blocks, ranges = written(blocks, "jaccard-blocks"), written(ranges, "jaccard-ranges")
     a, b = ranges.alias("a"), ranges.alias("b")
     meet = (F.col("a.family") == F.col("b.family")) & (F.col("a.block") <= F.col("b.block")) & (F.col("a.high") * t.den >= F.col("b.low") * t.num)
