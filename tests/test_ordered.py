@@ -118,3 +118,9 @@ def test_epoch_order_is_a_permutation_per_epoch(spark):
     assert train.count() == 3 * 36 and splits.batch_assign(order, 12, False).count() == 120
     plan = splits.step_plan(order, 2, 2, 2).where("epoch = 0 and position = 13").first()
     assert (plan["step"], plan["accumulation"], plan["device"]) == (1, 1, 0)
+
+
+def test_null_keys_keep_their_rows(spark):
+    df = spark.createDataFrame([(None, 1), (None, 2), ("a", 1), (None, 3)], "k string, t int")
+    out = ordered.ranked(df, ["t"], keys=["k"])
+    assert sorted(((r.k or "", r.t, r["rank"]) for r in out.collect())) == [("", 1, 0), ("", 2, 1), ("", 3, 2), ("a", 1, 0)]

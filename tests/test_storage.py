@@ -133,3 +133,15 @@ def test_event_time_windows(spark):
     query.awaitTermination()
     got = spark.sql("select sum(batches), sum(tokens), min(tokens_per_sec), max(tokens_per_sec), count(distinct start) > 20 from rates").first()
     assert tuple(got) == (df.count(), df.count() * 5, 10.0, 10.0, True)
+
+
+def test_text_sink_keeps_every_character(spark, tmp_path):
+    from pyspark.sql import types as T
+
+    from weftline.sources import corpora
+
+    texts = ["a\rb", "a\r\nb", "back\\slash", "\\n", "\\\n", "\\\\r\r", "nul\x00", "plain"]
+    df = spark.createDataFrame([(t, "en", "train") for t in texts], "text string, lang string, split string")
+    corpora.write_splits(df, f"file://{tmp_path}/t", "text")
+    back = corpora.read_splits(spark, f"file://{tmp_path}/t", T.StructType([T.StructField("text", T.StringType())]), "text")
+    assert sorted(r.text for r in back.collect()) == sorted(texts)

@@ -36,10 +36,12 @@ def cross_covariance(source: DataFrame, target: DataFrame, dictionary: DataFrame
     pairs = dictionary.join(source.select(F.col("token").alias("source_token"), F.col("aux").alias("x")), "source_token").join(
         target.select(F.col("token").alias("target_token"), F.col("aux").alias("y")), "target_token"
     )
-    unit = lambda v: F.transform(v, lambda a: a / F.sqrt(F.aggregate(v, F.lit(0.0), lambda s, b: s + b * b)))
+    unit = lambda v: F.transform(v, lambda a: F.coalesce(F.try_divide(a, F.sqrt(F.aggregate(v, F.lit(0.0), lambda s, b: s + b * b))), F.lit(0.0)))
     flat = pairs.select(unit(F.col("x")).alias("x"), unit(F.col("y")).alias("y")).select(F.posexplode("x").alias("i", "a"), "y")
     cells = flat.select("i", "a", F.posexplode("y").alias("j", "b")).groupBy("i", "j").agg(F.sum(F.col("a") * F.col("b")).alias("v"))
     rows = cells.toPandas()  # dim * dim rows
+    if rows.empty:
+        return np.zeros((0, 0))
     out = np.zeros((int(rows["i"].max()) + 1, int(rows["j"].max()) + 1))
     out[rows["i"].to_numpy(), rows["j"].to_numpy()] = rows["v"].to_numpy()
     return out
@@ -47,7 +49,10 @@ def cross_covariance(source: DataFrame, target: DataFrame, dictionary: DataFrame
 
 def alignment(source: DataFrame, target: DataFrame, dictionary: DataFrame) -> np.ndarray:
     """Orthogonal map that turns source vectors into the target space."""
-    u, _, vt = np.linalg.svd(cross_covariance(source, target, dictionary))
+    product = cross_covariance(source, target, dictionary)
+    if not product.size:  # nothing to align by
+        return np.eye(len((source.select("aux").first() or [[]])[0]))
+    u, _, vt = np.linalg.svd(product)
     return u @ vt
 
 

@@ -68,11 +68,12 @@ def running_sums(
         *[F.coalesce(F.sum(f"_t_{n}").over(before), F.lit(0)).alias(f"_b_{n}") for n in names],
         *[F.sum(f"_t_{n}").over(whole).alias(f"{n}_total") for n in names if totals_too],
     )
-    if not keys:
-        bases = F.broadcast(bases)  # bounded by the number of shards
     inside = Window.partitionBy(*keys, _SHARD).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
     local = tagged.select("*", *[F.coalesce(F.sum(f"_v_{n}").over(inside), F.lit(0)).alias(f"_l_{n}") for n in names])
-    joined = local.join(bases, [*keys, _SHARD])
+    # Null keys are a group like any other; without keys, the bases are bounded by the number of shards.
+    own = bases.withColumnsRenamed({n: f"_of_{n}" for n in [*keys, _SHARD]})
+    same = [local[n].eqNullSafe(own[f"_of_{n}"]) for n in [*keys, _SHARD]]
+    joined = local.join(F.broadcast(own) if not keys else own, same).drop(*[f"_of_{n}" for n in [*keys, _SHARD]])
     running = [(F.col(f"_b_{n}") + F.col(f"_l_{n}")).alias(n) for n in names]
     return joined.select(*df.columns, *running, *[f"{n}_total" for n in names if totals_too])
 

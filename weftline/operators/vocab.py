@@ -9,13 +9,12 @@ from ..functions.constants import (
     CHARACTER_COVERAGE,
     DEFAULT_VOCAB_SIZE,
     FIRST_PIECE_ID,
-    MAX_SENTENCE_BYTES,
 )
 from ..functions.text import pieces
 
 
-def training_text(df: DataFrame, max_bytes: int | None = MAX_SENTENCE_BYTES) -> DataFrame:
-    """Texts within the trainer's length limit; None takes all."""
+def training_text(df: DataFrame, max_bytes: int | None = None) -> DataFrame:
+    """Texts within a trainer's length limit, all without one."""
     return df if max_bytes is None else df.where(F.octet_length("text") <= max_bytes)
 
 

@@ -408,8 +408,7 @@ def build() -> dict[str, str]:
     sql["step_plan"] = with_(order, *TOKENS) + """SELECT epoch, position // 32 AS step, count(*) AS samples, sum(len)::BIGINT AS tokens,
       sum((position // 8) % 4)::BIGINT AS slots, sum((position % 8) // 2)::BIGINT AS devices FROM ep JOIN tok ON doc_id = sample_id GROUP BY ALL"""
 
-    sql["word_freq"] = with_(WORDS) + """SELECT token, count(*) AS freq FROM words
-      WHERE doc_id IN (SELECT doc_id FROM documents WHERE strlen(text) <= 8192) GROUP BY token"""
+    sql["word_freq"] = with_(WORDS) + """SELECT token, count(*) AS freq FROM words GROUP BY token"""
     sql["char_coverage"] = with_(WORDS) + """, chars AS (SELECT c AS char, count(*) AS freq FROM (SELECT unnest(string_split(token, '')) AS c FROM words) WHERE c <> '' GROUP BY c)
       SELECT char, freq FROM (SELECT *, coalesce(sum(freq) OVER (ORDER BY freq DESC, char ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before,
       sum(freq) OVER () AS total FROM chars) WHERE before < 0.9995::DOUBLE * total"""

@@ -52,11 +52,12 @@ def read_texts(spark: SparkSession, path: str) -> DataFrame:
 def write_splits(df: DataFrame, path: str, fmt: str = "json") -> None:
     """One folder per language and split. A split without rows writes nothing.
 
-    The text format keeps one document per line by escaping backslashes and inner newlines.
+    The text format keeps one document per line by escaping backslashes, line feeds and carriage returns.
     """
     writer = df
     if fmt == "text":
         escaped = F.replace(F.replace(F.col("text"), F.lit("\\"), F.lit("\\\\")), F.lit("\n"), F.lit("\\n"))
+        escaped = F.replace(escaped, F.lit("\r"), F.lit("\\r"))
         writer = df.select("lang", "split", escaped.alias("text"))
     writer.write.mode("overwrite").partitionBy("lang", "split").format(fmt).save(path)
 
@@ -65,8 +66,9 @@ def read_splits(spark: SparkSession, path: str, schema: T.StructType, fmt: str =
     """Read written splits; language and split are folder columns, so filters on them prune."""
     full = T.StructType([*schema.fields, T.StructField("lang", T.StringType()), T.StructField("split", T.StringType())])
     if fmt == "text":
-        unescaped = F.replace(F.col("value"), F.lit("\\\\"), F.lit("\u0000"))
-        unescaped = F.replace(F.replace(unescaped, F.lit("\\n"), F.lit("\n")), F.lit("\u0000"), F.lit("\\"))
+        # Between escaped backslashes, the other escapes stand alone.
+        plain = F.transform(F.split("value", r"\\\\"), lambda x: F.replace(F.replace(x, F.lit("\\n"), F.lit("\n")), F.lit("\\r"), F.lit("\r")))
+        unescaped = F.array_join(plain, "\\")
         return spark.read.text(path).select(unescaped.alias("text"), "lang", "split")
     return spark.read.schema(full).format(fmt).load(path)
 
