@@ -37,7 +37,11 @@ def test_log_parsing(spark, tmp_path):
     assert summary[4]["gpu_hours"] == pytest.approx(1.5 * 7680 * 4 / 3600) and summary[4]["std_s"] == 0 and summary[4]["max_ram"] == 99.5
     assert summary[2]["oom"] and summary[2]["mean_s"] is None  # the count in the content comes first
     pairs = {r["file"]: (r["pairs"], r["oom"]) for r in benchlog.log_oom(logs).collect()}
-    assert pairs[NAME] == (6, True)
+    # a block in one line takes the line after it, which here opens the next block
+    assert pairs[NAME] == (0, True)
+    odd = [("a", "Step stats:\nStep stats:\noptimizer_step: 1"), ("b", "Step stats:\nStep stats: optimizer_step: 1\nStep stats:\noptimizer_step: 2"), ("c", ""), ("d", "Step stats:\noptimizer_step: 1\ntime\n" * 3)]
+    got = {r["file"]: r["pairs"] for r in benchlog.log_oom(spark.createDataFrame(odd, "file string, content string")).collect()}
+    assert got == {"a": 0, "b": 2, "c": 0, "d": 3}
 
 
 def test_best_and_speedup(spark):
@@ -101,10 +105,10 @@ def test_rates_fill_the_window_first(spark):
 
 
 def test_utilisation(spark):
-    data = [("NVIDIA H100 80GB HBM3", "bf16-true", 494.75e12), ("NVIDIA A10G", "transformer-engine", 1.0), ("card", "bf16-true", 1.0), ("Tesla T4", "8-true", 13e12)]
+    data = [("NVIDIA H100 80GB HBM3", "bf16-true", 494.75e12), ("NVIDIA A10G", "transformer-engine", 1.0), ("card", "bf16-true", 1.0), ("Tesla T4", "8-true", 13e12), ("Tesla V100S-PCIE-32GB", "32-true", 8.2e12), ("V4", "64-true", 27.5e12)]
     df = spark.createDataFrame(data, "device_name string, precision string, flops_per_sec double")
     got = {r["device_name"]: (r["utilisation"], r["unknown_precision"]) for r in telemetry.utilisation(df).collect()}
-    assert got == {"NVIDIA H100 80GB HBM3": (0.5, False), "NVIDIA A10G": (None, True), "card": (None, False), "Tesla T4": (0.1, False)}
+    assert got == {"NVIDIA H100 80GB HBM3": (0.5, False), "NVIDIA A10G": (None, True), "card": (None, False), "Tesla T4": (0.1, False), "Tesla V100S-PCIE-32GB": (0.5, False), "V4": (0.1, False)}
 
 
 def test_step_metrics(spark):

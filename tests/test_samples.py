@@ -95,10 +95,13 @@ def test_label_flags(spark):
 
 def test_segment_lengths(spark):
     masks = [(5, [1, 1, 2, 2, 2, 0]), (2, [1, 1, 1, 1, 1, 1]), (9, [0] * 6), (11, [1, 2, 4, 4, 0, 0])]
-    df = spark.createDataFrame(masks, "sample_id long, segment_ids array<int>")
-    got = rows(S.segment_lengths(df), "sample_id", "segment")
+    df = spark.createDataFrame(masks, "sample_id long, segment_ids array<int>").withColumn("batch_id", F.lit(0))
+    got = rows(S.segment_lengths(df).drop("batch_id"), "sample_id", "segment")
     assert got == [(2, 1, 6, 0, 6), (5, 1, 2, 6, 8), (5, 2, 3, 8, 11), (11, 1, 1, 11, 12), (11, 2, 1, 12, 13), (11, 4, 2, 13, 15)]
-    assert tuple(S.segment_summary(S.segment_lengths(df)).first()) == (6, 6, 15)
+    assert tuple(S.segment_summary(S.segment_lengths(df)).first()) == (0, 6, 6, 15)
+    two = df.withColumn("batch_id", F.when(F.col("sample_id") < 6, 0)).withColumn("place", -F.col("sample_id"))
+    got = rows(S.segment_lengths(two, order="place"), "sample_id", "segment")
+    assert got == [(0, 2, 1, 6, 5, 11), (0, 5, 1, 2, 0, 2), (0, 5, 2, 3, 2, 5), (None, 11, 1, 1, 0, 1), (None, 11, 2, 1, 1, 2), (None, 11, 4, 2, 2, 4)]
     assert S.filled_positions(df).count() == 15
 
 

@@ -144,7 +144,7 @@ def test_alignment_recovers_a_rotation(spark):
     assert all(np.allclose(got[i], v[i]) for i in range(40))
 
 
-def test_auxiliary_vectors(spark):
-    docs = spark.createDataFrame([(["a", "b", "a"],)] * 20 + [(["rare"],)], "tokens array<string>")
-    out = aligned.train_auxiliary(docs, dim=4, epochs=1, min_count=10, partitions=1)
-    assert sorted((r["token"], len(r["aux"])) for r in out.collect()) == [("a", 4), ("b", 4)]
+def test_scripts_of_the_whole_table(spark):
+    given = {"a": "Latin", "ⴰ": "Tifinagh", "ߊ": "Nko", "ⲁ": "Coptic", "ꦲ": "Javanese", "ᮊ": "Sundanese", "𐰀": "Old_Turkic", "漢": "Han", "1": "Common", "\ue000": "UNK"}
+    df = spark.createDataFrame([(i, c) for i, c in enumerate(given)], "id int, token string")
+    assert {r["token"]: r["script"] for r in scripts.token_script(df).collect()} == given

@@ -1,4 +1,4 @@
-"""Transfer through two aligned word spaces, and training of auxiliary vectors."""
+"""Transfer through two aligned word spaces."""
 
 from __future__ import annotations
 
@@ -6,30 +6,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.ml.feature import Word2Vec
-from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .overlap import neighbour_means
 
-# Dictionary name of each language.
-DICTIONARY_NAMES = {
-    "sw": "swahili",
-    "de": "german",
-    "hi": "hindi",
-    "vi": "vietnamese",
-    "ar": "arabic",
-    "lb": "luxembourgish",
-    "ceb": "cebuano",
-    "gd": "scottish gaelic",
-    "ug": "uyghur",
-    "xh": "xhosa",
-    "ha": "hausa",
-    "sm": "samoan",
-    "hmn": "hmong",
-}
-
 
 def cross_covariance(source: DataFrame, target: DataFrame, dictionary: DataFrame) -> np.ndarray:
     """Sum of outer products over dictionary pairs (source_token, target_token): dim x dim numbers, summed in Spark."""
@@ -79,13 +60,3 @@ def init_aligned(
     keys = source.join(turned, "token").select("id", "aux", "vec")
     queries = targets.join(target_space, "token").select("id", "aux")
     return targets.join(neighbour_means(queries, keys, neighbours, temperature), "id").select("token", "id", "vec")
-
-
-def train_auxiliary(
-    docs: DataFrame, dim: int = 300, epochs: int = 3, min_count: int = 10, seed: int = 42, partitions: int = 8, column: str = "tokens"
-) -> DataFrame:
-    """Token vectors trained on token arrays with Spark's skip-gram model."""
-    model = Word2Vec(
-        vectorSize=dim, maxIter=epochs, minCount=min_count, seed=seed, numPartitions=partitions, inputCol=column, outputCol="_v"
-    ).fit(docs)
-    return model.getVectors().select(F.col("word").alias("token"), vector_to_array("vector").alias("aux"))

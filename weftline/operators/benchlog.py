@@ -209,11 +209,15 @@ def dominated(grid: DataFrame, failed: DataFrame) -> DataFrame:
 
 
 def log_oom(logs: DataFrame) -> DataFrame:
-    """Logs with too few lines that open a block and are followed by a step number on the next line."""
-    lines = F.col("lines")
-    follows = F.filter(
-        F.transform(lines, lambda text, i: text.contains("optimizer_step:") & F.coalesce(F.get(lines, i - 1).contains("Step stats:"), F.lit(False))),
-        lambda hit: hit,
-    )
-    pairs = F.size(follows).cast("long")
-    return logs.select("file", F.split("content", "\n").alias("lines")).select("file", pairs.alias("pairs"), (pairs < NEEDED_TIMES).alias("oom"))
+    """Logs with too few lines that open a block and are followed by a step number on the next line.
+
+    The line after an opening one belongs to it, whatever it says, and opens nothing itself.
+    """
+
+    def read(state: Column, text: Column) -> Column:
+        stepped = (state["open"] & text.contains("optimizer_step:")).cast("long")
+        return F.struct((~state["open"] & text.contains("Step stats:")).alias("open"), (state["pairs"] + stepped).alias("pairs"))
+
+    start = F.struct(F.lit(False).alias("open"), F.lit(0).cast("long").alias("pairs"))
+    pairs = F.aggregate(F.split("content", "\n"), start, read)["pairs"]
+    return logs.select("file", pairs.alias("pairs")).withColumn("oom", F.col("pairs") < NEEDED_TIMES)

@@ -19,18 +19,19 @@ from ..functions.arrays import int_array
 from ..functions.constants import BOS_ID, EOS_ID, FIRST_BYTE_ID
 from ..functions.text import clip_words, pieces
 
-MAX_VOCAB_ROWS = 1 << 21
-
 
 def byte_ids(piece: str) -> list[int]:
     return [FIRST_BYTE_ID + b for b in piece.encode("utf-8")]
 
 
-def vocab_encoder(vocab: DataFrame) -> Callable[[list[str]], list[list[int]]]:
-    """Encoder of distinct pieces: the id of the piece, else the ids of its bytes."""
-    rows = vocab.select("token", "id").limit(MAX_VOCAB_ROWS + 1).toPandas()
-    if len(rows) > MAX_VOCAB_ROWS:
-        raise ValueError(f"a vocabulary may have {MAX_VOCAB_ROWS} entries at most")
+def vocab_encoder(vocab: DataFrame, most: int = 1 << 21) -> Callable[[list[str]], list[list[int]]]:
+    """Encoder of distinct pieces: the id of the piece, else the ids of its bytes.
+
+    The vocabulary is sent to every task; one of more than ``most`` entries is refused.
+    """
+    rows = vocab.select("token", "id").limit(most + 1).toPandas()
+    if len(rows) > most:
+        raise ValueError(f"a vocabulary may have {most} entries at most")
     shared = vocab.sparkSession.sparkContext.broadcast(dict(zip(rows["token"].tolist(), rows["id"].tolist())))
 
     def encode(found: list[str]) -> list[list[int]]:

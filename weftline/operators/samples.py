@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.arrays import ensure_marks, mask_labels, pad_right, segments
@@ -108,17 +108,19 @@ def training_samples(members: DataFrame, tokens: DataFrame, block: int, access:
     raise ValueError(f"unknown access: {access}")
 
 
-def segment_lengths(samples: DataFrame, mask: str = "segment_ids") -> DataFrame:
-    """Length and start of every segment, along all rows in order, as variable-length attention needs them.
+def segment_lengths(samples: DataFrame, mask: str = "segment_ids", order: str = "sample_id", batch: str = "batch_id") -> DataFrame:
+    """Length and start of every segment along the rows of its batch, as variable-length attention needs them.
 
-    Lengths come from array expressions inside the row; only one total per row enters the running sum.
+    Lengths come from array expressions inside the row; a window holds one batch, without the masks.
     """
     top = F.coalesce(F.array_max(mask), F.lit(0))
     numbers = F.filter(F.sequence(F.lit(1), F.greatest(top, F.lit(1))), lambda s: s <= top)
     sizes = F.transform(numbers, lambda s: F.struct(s.alias("segment"), F.size(F.filter(mask, lambda m: m == s)).alias("len")))
-    rows = samples.select("sample_id", F.filter(sizes, lambda s: s["len"] > 0).alias("parts"))
+    keys = list(dict.fromkeys([batch, order, "sample_id"]))
+    rows = samples.select(*keys, F.filter(sizes, lambda s: s["len"] > 0).alias("parts"))
     total = F.aggregate(F.col("parts"), F.lit(0).cast("long"), lambda a, p: a + p["len"])
-    based = running_sums(rows.withColumn("total", total), ["sample_id"], {"base": F.col("total")})
+    before = Window.partitionBy(batch).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
+    based = rows.withColumn("total", total).withColumn("base", F.coalesce(F.sum("total").over(before), F.lit(0)))
     inner = F.transform(
         "parts",
         lambda p, i: F.struct(
@@ -127,14 +129,9 @@ def segment_lengths(samples: DataFrame, mask: str = "segment_ids") -> DataFrame:
             F.aggregate(F.slice("parts", F.lit(1), i), F.lit(0).cast("long"), lambda a, q: a + q["len"]).alias("before"),
         ),
     )
-    flat = based.select("sample_id", "base", F.explode(inner).alias("p"))
-    return flat.select(
-        "sample_id",
-        "p.segment",
-        "p.seq_len",
-        (F.col("base") + F.col("p.before")).alias("cu_start"),
-        (F.col("base") + F.col("p.before") + F.col("p.seq_len")).alias("cu_end"),
-    )
+    flat = based.select(batch, "sample_id", "base", F.explode(inner).alias("p"))
+    start = F.col("base") + F.col("p.before")
+    return flat.select(batch, "sample_id", "p.segment", "p.seq_len", start.alias("cu_start"), (start + F.col("p.seq_len")).alias("cu_end"))
 
 
 def filled_positions(samples: DataFrame, mask: str = "segment_ids") -> DataFrame:
@@ -142,8 +139,8 @@ def filled_positions(samples: DataFrame, mask: str = "segment_ids") -> DataFrame
     return samples.select("sample_id", F.posexplode(mask).alias("column", "segment")).where(F.col("segment") != 0).drop("segment")
 
 
-def segment_summary(lengths: DataFrame) -> DataFrame:
-    return lengths.agg(F.count(F.lit(1)).alias("segments"), F.max("seq_len").alias("max_seq_len"), F.max("cu_end").alias("tokens"))
+def segment_summary(lengths: DataFrame, batch: str = "batch_id") -> DataFrame:
+    return lengths.groupBy(batch).agg(F.count(F.lit(1)).alias("segments"), F.max("seq_len").alias("max_seq_len"), F.max("cu_end").alias("tokens"))
 
 
 def label_mask(pairs: DataFrame, mask_bos: bool = False, mask_eos: bool = False) -> DataFrame:

@@ -7,17 +7,31 @@ from pyspark.sql import functions as F
 
 from ..functions.constants import TRANSFER_SPECIALS, WORD_MARK
 
-# Unicode script names.
+# Unicode script names, the most used first.
 SCRIPTS = [
     "Latin", "Common", "Inherited", "Greek", "Cyrillic", "Armenian", "Hebrew", "Arabic", "Syriac", "Thaana",
     "Devanagari", "Bengali", "Gurmukhi", "Gujarati", "Oriya", "Tamil", "Telugu", "Kannada", "Malayalam", "Sinhala",
     "Thai", "Lao", "Tibetan", "Myanmar", "Georgian", "Hangul", "Ethiopic", "Cherokee", "Khmer", "Mongolian",
     "Hiragana", "Katakana", "Bopomofo", "Han", "Yi",
+    "Adlam", "Ahom", "Anatolian_Hieroglyphs", "Avestan", "Balinese", "Bamum", "Bassa_Vah", "Batak", "Bhaiksuki", "Brahmi",
+    "Braille", "Buginese", "Buhid", "Canadian_Aboriginal", "Carian", "Caucasian_Albanian", "Chakma", "Cham", "Chorasmian",
+    "Coptic", "Cuneiform", "Cypriot", "Deseret", "Dives_Akuru", "Dogra", "Duployan", "Egyptian_Hieroglyphs", "Elbasan",
+    "Elymaic", "Glagolitic", "Gothic", "Grantha", "Gunjala_Gondi", "Hanifi_Rohingya", "Hanunoo", "Hatran", "Imperial_Aramaic",
+    "Inscriptional_Pahlavi", "Inscriptional_Parthian", "Javanese", "Kaithi", "Kayah_Li", "Kharoshthi", "Khitan_Small_Script",
+    "Khojki", "Khudawadi", "Lepcha", "Limbu", "Linear_A", "Linear_B", "Lisu", "Lycian", "Lydian", "Mahajani", "Makasar",
+    "Mandaic", "Manichaean", "Marchen", "Masaram_Gondi", "Medefaidrin", "Meetei_Mayek", "Mende_Kikakui", "Meroitic_Cursive",
+    "Meroitic_Hieroglyphs", "Miao", "Modi", "Mro", "Multani", "Nabataean", "Nandinagari", "New_Tai_Lue", "Newa", "Nko", "Nushu",
+    "Nyiakeng_Puachue_Hmong", "Ogham", "Ol_Chiki", "Old_Hungarian", "Old_Italic", "Old_North_Arabian", "Old_Permic",
+    "Old_Persian", "Old_Sogdian", "Old_South_Arabian", "Old_Turkic", "Osage", "Osmanya", "Pahawh_Hmong", "Palmyrene",
+    "Pau_Cin_Hau", "Phags_Pa", "Phoenician", "Psalter_Pahlavi", "Rejang", "Runic", "Samaritan", "Saurashtra", "Sharada",
+    "Shavian", "Siddham", "SignWriting", "Sogdian", "Sora_Sompeng", "Soyombo", "Sundanese", "Syloti_Nagri", "Tagalog",
+    "Tagbanwa", "Tai_Le", "Tai_Tham", "Tai_Viet", "Takri", "Tangut", "Tifinagh", "Tirhuta", "Ugaritic", "Vai", "Wancho",
+    "Warang_Citi", "Yezidi", "Zanabazar_Square",
 ]
 
 
 def script_of(char: Column) -> Column:
-    """Script of one character by its Unicode property, UNK outside the list."""
+    """Script of one character by its Unicode property, UNK where it has none."""
     found = F.when(char.rlike(r"^\p{IsLatin}"), "Latin")
     for name in SCRIPTS[1:]:
         found = found.when(char.rlike(rf"^\p{{Is{name}}}"), name)

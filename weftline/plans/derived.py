@@ -45,10 +45,10 @@ def warned_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Text lines with their newline, one break after every document; an order number per source."""
+    """Text lines with their newline, one break after every document; an order number per source (a string has under 2^31 lines)."""
     parts = F.concat(F.transform(F.split("text", "\n"), lambda p: F.concat(p, F.lit("\n"))), F.array(F.lit("\n")))
     flat = documents(spark, sf_dir).select("doc_id", F.col("lang").alias("source_id"), F.posexplode(parts).alias("pos", "text"))
-    return flat.select("source_id", (F.col("doc_id") * 1048576 + F.col("pos")).alias("line_no"), "text")
+    return flat.select("source_id", (F.shiftleft("doc_id", 31) + F.col("pos")).alias("line_no"), "text")
 
 
 def ragged_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -229,21 +229,20 @@ def scored(spark: SparkSession, sf_dir: str, size: int = SMALL_VOCAB, batch: int
 
 
 def iterations(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Device 0 of each run as a sequence of iterations."""
-    mine = telemetry(spark, sf_dir).where(F.col("device") == 0)
-    return mine.select(
-        "run_id", F.col("step").alias("iter"), (F.col("e2e_s") - F.col("train_s")).alias("fetch_s"), F.col("train_s").alias("iter_s")
+    """Every device of each run as a sequence of iterations of its own."""
+    return telemetry(spark, sf_dir).select(
+        (F.col("run_id") * 2 + F.col("device")).alias("run_id"), F.col("step").alias("iter"), (F.col("e2e_s") - F.col("train_s")).alias("fetch_s"), F.col("train_s").alias("iter_s")
     )
 
 
 def device_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Achieved rate per event as reported by a device under a precision."""
-    names = ["NVIDIA H100 80GB HBM3", "NVIDIA A100-SXM4-80GB", "NVIDIA A10G", "Tesla T4", "NVIDIA H100 PCIe", "Some other card"]
+    names = ["NVIDIA H100 80GB HBM3", "NVIDIA A100-SXM4-80GB", "NVIDIA A10G", "Tesla T4", "NVIDIA H100 PCIe", "Some other card", "Tesla V100S-PCIE-32GB", "V4"]
     precisions = ["bf16-true", "bf16-mixed", "16-mixed", "32-true", "transformer-engine"]
     pick = lambda values, at: F.element_at(F.array(*[F.lit(v) for v in values]), (at + 1).cast("int"))
     return table(spark, sf_dir, "events").select(
         "event_id",
-        pick(names, F.col("user_id") % 6).alias("device_name"),
+        pick(names, F.col("user_id") % 8).alias("device_name"),
         pick(precisions, F.col("event_id") % 5).alias("precision"),
         (F.col("value") * 1e12).alias("flops_per_sec"),
     )

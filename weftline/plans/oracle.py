@@ -6,15 +6,22 @@ table, packing is a recursive walk, similarities are all pairs.
 
 from __future__ import annotations
 
-from ..functions.constants import REJECTED_WARNINGS, WHITESPACE, WORD_MARK
-from ..operators.benchlog import GRID
-from ..operators.scripts import SCRIPTS
-from ..operators.telemetry import PEAK_RATES
 from .registry import BLOCK, DEV, TEST, TRAIN_CAP
 from .derived import SMALL_VOCAB
 
 B = BLOCK
+# Fixed values, spelt here again so that a wrong one in an operator shows.
+WORD_MARK = "\u2581"
+WHITESPACE = (
+    "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a"
+    "\u2028\u2029\u202f\u205f\u3000"
+)
 BLANKS = " " * len(WHITESPACE)
+REJECTED = "'noisy', 'header', 'footer', 'short_sentences', 'tiny', 'adult'"
+SCRIPTS = (
+    "Latin Common Inherited Greek Cyrillic Armenian Hebrew Arabic Devanagari Bengali Tamil Telugu Thai Georgian Hangul Ethiopic "
+    "Hiragana Katakana Han Coptic Nko Tifinagh Javanese Sundanese"
+).split()
 
 
 def with_(*parts: str) -> str:
@@ -57,7 +64,7 @@ WARNED = """warned AS (
       CASE WHEN doc_id % 2 = 0 THEN 'long_lines' END) END AS warnings
   FROM documents)"""
 LINES = """lines AS (
-  SELECT lang AS source_id, doc_id * 1048576 + pos - 1 AS line_no, text FROM (
+  SELECT lang AS source_id, doc_id * 2147483648 + pos - 1 AS line_no, text FROM (
     SELECT doc_id, lang, unnest(ls) AS text, generate_subscripts(ls, 1) AS pos FROM (
       SELECT doc_id, lang, list_append(list_transform(string_split(text, chr(10)), lambda p: p || chr(10)), chr(10)) AS ls FROM documents)))"""
 RAGGED = """ragged AS (
@@ -66,7 +73,7 @@ RAGGED = """ragged AS (
     WHEN doc_id % 4 = 1 THEN ' ' || text || '　'
     WHEN doc_id % 4 = 2 THEN ' ' || chr(10) || text || chr(13) || chr(10) ELSE text END AS text
   FROM documents)"""
-RANKED = f"ranked AS (SELECT doc_id, lang, row_number() OVER (ORDER BY {key('42', 'doc_id')}) - 1 AS r, count(*) OVER () AS n FROM documents)"
+RANKED = f"ranked AS (SELECT doc_id, lang, text, row_number() OVER (ORDER BY {key('42', 'doc_id')}) - 1 AS r, count(*) OVER () AS n FROM documents)"
 GROUPED_LINES = """grouped AS (
   SELECT source_id, doc_no, coalesce(string_agg(CASE WHEN text <> chr(10) THEN text END, '' ORDER BY line_no), '') AS text FROM (
     SELECT *, coalesce(sum(CASE WHEN text = chr(10) THEN 1 ELSE 0 END)
@@ -198,7 +205,7 @@ def vectors(source: str, extra: str = "") -> str:
 
 SCRIPT_CASE = (
     "CASE "
-    + " ".join(f"WHEN regexp_matches(c, '^\\p{{{'Zinherited' if s == 'Zinh' else s}}}') THEN '{s}'" for s in SCRIPTS)
+    + " ".join(f"WHEN regexp_matches(c, '^\\p{{{s}}}') THEN '{s}'" for s in SCRIPTS)
     + " ELSE 'UNK' END"
 )
 
@@ -291,9 +298,14 @@ def rates(world: int, window: int) -> str:
     )
 
 
-PEAKS = "peaks(device_class, p, peak) AS (VALUES " + ", ".join(
-    f"('{d}', '{p}', {v!r}::DOUBLE)" for d, by in PEAK_RATES.items() for p, v in by.items()
-) + ")"
+PEAKS = """peaks(device_class, p, peak) AS (VALUES
+  ('h100-sxm', '32-true', 67e12::DOUBLE), ('h100-sxm', '16-mixed', 989.5e12), ('h100-sxm', 'bf16-true', 989.5e12), ('h100-sxm', 'bf16-mixed', 989.5e12),
+  ('h100-sxm', '8-mixed', 1979e12), ('h100-pcie', '32-true', 51e12), ('h100-pcie', '16-mixed', 756.5e12), ('h100-pcie', 'bf16-true', 756.5e12),
+  ('h100-pcie', 'bf16-mixed', 756.5e12), ('h100-pcie', '8-mixed', 1513e12), ('a100', '32-true', 19.5e12), ('a100', '16-mixed', 312e12),
+  ('a100', 'bf16-true', 312e12), ('a100', 'bf16-mixed', 312e12), ('a10g', '32-true', 31.2e12), ('a10g', '16-mixed', 125e12),
+  ('a10g', 'bf16-true', 125e12), ('a10g', 'bf16-mixed', 125e12), ('t4', '32-true', 8.1e12), ('t4', '16-mixed', 65e12),
+  ('v100s-pcie', '32-true', 16.4e12), ('v100s-pcie', '16-mixed', 130e12), ('v4', 'bf16-true', 275e12), ('v4', 'bf16-mixed', 275e12),
+  ('v4', '16-mixed', 275e12), ('v4', '32-true', 275e12), ('v4', '8-mixed', 275e12))"""
 
 # --- tensors ---
 
@@ -305,6 +317,15 @@ flat AS (SELECT tensor, unnest(vals) AS v FROM shards)"""
 
 # --- logs ---
 
+GRID = {
+    "precision": ["bf16-true", "bf16-mixed"],
+    "devices": [8, 4, 2],
+    "mb": [1, 2, 4, 8],
+    "activation_checkpointing": ["true", "false"],
+    "fsdp_sharding_strategy": ["FULL_SHARD", "SHARD_GRAD_OP"],
+    "gradient_accumulation_no_sync": ["false", "true"],
+    "use_paged_adamw": ["true", "false"],
+}
 _sizes = [len(v) for v in GRID.values()]
 _cols, _below = [], 384
 for (_name, _values), _size in zip(GRID.items(), _sizes):
@@ -380,25 +401,24 @@ def build() -> dict[str, str]:
       SELECT doc_id, CASE WHEN r < {DEV} THEN 'dev' WHEN r < {DEV + TRAIN_CAP} THEN 'train' END AS split FROM ranked) s USING (doc_id),
       (VALUES ('json'), ('text')) f(format) WHERE s.split IS NOT NULL GROUP BY ALL"""
     sql["materialise_reuse"] = "SELECT lang, count(*) AS docs, sum(n_chars)::BIGINT AS chars, count(*) AS docs_again FROM documents GROUP BY lang"
-    sql["token_shards"] = with_(*TOKENS) + "SELECT count(*) AS docs, sum(len)::BIGINT AS tokens, 0::BIGINT AS overlaps FROM tok"
+    sql["token_shards"] = with_(*TOKENS) + "SELECT count(*) AS docs, sum(len)::BIGINT AS tokens, sum(list_sum(ids))::BIGINT AS id_sum, 0::BIGINT AS overlaps FROM tok"
     sql["token_text"] = f"SELECT doc_id, array_to_string({pieces('text')}, ' ') AS line FROM documents"
-    rejected = ", ".join(f"'{w}'" for w in REJECTED_WARNINGS)
     sql["quality_filter"] = with_(WARNED) + f"""SELECT doc_id, lang FROM warned
-      WHERE warnings IS NULL OR len(list_filter(warnings, lambda w: coalesce(w IN ({rejected}), false))) = 0"""
+      WHERE warnings IS NULL OR len(list_filter(warnings, lambda w: coalesce(w IN ({REJECTED}), false))) = 0"""
     sql["lines_to_docs"] = with_(LINES, GROUPED_LINES) + "SELECT * FROM grouped"
     sql["normalise_text"] = with_(RAGGED) + f"SELECT doc_id, {strip('text')} || chr(10) AS text FROM ragged WHERE text <> chr(10)"
     sql["clip_words"] = "SELECT doc_id, array_to_string(string_split(text, ' ')[1:64], ' ') AS text FROM documents"
 
-    sql["shuffle_global"] = with_(RANKED) + "SELECT doc_id, r AS position FROM ranked"
-    sql["shuffle_buffered"] = f"""WITH s AS (SELECT doc_id, (row_number() OVER (ORDER BY doc_id) - 1) // 100 AS b FROM documents)
-      SELECT doc_id, b * 100 + row_number() OVER (PARTITION BY b ORDER BY {key('42', 'doc_id')}) - 1 AS position FROM s"""
+    sql["shuffle_global"] = with_(RANKED) + "SELECT doc_id, text, r AS position FROM ranked"
+    sql["shuffle_buffered"] = f"""WITH s AS (SELECT doc_id, text, (row_number() OVER (ORDER BY doc_id) - 1) // 100 AS b FROM documents)
+      SELECT doc_id, text, b * 100 + row_number() OVER (PARTITION BY b ORDER BY {key('42', 'doc_id')}) - 1 AS position FROM s"""
     sql["pre_discard"] = with_(RANKED) + "SELECT doc_id, lang FROM ranked WHERE r < 450"
-    sql["sample_limit"] = with_(RANKED) + "SELECT doc_id FROM ranked WHERE r < 200"
-    sql["split_head"] = with_(RANKED) + f"SELECT doc_id, {head} AS split FROM ranked WHERE {head} IS NOT NULL"
-    sql["split_tail"] = with_(RANKED) + f"""SELECT * FROM (SELECT doc_id, CASE WHEN r < least(n - {DEV + TEST}, {TRAIN_CAP}) THEN 'train'
+    sql["sample_limit"] = with_(RANKED) + "SELECT doc_id, text FROM ranked WHERE r < 200"
+    sql["split_head"] = with_(RANKED) + f"SELECT doc_id, text, {head} AS split FROM ranked WHERE {head} IS NOT NULL"
+    sql["split_tail"] = with_(RANKED) + f"""SELECT * FROM (SELECT doc_id, text, CASE WHEN r < least(n - {DEV + TEST}, {TRAIN_CAP}) THEN 'train'
       WHEN r < n - {DEV + TEST} THEN NULL WHEN r < n - {TEST} THEN 'dev' ELSE 'test' END AS split FROM ranked) WHERE split IS NOT NULL"""
     bucket = f"('0x' || substr({key('42', 'doc_id')}, 1, 8))::UBIGINT % 10000"
-    sql["split_hash"] = f"SELECT doc_id, CASE WHEN {bucket} < 500 THEN 'dev' WHEN {bucket} < 1000 THEN 'test' ELSE 'train' END AS split FROM documents"
+    sql["split_hash"] = f"SELECT doc_id, text, CASE WHEN {bucket} < 500 THEN 'dev' WHEN {bucket} < 1000 THEN 'test' ELSE 'train' END AS split FROM documents"
     order = """ep AS (SELECT doc_id AS sample_id, e.epoch, row_number() OVER (PARTITION BY e.epoch ORDER BY md5(e.epoch || ':' || doc_id)) - 1 AS position,
       count(*) OVER (PARTITION BY e.epoch) AS n FROM documents, (SELECT unnest([0, 1, 2]) AS epoch) e)"""
     sql["epoch_order"] = with_(order) + "SELECT sample_id, epoch, position FROM ep"
@@ -443,9 +463,10 @@ def build() -> dict[str, str]:
         "stream AS (SELECT t, row_number() OVER () - 1 AS i, count(*) OVER () AS n FROM flat)") + f"""SELECT i // {B} AS sample_id,
       string_agg(t::VARCHAR, ',' ORDER BY i) AS input_ids, string_agg(coalesce(nxt, -1)::VARCHAR, ',' ORDER BY i) AS labels
       FROM (SELECT *, lead(t) OVER (ORDER BY i) AS nxt FROM stream) WHERE i // {B} < n // {B} GROUP BY 1"""
-    sql["segment_lengths"] = study + """SELECT sample_id, segment, seq_len::INTEGER AS seq_len, (sum(seq_len) OVER w - seq_len)::BIGINT AS cu_start, (sum(seq_len) OVER w)::BIGINT AS cu_end
+    sql["segment_lengths"] = study + """SELECT batch_id, sample_id, segment, seq_len::INTEGER AS seq_len, (sum(seq_len) OVER w - seq_len)::BIGINT AS cu_start, (sum(seq_len) OVER w)::BIGINT AS cu_end
       FROM (SELECT sample_id, s::INTEGER AS segment, count(*) AS seq_len FROM (SELECT sample_id, unnest(segment_ids) AS s FROM sampled) WHERE s > 0 GROUP BY ALL)
-      WINDOW w AS (ORDER BY sample_id, segment)"""
+      JOIN (SELECT sample_id, p, p // 8 AS batch_id FROM (SELECT sample_id, row_number() OVER (ORDER BY md5('0:' || sample_id)) - 1 AS p FROM sampled)) USING (sample_id)
+      WINDOW w AS (PARTITION BY batch_id ORDER BY p, segment)"""
     sql["label_mask"] = with_(*TOKENS) + """, d AS (SELECT doc_id, list_concat(CASE WHEN ids[1] = 1 THEN ids ELSE list_concat([1], ids) END, list_concat([3, 2], ids[1:2])) AS d FROM tok)
       SELECT doc_id, array_to_string(list_transform(range(2, len(d) + 1), lambda i: CASE WHEN d[i] IN (1, 2, 3) OR d[i - 1] IN (1, 2, 3) THEN -1 ELSE d[i] END), ',') AS labels FROM d"""
 
@@ -480,13 +501,13 @@ def build() -> dict[str, str]:
     sql["time_totals"] = with_(TELEMETRY) + """SELECT run_id, device, step, round(tr, 6) AS time_train, round(va, 6) AS time_val, round(tr + va, 6) AS time_total, samples * 2 AS samples FROM (
       SELECT *, sum(train_s) OVER (PARTITION BY run_id, device ORDER BY step) AS tr,
         coalesce(sum(CASE WHEN event_type = 'error' THEN train_s * 3 ELSE 0 END) OVER (PARTITION BY run_id, device ORDER BY step ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS va FROM tele)"""
-    sql["utilisation"] = with_(PEAKS, """named AS (SELECT event_id, user_id % 6 AS d, ['bf16-true', 'bf16-mixed', '16-mixed', '32-true', 'transformer-engine'][event_id % 5 + 1] AS precision,
-      value * 1000000000000::DOUBLE AS f FROM events)""", """classed AS (SELECT *, CASE d WHEN 0 THEN 'h100-sxm' WHEN 1 THEN 'a100' WHEN 2 THEN 'a10g' WHEN 3 THEN 't4' WHEN 4 THEN 'h100-pcie' END AS device_class,
+    sql["utilisation"] = with_(PEAKS, """named AS (SELECT event_id, user_id % 8 AS d, ['bf16-true', 'bf16-mixed', '16-mixed', '32-true', 'transformer-engine'][event_id % 5 + 1] AS precision,
+      value * 1000000000000::DOUBLE AS f FROM events)""", """classed AS (SELECT *, CASE d WHEN 0 THEN 'h100-sxm' WHEN 1 THEN 'a100' WHEN 2 THEN 'a10g' WHEN 3 THEN 't4' WHEN 4 THEN 'h100-pcie' WHEN 6 THEN 'v100s-pcie' WHEN 7 THEN 'v4' END AS device_class,
       CASE WHEN precision = 'transformer-engine' THEN '8-mixed' ELSE precision END AS p FROM named)""") + """SELECT event_id, device_class, precision, peak,
       round(f / peak, 6) AS utilisation, device_class IS NOT NULL AND peak IS NULL AS unknown_precision FROM classed LEFT JOIN peaks USING (device_class, p)"""
-    sql["step_metrics"] = with_(TELEMETRY) + """SELECT run_id, step // 4 + 1 AS optimizer_step, round(sum(e2e_s - train_s) / 4, 6) AS data_fetch_time, round(sum(train_s) / 4, 6) AS iter_time,
-      max(step) + 1 AS iters, (step // 4 + 1) * 256 * 4096 AS tokens, (step // 4 + 1) * 256 AS samples FROM tele WHERE device = 0
-      GROUP BY run_id, step // 4 HAVING count(*) = 4 AND (step // 4) % 5 = 0"""
+    sql["step_metrics"] = with_(TELEMETRY) + """SELECT run_id * 2 + device AS run_id, step // 4 + 1 AS optimizer_step, round(sum(e2e_s - train_s) / 4, 6) AS data_fetch_time, round(sum(train_s) / 4, 6) AS iter_time,
+      max(step) + 1 AS iters, (step // 4 + 1) * 256 * 4096 AS tokens, (step // 4 + 1) * 256 AS samples FROM tele
+      GROUP BY run_id, device, step // 4 HAVING count(*) = 4 AND (step // 4) % 5 = 0"""
     sql["tensor_hist"] = with_(TENSORS) + """, r AS (SELECT tensor, min(v) AS lo, max(v) AS hi FROM flat GROUP BY tensor),
       c AS (SELECT tensor, least(floor(64 * (v - lo) / (hi - lo)), 63)::INTEGER AS bin, count(*) AS n FROM flat JOIN r USING (tensor) GROUP BY ALL)
       SELECT r.tensor, b.bin, round(lo + bin * ((hi - lo) / 64), 6) AS edge_low, round(lo + (bin + 1) * ((hi - lo) / 64), 6) AS edge_high, coalesce(n, 0) AS count
@@ -513,10 +534,13 @@ def build() -> dict[str, str]:
     sql["config_grid"] = logs + f"""SELECT g.*, coalesce(logs, 0) AS logs, coalesce(times, 0)::BIGINT AS times FROM grid g LEFT JOIN (
       SELECT {', '.join(AXES)}, count(*) AS logs, sum(times) AS times FROM configs LEFT JOIN (SELECT file, count(time) AS times FROM kept_steps GROUP BY file) USING (file) GROUP BY ALL)
       USING ({', '.join(AXES)})"""
-    sql["dominated"] = logs + f"""SELECT g.config, EXISTS (SELECT 1 FROM summary f WHERE f.oom AND (f.devices = 2 OR f.mb = 4) AND {DOMINANCE}) AS dominated FROM grid g"""
-    sql["log_oom"] = logs + """SELECT file, count(*) FILTER (contains(text, 'optimizer_step:') AND coalesce(contains(prev, 'Step stats:'), false)) AS pairs,
-      count(*) FILTER (contains(text, 'optimizer_step:') AND coalesce(contains(prev, 'Step stats:'), false)) < 10 AS oom
-      FROM (SELECT *, lag(text) OVER (PARTITION BY file ORDER BY line_no) AS prev FROM lines) GROUP BY file"""
+    sql["dominated"] = logs + f"""SELECT g.config, EXISTS (SELECT 1 FROM (SELECT {', '.join(AXES)} FROM summary GROUP BY ALL HAVING bool_and(oom)) f WHERE {DOMINANCE}) AS dominated FROM grid g"""
+    # after an odd run of openings, the line belongs to the last of them
+    sql["log_oom"] = logs + """, n AS (SELECT file, text, row_number() OVER (PARTITION BY file ORDER BY line_no) AS i FROM lines),
+      o AS (SELECT file, text, i - 1 - coalesce(max(CASE WHEN NOT contains(text, 'Step stats:') THEN i END)
+        OVER (PARTITION BY file ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS openings FROM n)
+      SELECT file, count(*) FILTER (contains(text, 'optimizer_step:') AND openings % 2 = 1) AS pairs,
+        count(*) FILTER (contains(text, 'optimizer_step:') AND openings % 2 = 1) < 10 AS oom FROM o GROUP BY file"""
 
     rounds = 16
     merges = ["""w0 AS MATERIALIZED (SELECT ' ' || array_to_string(list_filter(string_split(token, ''), lambda c: c <> ''), '  ') || ' ' AS s, count(*) AS freq
@@ -527,9 +551,7 @@ def build() -> dict[str, str]:
           GROUP BY ALL ORDER BY f DESC, l, r LIMIT 1)""")
         merges.append(f"w{i + 1} AS MATERIALIZED (SELECT replace(s, ' ' || l || '  ' || r || ' ', ' ' || l || r || ' ') AS s, freq FROM w{i}, b{i})")
     sql["bpe_merges"] = with_(WORDS, *merges) + " UNION ALL ".join(f'SELECT {i}::BIGINT AS rank, l AS "left", r AS "right", f AS freq FROM b{i}' for i in range(rounds))
-    # trained and aligned vectors have no SQL; which tokens get one does
-    sql["aux_vectors"] = with_(WORDS, vocab("v"), token_rows("tok", "words", "v")) + """SELECT label::VARCHAR AS token, 32 AS dim
-      FROM (SELECT unnest(ids) AS label FROM tok) GROUP BY label HAVING count(*) >= 10"""
+    # aligned vectors have no SQL; which tokens get one does
     sql["init_aligned"] = with_(*TRANSFER, aux("aux_de", "de")) + "SELECT token, id, (SELECT w FROM width)::INTEGER AS dim FROM tgt JOIN aux_de USING (token)"
     german = "german AS (SELECT * FROM words WHERE lang = 'de')"
     sql["german_packing"] = with_(WORDS, vocab("v", lang="de"), german, token_rows("tok", "german", "v"), PACK, *packed(True, False)) + f"""SELECT r.*,
@@ -539,7 +561,7 @@ def build() -> dict[str, str]:
     # a stream must give what the batch gives
     sql["stream_ingest"] = with_(WARNED) + f"""SELECT doc_id, CASE WHEN {bucket} < 500 THEN 'dev' WHEN {bucket} < 1000 THEN 'test' ELSE 'train' END AS split,
       {strip('text')} || chr(10) AS text FROM warned WHERE text <> chr(10)
-      AND (warnings IS NULL OR len(list_filter(warnings, lambda w: coalesce(w IN ({rejected}), false))) = 0)"""
+      AND (warnings IS NULL OR len(list_filter(warnings, lambda w: coalesce(w IN ({REJECTED}), false))) = 0)"""
     sql["stream_docs"] = sql["lines_to_docs"]
     sql["stream_throughput"] = sql["throughput"]
     return sql

@@ -118,15 +118,16 @@ def materialise_reuse(spark, sf_dir):
 def token_shards(spark, sf_dir):
     """Tokens in contiguous shards: read back, no file overlaps the next one."""
     folder = fresh_folder(spark, "shards")
-    corpora.write_contiguous(derived.tokens(spark, sf_dir).select("doc_id", "len"), folder, "doc_id", 16)
+    corpora.write_contiguous(derived.tokens(spark, sf_dir).select("doc_id", "ids"), folder, "doc_id", 16)
     back = spark.read.parquet(folder).select("*", F.col("_metadata.file_name").alias("file"))
-    files = back.groupBy("file").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi"), F.count(F.lit(1)).alias("n"), F.sum("len").alias("t"))
+    sum_ids = F.aggregate("ids", F.lit(0).cast("long"), lambda a, x: a + x)
+    files = back.groupBy("file").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi"), F.count(F.lit(1)).alias("n"), F.sum(F.size("ids")).alias("t"), F.sum(sum_ids).alias("s"))
     number = F.regexp_extract("file", "part-([0-9]+)", 1).cast("int")
     # files are numbered in order: each must end before the next one starts; 16 rows
     ordered = F.array_sort(F.collect_list(F.struct(number.alias("no"), "lo", "hi")))
-    out = files.agg(F.sum("n").alias("docs"), F.sum("t").alias("tokens"), ordered.alias("o"))
+    out = files.agg(F.sum("n").alias("docs"), F.sum("t").alias("tokens"), F.sum("s").alias("id_sum"), ordered.alias("o"))
     wrong = F.filter(F.transform("o", lambda f, i: F.coalesce(F.get("o", i - 1)["hi"] >= f["lo"], F.lit(False))), lambda bad: bad)
-    return out.select("docs", "tokens", F.size(wrong).alias("overlaps"))
+    return out.select("docs", "tokens", "id_sum", F.size(wrong).alias("overlaps"))
 
 
 @query
@@ -159,12 +160,12 @@ def clip_words(spark, sf_dir):
 
 @query
 def shuffle_global(spark, sf_dir):
-    return splits.shuffle_global(derived.documents(spark, sf_dir).select("doc_id"))
+    return splits.shuffle_global(derived.documents(spark, sf_dir).select("doc_id", "text"))
 
 
 @query
 def shuffle_buffered(spark, sf_dir):
-    return splits.shuffle_buffered(derived.documents(spark, sf_dir).select("doc_id"), 100)
+    return splits.shuffle_buffered(derived.documents(spark, sf_dir).select("doc_id", "text"), 100)
 
 
 @query
@@ -174,22 +175,22 @@ def pre_discard(spark, sf_dir):
 
 @query
 def split_head(spark, sf_dir):
-    return splits.split_head(derived.documents(spark, sf_dir).select("doc_id"), DEV, TEST, TRAIN_CAP)
+    return splits.split_head(derived.documents(spark, sf_dir).select("doc_id", "text"), DEV, TEST, TRAIN_CAP)
 
 
 @query
 def split_tail(spark, sf_dir):
-    return splits.split_tail(derived.documents(spark, sf_dir).select("doc_id"), DEV, TEST, TRAIN_CAP)
+    return splits.split_tail(derived.documents(spark, sf_dir).select("doc_id", "text"), DEV, TEST, TRAIN_CAP)
 
 
 @query
 def split_hash(spark, sf_dir):
-    return splits.split_hash(derived.documents(spark, sf_dir).select("doc_id"), 0.05, 0.05)
+    return splits.split_hash(derived.documents(spark, sf_dir).select("doc_id", "text"), 0.05, 0.05)
 
 
 @query
 def sample_limit(spark, sf_dir):
-    return splits.sample_limit(derived.documents(spark, sf_dir).select("doc_id"), 200)
+    return splits.sample_limit(derived.documents(spark, sf_dir).select("doc_id", "text"), 200)
 
 
 def _order(spark, sf_dir, epochs: int = 3) -> DataFrame:
@@ -371,10 +372,12 @@ def sample_contiguous(spark, sf_dir):
 
 @query
 def segment_lengths(spark, sf_dir):
-    """Over the written samples, as a trainer would read them."""
+    """Over the written samples in the batches of an epoch, as a trainer would read them."""
     inputs = [f"{sf_dir}/documents.parquet"]
     samples = materialise(spark, "packed", {"block": BLOCK, "vocab": derived.SMALL_VOCAB}, inputs, lambda: _packed(spark, sf_dir, True))
-    return shaping.segment_lengths(samples.select("sample_id", "segment_ids"))
+    order = splits.epoch_order(samples.select("sample_id"), 1)
+    batches = splits.batch_assign(order, 8, False).select("sample_id", "batch_id", "position")
+    return shaping.segment_lengths(samples.select("sample_id", "segment_ids").join(batches, "sample_id"), order="position")
 
 
 @query
@@ -468,14 +471,6 @@ def overlap_fuzzy(spark, sf_dir):
     return overlap.match_overlap(_target(spark, sf_dir), source, exact=False)
 
 
-@query
-def aux_vectors(spark, sf_dir):
-    """Over token ids: the trained table has at most as many rows as the vocabulary."""
-    docs = spread(derived.tokens(spark, sf_dir, vocab.DEFAULT_VOCAB_SIZE)).select(F.col("ids").cast("array<string>").alias("tokens"))
-    out = aligned.train_auxiliary(docs, dim=32, epochs=1)
-    return out.select("token", F.size("aux").alias("dim"))
-
-
 @query
 def init_aligned(spark, sf_dir):
     """Dictionary: the tokens spelt alike in both languages."""
@@ -608,8 +603,8 @@ def config_grid(spark, sf_dir):
 
 @query
 def dominated(spark, sf_dir):
-    """Pruning by the runs that failed with all their repetitions in mixed precision or on two devices."""
-    failed = _summary(spark, sf_dir).where(F.col("oom") & ((F.col("devices") == 2) | (F.col("mb") == 4)))
+    """Pruning by the configurations that failed in all their repetitions."""
+    failed = _summary(spark, sf_dir).groupBy(*benchlog.AXES).agg(F.bool_and("oom").alias("oom")).where("oom")
     return benchlog.dominated(benchlog.config_grid(spark), failed).select("config", "dominated")
 
 
