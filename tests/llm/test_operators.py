@@ -94,10 +94,10 @@ def components_of(rows, size, num, den):
     return [(i, len(sets[a]), least.get(find(a)) if sets[a] else i) for a, (i, _) in enumerate(rows)]
 
 
-@pytest.mark.parametrize(("size", "num"), [(4, 85), (5, 80)])
-def test_jaccard_components(spark, size, num):
+@pytest.mark.parametrize(("size", "num", "long_list"), [(4, 85, jaccard_join.LONG_LIST), (5, 80, jaccard_join.LONG_LIST), (4, 85, 3), (5, 80, 2)])
+def test_jaccard_components(spark, size, num, long_list):
     rows = corpus(2)
-    got = jaccard_join.linked_documents(frame(spark, rows), size=size, num=num, den=100)
+    got = jaccard_join.linked_documents(frame(spark, rows), size=size, num=num, den=100, long_list=long_list)
     got = [(r.doc_id, r.n_shingles, r.component_id) for r in got.collect()]
     assert sorted(got, key=str) == sorted(components_of(rows, size, num, 100), key=str)
 

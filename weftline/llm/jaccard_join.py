@@ -13,7 +13,8 @@ their first s - ceil(num * s / den) + 1. The order is by hash with frequent shin
 over all documents and kept in a bit set of fixed size. The lists serve in two ways:
 
 - lists of ordinary shingles are short, since shingles found frequent are counted away twice; their pairs are counted, and a pair goes on only if the prefix entries it shares
-  leave room for c(a, b) (an exact bound); then both whole sets are compared;
+  leave room for c(a, b) (an exact bound); then both whole sets are compared. A list that is long all the same makes no pairs:
+  it ties its classes to its first one, and they join the families below;
 - frequent shingles that are still in a prefix belong to classes made of frequent shingles only, families of near copies.
   Classes that such lists connect form a family; a family is cut into blocks by size, and each pair of blocks
   whose sizes allow links compares its sets in one task as a matrix product and reports a spanning forest of its links.
@@ -48,6 +49,8 @@ from weftline.session import written
 SKETCH_LEAST, LIST_LEAST, MOST_FREQUENT = 6, 8, 1 << 23
 #: Bits of the set of frequent shingles (16 MB), and of the set of rows whose whole sets are compared.
 BITS = 1 << 27
+#: Classes from which a list makes a family instead of pairs.
+LONG_LIST = 256
 #: Classes in one block of a family.
 BLOCK = 1024
 #: Largest size that may count as light.
@@ -199,16 +202,31 @@ def _entries(size: int, t: Threshold, light: int, sent):
 _PAIR = pa.schema([(n, pa.int64()) for n in ("u", "v", "nu", "nv", "first", "shared")])
 
 
-def _pairs(t: Threshold, light: int):
+def _pairs(t: Threshold, light: int, long_list: int):
     """Pairs of classes in each list, with sizes that allow a link and at least one heavy; rows come sorted by shingle and class.
 
-    ``first`` is the smaller of the two sets whose prefix ends first, for the bound on what they can still share.
+    ``first`` is the size of the set whose prefix ends first, for the bound on what they can still share. A long list gives
+    a star (class, first class) with sizes of -1.
     """
 
+    def bounds(token: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        starts = np.flatnonzero(np.append(True, token[1:] != token[:-1]))
+        return starts, np.diff(np.append(starts, len(token)))
+
     def pairs(rows: dict[str, np.ndarray]) -> Iterator[pa.RecordBatch]:
+        starts, lengths = bounds(rows["token"])
+        long = np.repeat(lengths >= long_list, lengths)
+        if long.any():
+            tied = rows["cid"][long]
+            none = pa.array(np.full(len(tied), -1))
+            head = np.repeat(rows["cid"][starts], lengths)[long]
+            yield pa.RecordBatch.from_arrays([pa.array(tied), pa.array(head), none, none, none, none], schema=_PAIR)
+            rows = {c: x[~long] for c, x in rows.items()}
+            if not len(rows["token"]):
+                return
+            starts, lengths = bounds(rows["token"])
         token = rows["token"]
-        starts = np.flatnonzero(np.diff(token, prepend=token[0] - 1 if token[0] > np.iinfo(np.int64).min else token[0] + 1))
-        place = np.arange(len(token)) - np.repeat(starts, np.diff(np.append(starts, len(token))))
+        place = np.arange(len(token)) - np.repeat(starts, lengths)
         done = np.cumsum(place)
         a = 0
         while a < len(token):  # a bounded number of pairs at a time
@@ -367,7 +385,7 @@ def _frequent_bits(lists: DataFrame, least: int) -> np.ndarray:
     return bit_array(often.filter(F.col("size") >= from_).select("slot").distinct().toArrow()["slot"].to_numpy().astype(np.int64))
 
 
-def linked_documents(docs: DataFrame, size: int = 4, num: int = 85, den: int = 100, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def linked_documents(docs: DataFrame, size: int = 4, num: int = 85, den: int = 100, id_col: str = "doc_id", text_col: str = "text", long_list: int = LONG_LIST) -> DataFrame:
     """One row per input row: the id, text_hash (xxhash64 of the text), n_shingles, class_id (signature of its set, null if empty), component_id."""
     spark = docs.sparkSession
     t = Threshold(num, den)
@@ -393,23 +411,26 @@ def linked_documents(docs: DataFrame, size: int = 4, num: int = 85, den: int = 1
 
     # Ordinary lists: pairs, bounded by what they share of their prefixes.
     # Pairs within a family are left to its blocks.
-    families = written(_families(entries), "jaccard-family")
+    often = written(entries.filter("size(often) > 0").select("cid", F.explode("often").alias("token")), "jaccard-often")
+    head = often.groupBy("token").agg(F.min("cid").alias("v"))
+    ties = often.join(head.hint("merge"), "token").select(F.col("cid").alias("u"), "v").distinct()
+    families = written(_families(ties, entries), "jaccard-family")
     of = families.select("cid", "family").hint("merge")
     listed = entries.select("cid", "n", "last", "rare").join(of, "cid", "left").select("cid", "n", "last", F.coalesce("family", F.lit(-1)).alias("family"), F.explode("rare").alias("token"))
-    pairs = listed.repartition("token").sortWithinPartitions("token", "cid").mapInArrow(_pairs(t, light), ", ".join(f"{n} long" for n in _PAIR.names))
+    pairs = listed.repartition("token").sortWithinPartitions("token", "cid").mapInArrow(_pairs(t, light, long_list), ", ".join(f"{n} long" for n in _PAIR.names))
     pairs = pairs.groupBy("u", "v", "nu", "nv", "first").agg(F.sum("shared").alias("shared"))
     least = F.expr(f"({num} * (nu + nv) + {num + den - 1}) div {num + den}")
     unseen = F.expr(f"({num} * first + {den - 1}) div {den} - 1")  # of the set whose prefix ends first, what lies behind it
-    return _finish(texts, base, classes, families, stars, pairs.filter(F.col("shared") + unseen >= least).select("u", "v"), size, t, id_col)
+    pairs = written(pairs.filter((F.col("nu") < 0) | (F.col("shared") + unseen >= least)).select("u", "v", (F.col("nu") < 0).alias("tie")), "jaccard-lists")
+    # A tie's ends are compared in the blocks of their family, and so are all classes of that list.
+    families = written(_families(ties.unionByName(pairs.filter("tie").select("u", "v")), entries), "jaccard-family")
+    return _finish(texts, base, classes, families, stars, pairs.filter("not tie").select("u", "v"), size, t, id_col)
 
 
-def _families(entries: DataFrame) -> DataFrame:
-    """cid, n, family of the classes whose prefixes hold frequent shingles."""
-    often = written(entries.filter("size(often) > 0").select("cid", "n", F.explode("often").alias("token")), "jaccard-often")
-    head = often.groupBy("token").agg(F.min("cid").alias("v"))
-    stars = often.join(head.hint("merge"), "token").select(F.col("cid").alias("u"), "v").distinct()
-    labels = components(stars, "jaccard-families")
-    return often.select("cid", "n").distinct().join(labels.hint("merge"), F.col("cid") == F.col("id")).select("cid", "n", F.col("label").alias("family"))
+def _families(ties: DataFrame, entries: DataFrame) -> DataFrame:
+    """cid, n, family of the classes that ties connect."""
+    labels = components(ties, "jaccard-families")
+    return entries.select("cid", "n").join(labels.hint("merge"), F.col("cid") == F.col("id")).select("cid", "n", F.col("label").alias("family"))
 
 
 def _blocks(families: DataFrame, t: Threshold) -> tuple[DataFrame, DataFrame]:
