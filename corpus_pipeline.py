@@ -17,9 +17,11 @@ from weftline.session import written
 
 def _rows(docs: DataFrame, kept: DataFrame, hash_column) -> DataFrame:
     """The rows of docs whose id and hash are in kept (__id, __hash), once each."""
-    keyed = docs.withColumn("__hash", hash_column)
-    found = keyed.join(kept.hint("merge"), keyed.doc_id.eqNullSafe(kept["__id"]) & (keyed["__hash"] == kept["__hash"]), "left_semi")
-    first = Window.partitionBy("doc_id", "__hash").orderBy(F.lit(1))
+    keys = ["__null", "__number", "__hash"]  # one exchange serves the join and the window
+    number = [F.col("__id").isNull().alias("__null"), F.coalesce(F.col("__id").cast("long"), F.lit(0)).alias("__number"), "__hash"]
+    own = docs.withColumn("__id", F.col("doc_id")).withColumn("__hash", hash_column).select(*docs.columns, *number)
+    found = own.join(kept.select(*number).hint("merge"), keys, "left_semi")
+    first = Window.partitionBy(*keys).orderBy(F.lit(1))
     return found.withColumn("__row", F.row_number().over(first)).filter(F.col("__row") == 1).select(*docs.columns)
 
 
