@@ -6,6 +6,7 @@ import functools
 import hashlib
 import json
 import pathlib
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -50,6 +51,12 @@ def remove(spark: SparkSession, path: str) -> None:
     target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
 
 
+def _move(spark: SparkSession, path: str, target: str) -> None:
+    if not exists(spark, target):
+        Path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+        Path(target).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).rename(Path(path), Path(target))
+
+
 def materialise(
     spark: SparkSession,
     name: str,
@@ -60,9 +67,18 @@ def materialise(
 ) -> DataFrame:
     """Write ``build()`` once under a path derived from its name, parameters and input files; read it from there.
 
-    A finished table is recognised by its success mark, so a half-written one is never read.
+    A finished table is recognised by its success mark, so a half-written one is never read. Each builder writes to a hidden
+    folder of its own and moves it into place; a builder that comes second drops what it wrote.
     """
-    path = f"{folder or workspace(spark)}/{name}-{fingerprint(spark, name, params, inputs)}"
+    root, own = folder or workspace(spark), f"{name}-{fingerprint(spark, name, params, inputs)}"
+    path = f"{root}/{own}"
     if not exists(spark, path + "/_SUCCESS"):
-        build().write.mode("overwrite").parquet(path)
+        made = f".{own}-{uuid.uuid4().hex}"
+        build().write.parquet(f"{root}/{made}")
+        _move(spark, f"{root}/{made}", path)
+        if not exists(spark, path + "/_SUCCESS"):  # a move that was broken off left its folder there
+            return spark.read.parquet(f"{root}/{made}")
+        # what was not moved, or was moved into the folder that another builder had just finished
+        remove(spark, f"{root}/{made}")
+        remove(spark, f"{path}/{made}")
     return spark.read.parquet(path)
