@@ -266,6 +266,35 @@ def test_lm_score(spark):
     assert model.words[0].sum() == sum(total.values()) and model.words[1].sum() == 4 + 2
 
 
+def test_lm_score_of_every_bigram(spark):
+    """More words than any fixed table of the test could hold apart; scores against brute force over all words and bigrams."""
+    rng = random.Random(3)
+    words = [f"w{i}" for i in range(400)]
+    rows = [(i, " ".join(rng.choice(words[: rng.choice((5, 400))]) for _ in range(rng.randint(1, 60)))) for i in range(50)]
+    rows += [(60, None), (61, " \n"), (62, "W1 once"), (62, "W1 once"), (62, "w1 w2"), (None, "w1 never w2"), (None, None), (63, "é only here"), (63, "é only there")]
+    df = spark.createDataFrame([(*r, 0, 0) for r in rows], "doc_id long, text string, target int, n int").repartition(4)
+    good = spark.createDataFrame([(i,) for i in (*range(0, 50, 3), 0, 62, None)], "doc_id long")
+    split = [(i, (t or "").translate(LOW).split()) for i, t in rows]
+    targets = {*range(0, 50, 3), 62}
+    for least, marked in ((1, targets), (2, targets), (4, targets), (2, set())):
+        seen = collections.Counter(w for _, ws in split for w in ws)
+        ids = [(i, [w if seen[w] >= least else None for w in ws]) for i, ws in split]
+        size = sum(n >= least for n in seen.values())
+        loss = []
+        for own in ([ws for _, ws in ids], [ws for i, ws in ids if i in marked]):
+            uni = collections.Counter(w for ws in own for w in ws)
+            pairs = collections.Counter(p for ws in own for p in zip(["<s>", *ws], ws))
+            contexts = collections.Counter(p for ws in own for p in ["<s>", *ws][: len(ws)])
+            loss.append([-sum(np.log((pairs[v, w] + 2 * (uni[w] + 1) / (sum(uni.values()) + size + 1)) / (contexts[v] + 2)) for v, w in zip(["<s>", *ws], ws)) / len(ws) if ws else None for _, ws in ids])
+        want = sorted((str(i), len(ws), *((round(t, 9), round(b, 9), round(t - b, 9)) if ws else (None,) * 3)) for (i, ws), b, t in zip(ids, *loss))
+        got = lm_score.score_corpus(df, good if marked else good.limit(0), least=least, mu=2.0)
+        assert got.columns == ["doc_id", "n_tokens", "target_loss", "background_loss", "score"]
+        found = sorted((str(r.doc_id), r.n_tokens, *((round(x, 9) if x is not None else None) for x in (r.target_loss, r.background_loss, r.score))) for r in got.collect())
+        assert [f[:2] for f in found] == [w[:2] for w in want]
+        assert all(a is b is None or abs(a - b) < 1e-8 for f, w in zip(found, want) for a, b in zip(f[2:], w[2:]))
+    assert lm_score.score_corpus(df.limit(0), good).count() == 0
+
+
 def test_piece_sampling(spark):
     path = public_tokenizers.path("piece_bpe_32k.model")
     rows = corpus(7)

@@ -1,15 +1,18 @@
 """Cross-entropy difference: a target and a background bigram model with one vocabulary score each document.
 
 Both models are counted over the whole corpus: the background over every document, the target over the documents that a
-table of ids names. They share the vocabulary (the ``vocabulary`` most frequent words; all others are one unknown word),
-the hashed table of bigrams (``slots``), and the smoothing, so a token's two losses differ by the counts alone. For model M
+table of ids names. They share the vocabulary (all words that occur ``least`` times; the others are one unknown word) and
+the smoothing, so a token's two losses differ by the counts alone. For model M
 
     unigram(w) = (c(w) + 1) / (N + |vocabulary| + 1)
     p(w | v) = (c(v, w) + mu * unigram(w)) / (c(v as context) + mu)
 
 and a document's score is the mean over its tokens of target loss minus background loss in nats: lower is nearer to the
-target. The vocabulary and the slots bound what the tasks hold (about 40 MB at the defaults); the counts behind
-them are sums over all documents.
+target. ``score_corpus`` keeps the counts as tables that grow with the corpus, keyed by predecessor and word (64-bit hashes
+of the words), and joins them with each document's distinct bigrams; no task and not the driver holds a whole table.
+
+``fit`` and ``score`` hold a small model in memory instead: the ``vocabulary`` most frequent words and ``slots`` hashed
+sums of bigrams. No query uses them.
 
 A text without words has no tokens and null losses. With no target documents all target counts are 0. Rows that repeat an
 id are scored, and counted, each by itself; a null id is never a target.
@@ -27,6 +30,9 @@ from pyspark.sql import functions as F
 from weftline.llm.common import batches, constants, mix, only, raw_texts, signed, steps, word_hashes
 from weftline.session import written
 
+#: The predecessor of a document's first word; no word has this hash.
+START = 0
+
 #: Distinct keys that a counting task gathers before it sends them on.
 HELD = 1 << 21
 
@@ -168,3 +174,129 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
 
     rows = only(docs, id_col, text_col).select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
     return rows.mapInArrow(run, "id long, n_tokens long, target_loss double, background_loss double, score double").withColumnRenamed("id", id_col)
+
+
+def bigrams(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Each token's predecessor and hash, and the tokens of each text."""
+    words, counts = word_hashes(texts)
+    words = signed(np.where(words == START, np.uint64(1), words))
+    before = np.concatenate(([START], words[:-1])).astype(np.int64) if len(words) else words
+    before[(np.cumsum(counts) - counts)[counts > 0]] = START
+    return before, words, counts
+
+
+def summed(keys: list[np.ndarray], values: list[np.ndarray]) -> tuple[list[np.ndarray], list[np.ndarray]]:
+    """The distinct rows of the keys and the sums of the values of each."""
+    if not len(keys[0]):
+        return keys, values
+    order = np.lexsort(keys[::-1])
+    keys = [k[order] for k in keys]
+    first = np.flatnonzero(np.concatenate(([True], np.any([k[1:] != k[:-1] for k in keys], axis=0))))
+    return [k[first] for k in keys], [np.add.reduceat(v[order], first) for v in values]
+
+
+def _count_bigrams(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Counts by predecessor and word, summed within the task and sent on whenever many are held."""
+    schema = pa.schema([(n, pa.int64()) for n in ("before", "word", "background", "target")])
+    held: list[list[np.ndarray]] = []
+    size = 0
+
+    def merged() -> list[list[np.ndarray]]:
+        columns = [np.concatenate([h[i] for h in held]) for i in range(4)]
+        keys, values = summed(columns[:2], columns[2:])
+        return [[*keys, *values]]
+
+    for part in parts:
+        texts, flags = raw_texts(part.column(0)), np.array(part.column(1).to_pylist(), np.int64)
+        for a, b in steps(texts):
+            before, words, counts = bigrams(texts[a:b])
+            keys, values = summed([before, words], [np.ones(len(words), np.int64), np.repeat(flags[a:b], counts)])
+            held.append([*keys, *values])
+            size += len(keys[0])
+            if size > HELD:
+                held = merged()
+                size = len(held[0][0])
+                if size > HELD // 2:
+                    yield from batches(dict(zip(schema.names, held[0])), schema)
+                    held, size = [], 0
+    if held:
+        yield from batches(dict(zip(schema.names, merged()[0])), schema)
+
+
+def _document_bigrams(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """id, text_hash, before, word, n: the distinct bigrams of each row."""
+    schema = pa.schema([(n, pa.int64()) for n in ("id", "text_hash", "before", "word", "n")])
+    for part in parts:
+        texts = raw_texts(part.column(2))
+        for a, b in steps(texts):
+            before, words, counts = bigrams(texts[a:b])
+            (owner, before, words), (n,) = summed([np.repeat(np.arange(a, b), counts), before, words], [np.ones(len(words), np.int64)])
+            for i in range(0, len(n), 65536):
+                own = pa.array(owner[i : i + 65536])
+                numbers = [pa.array(x[i : i + 65536]) for x in (before, words, n)]
+                yield pa.RecordBatch.from_arrays([part.column(0).take(own), part.column(1).take(own), *numbers], schema=schema)
+
+
+def _token_numbers(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for part in parts:
+        texts = raw_texts(part.column(2))
+        n = [word_hashes(texts[a:b])[1] for a, b in steps(texts)]
+        yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(np.concatenate(n) if n else [], pa.int64())], ["id", "text_hash", "n_tokens"])
+
+
+def _losses(counts: DataFrame, least: int, mu: float) -> DataFrame:
+    """before, word, background_loss, target_loss of every bigram of the counts.
+
+    A count with the unknown word is a sum over bigrams: those of one predecessor stand with the predecessor, those of one
+    word with the word, those of two unknown words are one number. Merge joins split the rows of frequent words.
+    """
+    models = ("background", "target")
+    sums = [F.sum(m).alias(f"w_{m}") for m in models]
+    words = written(counts.groupBy("word").agg(*sums).withColumn("known", F.col("w_background") >= least), "lm-words")
+    by_word = counts.join(words.select("word", "known").hint("merge"), "word")
+    of_context = [e for m in models for e in (F.sum(m).alias(f"x_{m}"), F.sum(F.when(F.col("known"), 0).otherwise(F.col(m))).alias(f"xu_{m}"))]
+    contexts = by_word.groupBy("before").agg(*of_context)
+    known = words.select(F.col("word").alias("before"), F.col("known").alias("context_known"))
+    contexts = contexts.join(known.hint("merge"), "before", "left").withColumn("context_known", F.coalesce("context_known", F.lit(True)))  # START is known
+    contexts = written(contexts, "lm-contexts")
+    rare = counts.join(contexts.filter("not context_known").select("before").hint("merge"), "before", "left_semi")
+    after_rare = rare.groupBy("word").agg(*[F.sum(m).alias(f"wu_{m}") for m in models])
+    words = written(words.join(after_rare.hint("merge"), "word", "left").na.fill(0, [f"wu_{m}" for m in models]), "lm-words")
+
+    unknown = words.agg(F.count_if("known").alias("v"), *[e for m in models for e in (F.sum(f"w_{m}").alias(f"n_{m}"), F.sum(F.when(~F.col("known"), F.col(f"w_{m}"))).alias(f"w_{m}"))]).first()
+    both = contexts.filter("not context_known").agg(*[F.sum(f"{c}_{m}").alias(f"{c}_{m}") for c in ("x", "xu") for m in models]).first()
+    joined = counts.join(words.hint("merge"), "word").join(contexts.hint("merge"), "before")
+
+    def loss(m: str):
+        def or_else(flag: str, column, number):
+            return F.when(F.col(flag), column).otherwise(F.lit(number or 0))
+
+        unigram = (or_else("known", F.col(f"w_{m}"), unknown[f"w_{m}"]) + 1) / F.lit(float((unknown[f"n_{m}"] or 0) + unknown["v"] + 1))
+        of_known = F.when(F.col("known"), F.col(m)).otherwise(F.col(f"xu_{m}"))
+        count = F.when(F.col("context_known"), of_known).otherwise(or_else("known", F.col(f"wu_{m}"), both[f"xu_{m}"]))
+        return -F.log((count + mu * unigram) / (or_else("context_known", F.col(f"x_{m}"), both[f"x_{m}"]) + mu))
+
+    return joined.select("before", "word", *[loss(m).alias(f"{m}_loss") for m in models])
+
+
+def score_corpus(docs: DataFrame, target_ids: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: int = 2, mu: float = 10.0) -> DataFrame:
+    """Count both models over the rows of docs; their id, n_tokens, target_loss, background_loss (means over tokens) and score, the difference.
+
+    ``target_ids`` has a column of the id's name. Equal rows have equal losses, so sums over (id, text_hash) serve each of them.
+    """
+    texts = only(docs, id_col, text_col).select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
+    target = target_ids.select(F.col(id_col).cast("long").alias("id")).filter("id is not null").distinct().withColumn("target", F.lit(True))
+    # A merge join at every size: tasks hold neither side whole, and hot ids are split at run time.
+    flagged = texts.join(target.hint("merge"), "id", "left").select("text", F.coalesce("target", F.lit(False)).alias("target"))
+    found = flagged.mapInArrow(_count_bigrams, "before long, word long, background long, target long")
+    counts = written(found.groupBy("before", "word").agg(F.sum("background").alias("background"), F.sum("target").alias("target")), "lm-counts")
+
+    keyed = texts.select("id", F.xxhash64("text").alias("text_hash"), "text")
+    own = keyed.mapInArrow(_document_bigrams, "id long, text_hash long, before long, word long, n long")
+    met = own.join(_losses(counts, least, mu).hint("merge"), ["before", "word"])
+    total = [F.sum("n").alias("n"), *[F.sum(F.col("n") * F.col(f"{m}_loss")).alias(f"{m}_loss") for m in ("target", "background")]]
+    sums = met.groupBy("id", "text_hash").agg(*total).withColumnsRenamed({"id": "__id", "text_hash": "__hash"})
+    rows = keyed.mapInArrow(_token_numbers, "id long, text_hash long, n_tokens long")
+    rows = rows.join(sums.hint("merge"), F.col("id").eqNullSafe(F.col("__id")) & (F.col("text_hash") == F.col("__hash")), "left")
+    means = rows.select("id", "n_tokens", *[(F.col(f"{m}_loss") / F.col("n")).alias(f"{m}_loss") for m in ("target", "background")])
+    return means.withColumn("score", F.col("target_loss") - F.col("background_loss")).withColumnRenamed("id", id_col)

@@ -41,7 +41,7 @@ def op3_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The target is what the labels call good."""
     docs = table(spark, sf_dir, "documents")
     good = table(spark, sf_dir, "labels").filter("quality = 1").select("doc_id")
-    return lm_score.score(docs, lm_score.fit(docs, good))
+    return lm_score.score_corpus(docs, good)
 
 
 @query
