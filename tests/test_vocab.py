@@ -57,6 +57,22 @@ def test_independent_pairs_stop_before_a_tie_with_the_conflict():
     assert bpe._independent([("a", "a", 9), ("c", "d", 8)], 10) == [("a", "a", 9)]
 
 
+def test_independent_pairs_may_share_a_side():
+    assert bpe._independent([("a", "b", 9), ("a", "c", 8), ("d", "b", 7), ("b", "e", 6)], 10) == [("a", "b", 9), ("a", "c", 8), ("d", "b", 7)]
+    # a second way to spell a symbol adds to the pairs of that symbol
+    assert bpe._independent([("d", "e", 9), ("ab", "c", 8), ("f", "g", 7)], 10, {"abc"}) == [("d", "e", 9)]
+    assert bpe._independent([("ab", "c", 8), ("f", "g", 7)], 10, {"abc"}) == [("ab", "c", 8)]
+    assert bpe._independent([("a", "bc", 9), ("ab", "c", 8), ("f", "g", 7)], 10) == [("a", "bc", 9)]
+
+
+def test_merges_until_every_word_is_one_symbol(spark):
+    rng = random.Random(5)
+    words = {"▁" + "".join(rng.choice("abc") for _ in range(rng.randrange(1, 7))): rng.choice([1, 1, 2, 5]) for _ in range(60)}
+    df = spark.createDataFrame(list(words.items()), "token string, freq long")
+    got = [(r["left"], r["right"], r["freq"]) for r in bpe.train_merges(df, 10**6).orderBy("rank").collect()]
+    assert got == train_one_by_one(words, 10**6)
+
+
 def test_char_coverage(spark):
     df = spark.createDataFrame([("aaab", 10), ("bc", 5), ("d", 1)], "token string, freq long")
     chars = vocab.char_freq(df)
