@@ -26,10 +26,11 @@ def _rows(docs: DataFrame, kept: DataFrame, hash_column) -> DataFrame:
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without a language go: null texts and texts without a letter."""
+    """Documents without a language go: null texts, texts without a letter, and texts of which no language's filter holds more grams
+    than its false positives explain (score 0), such as keyboard junk or a script never learned. Without labels, texts with letters stay."""
     names = ("__language", "__score")
     known = language_id.predict(docs, language_id.fit(docs), keep=tuple(docs.columns), named=names)
-    return known.filter(F.col(names[0]).isNull() | (F.col(names[0]) != language_id.UNKNOWN)).select(*docs.columns)
+    return known.filter(F.col(names[0]).isNull() | (F.col(names[0]) != language_id.UNKNOWN) & (F.col(names[1]) > 0)).select(*docs.columns)
 
 
 def drop_exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

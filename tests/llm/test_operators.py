@@ -324,6 +324,20 @@ def test_piece_distribution():
     assert all(abs(seen[k] - n * m / z) < 5 * (n * m / z) ** 0.5 + 3 for k, m in mass.items())
 
 
+def test_pipeline_rejects_what_no_filter_holds(spark):
+    import corpus_pipeline
+
+    rng = random.Random(0)
+    words = {"aa": ["baba", "bibo", "tabi"], "bb": ["zyx", "qwy", "xyq"]}
+    rows = [(i, " ".join(rng.choice(words[x]) for _ in range(12)), x) for i, x in enumerate(list(words) * 20)]
+    rows += [(900, "hjkl fghj jklh", None), (901, "中文字符 東京都庁", None), (902, None, "aa"), (903, "12 !", "bb"), (904, "baba hjkl", None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    kept = {r.doc_id for r in corpus_pipeline.identify_language(spark, df, "").collect()}
+    assert kept == {*range(40), 904}
+    unlabelled = df.withColumn("lang", F.lit(None).cast("string"))
+    assert {r.doc_id for r in corpus_pipeline.identify_language(spark, unlabelled, "").collect()} == {*range(40), 900, 901, 904}
+
+
 def test_pipeline(spark):
     import corpus_pipeline
 
