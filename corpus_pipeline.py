@@ -40,9 +40,12 @@ def drop_exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of documents linked at 0.8 over shingles of five words, the one with the smallest id stays."""
-    linked = jaccard_join.linked_documents(docs, size=5, num=80, den=100)
-    kept = linked.filter("doc_id <=> component_id").select(F.col("doc_id").alias("__id"), F.col("text_hash").alias("__hash"))
+    """Of each group of rows linked at 0.8 over shingles of five words, the one with the smallest id (null last) and text_hash stays.
+    A row without words is a group of its own."""
+    linked = jaccard_join.linked_documents(docs, size=5, num=80, den=100, labelled=True)
+    alone = [F.when(F.col("component").isNull(), F.col(c)).alias(f"__{c}") for c in ("doc_id", "text_hash")]
+    least = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "text_hash")).alias("least")
+    kept = linked.groupBy("component", *alone).agg(least).select(F.col("least.doc_id").alias("__id"), F.col("least.text_hash").alias("__hash"))
     return _rows(docs, kept, F.xxhash64(F.col("text").cast("string")))
 
 

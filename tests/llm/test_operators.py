@@ -338,6 +338,20 @@ def test_pipeline_rejects_what_no_filter_holds(spark):
     assert {r.doc_id for r in corpus_pipeline.identify_language(spark, unlabelled, "").collect()} == {*range(40), 900, 901, 904}
 
 
+def test_pipeline_keeps_one_row_of_a_component(spark):
+    import corpus_pipeline
+
+    words = [f"w{i}" for i in range(60)]
+    near = [" ".join([*words[:k], *words[k + 1 :]]) for k in (0, 59)]
+    other = [" ".join(w[::-1] for w in t.split()) for t in near]
+    third = [t.replace("w", "v") for t in near]
+    rows = [(5, near[0]), (5, near[1]), (5, near[1]), (None, other[0]), (None, other[1]), (None, third[0]), (7, third[1]), (7, "alone"), (8, ""), (9, None), (None, " ")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = [(r.doc_id, r.text) for r in corpus_pipeline.drop_near_copies(spark, df, "").collect()]
+    assert len(got) == 7 and collections.Counter(i for i, _ in got) == {5: 1, None: 2, 7: 2, 8: 1, 9: 1}
+    assert sum(t in near for _, t in got) == sum(t in other for _, t in got) == 1 and (7, third[1]) in got
+
+
 def test_pipeline(spark):
     import corpus_pipeline
 

@@ -385,8 +385,11 @@ def _frequent_bits(lists: DataFrame, least: int) -> np.ndarray:
     return bit_array(often.filter(F.col("size") >= from_).select("slot").distinct().toArrow()["slot"].to_numpy().astype(np.int64))
 
 
-def linked_documents(docs: DataFrame, size: int = 4, num: int = 85, den: int = 100, id_col: str = "doc_id", text_col: str = "text", long_list: int = LONG_LIST) -> DataFrame:
-    """One row per input row: the id, text_hash (xxhash64 of the text), n_shingles, class_id (signature of its set, null if empty), component_id."""
+def linked_documents(docs: DataFrame, size: int = 4, num: int = 85, den: int = 100, id_col: str = "doc_id", text_col: str = "text", long_list: int = LONG_LIST, labelled: bool = False) -> DataFrame:
+    """One row per input row: the id, text_hash (xxhash64 of the text), n_shingles, class_id (signature of its set, null if empty), component_id.
+
+    ``labelled`` adds component, a number of its own for each component, null for an empty set: ids may be null or repeat.
+    """
     spark = docs.sparkSession
     t = Threshold(num, den)
     texts = only(docs, id_col, text_col).select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
@@ -424,7 +427,7 @@ def linked_documents(docs: DataFrame, size: int = 4, num: int = 85, den: int = 1
     pairs = written(pairs.filter((F.col("nu") < 0) | (F.col("shared") + unseen >= least)).select("u", "v", (F.col("nu") < 0).alias("tie")), "jaccard-lists")
     # A tie's ends are compared in the blocks of their family, and so are all classes of that list.
     families = written(_families(ties.unionByName(pairs.filter("tie").select("u", "v")), entries), "jaccard-family")
-    return _finish(texts, base, classes, families, stars, pairs.filter("not tie").select("u", "v"), size, t, id_col)
+    return _finish(texts, base, classes, families, stars, pairs.filter("not tie").select("u", "v"), size, t, id_col, labelled)
 
 
 def _families(ties: DataFrame, entries: DataFrame) -> DataFrame:
@@ -448,7 +451,7 @@ def _blocks(families: DataFrame, t: Threshold) -> tuple[DataFrame, DataFrame]:
     return blocks, blocks.groupBy("family", "block").agg(F.min("n").alias("low"), F.max("n").alias("high"))
 
 
-def _finish(texts: DataFrame, base: DataFrame, classes: DataFrame, families: DataFrame, stars: DataFrame, pairs: DataFrame, size: int, t: Threshold, id_col: str) -> DataFrame:
+def _finish(texts: DataFrame, base: DataFrame, classes: DataFrame, families: DataFrame, stars: DataFrame, pairs: DataFrame, size: int, t: Threshold, id_col: str, labelled: bool) -> DataFrame:
     spark = texts.sparkSession
     pairs = written(pairs, "jaccard-pairs")
     blocks, ranges = _blocks(families, t)
@@ -479,6 +482,6 @@ def _finish(texts: DataFrame, base: DataFrame, classes: DataFrame, families: Dat
     labels = components(links.unionByName(forest).unionByName(stars), "jaccard-components")
     named = classes.join(labels.hint("merge"), classes.cid == labels.id, "left").select("sig", "least_id", F.coalesce("label", "cid").alias("label"))
     smallest = named.groupBy("label").agg(F.min("least_id").alias("component_id"))
-    of_class = named.join(smallest.hint("merge"), "label").select("sig", "component_id")
+    of_class = named.join(smallest.hint("merge"), "label").select("sig", "component_id", F.col("label").alias("component"))
     out = base.select("id", "text_hash", "n", "sig").join(of_class.hint("merge"), "sig", "left")
-    return out.select(F.col("id").alias(id_col), "text_hash", F.col("n").alias("n_shingles"), F.lower(F.hex("sig")).alias("class_id"), F.when(F.col("sig").isNull(), F.col("id")).otherwise(F.col("component_id")).alias("component_id"))
+    return out.select(F.col("id").alias(id_col), "text_hash", F.col("n").alias("n_shingles"), F.lower(F.hex("sig")).alias("class_id"), F.when(F.col("sig").isNull(), F.col("id")).otherwise(F.col("component_id")).alias("component_id"), *(["component"] if labelled else []))
