@@ -231,6 +231,17 @@ def test_pack_documents(spark):
     assert best_fit.pack_documents(frame(spark, []), path).count() == 0
 
 
+def test_pack_until_one_shard(spark):
+    """Three of these fit a sequence and leave room, so no round fills one; shards of about 40 would each end with a part."""
+    df = spark.range(1500).select("id", F.lit(30).cast("long").alias("size"))
+    got = best_fit.pack(df, "size", (100, 100, 1e4), shard=40).toPandas()
+    assert sorted(got.id) == list(range(1500))
+    sizes = got.groupby("sequence_id")["size"].agg(["sum", "size"])
+    assert sizes["sum"].max() <= 100 and len(sizes) <= 500 + 3
+    for _, group in got.sort_values("offset").groupby("sequence_id"):
+        assert (group["size"].cumsum() - group["size"] == group.offset).all()
+
+
 def test_language_id(spark):
     rng = random.Random(0)
     words = {"aa": ["baba", "bibo", "tabi"], "bb": ["zyx", "qwy", "xyq"], "cc": ["mnop", "nomp", "pomn"]}

@@ -4,7 +4,8 @@ A document's vector is (tokens, 1 document, tokens squared: its attention cost).
 the same three dimensions. Documents come in decreasing order of tokens; of all open sequences with room in every
 dimension, ``rule`` picks one: ``norm`` leaves the smallest weighted residual, ``dot`` has the largest weighted product of
 residual and vector. Shards of a bounded number of documents pack on their own; sequences that they leave with room are
-taken apart and packed again in fewer shards, until one shard holds what is left.
+taken apart and packed again in fewer shards, until one shard holds what is left. A shard hands on at most half of its
+documents, those of its emptiest sequences, so that every round halves what is left.
 
 A document of no tokens needs a place like any other. A document larger than a capacity raises an error.
 """
@@ -81,7 +82,10 @@ def _placer(tokens_col: str, columns: list[str], capacities, weights, rule: str,
         frame["sequence_id"] = (level << 56) + (shard << 24) + best_fit(tokens, capacities, weights, rule)
         by = frame.groupby("sequence_id")[tokens_col]
         frame["offset"] = by.cumsum().astype(np.int64) - tokens
-        frame["full"] = last | (by.transform("sum") >= FULL * capacities[0])
+        used = by.transform("sum")
+        open_ = frame.assign(used=used)[used < FULL * capacities[0]].groupby("sequence_id")["used"].agg(["first", "size"]).sort_values("first", kind="stable")
+        again = open_.index[open_["size"].cumsum() <= len(frame) // 2]
+        frame["full"] = last | ~frame["sequence_id"].isin(again)
         return frame
 
     return place
@@ -92,18 +96,17 @@ def pack(items: DataFrame, tokens_col: str, capacities: tuple[float, float, floa
     spark = items.sparkSession
     columns = items.columns
     schema = T.StructType([*items.schema.fields, T.StructField("sequence_id", T.LongType()), T.StructField("offset", T.LongType()), T.StructField("full", T.BooleanType())])
-    done, rest, level, before = [], written(items, "pack-items"), 0, None
+    done, rest, level = [], written(items, "pack-items"), 0
     while True:
-        count = rest.count()
-        shards = partitions_for(count, shard)
-        last = shards == 1 or before is not None and count > before // 2
+        shards = partitions_for(rest.count(), shard)
+        last = shards == 1
 
         keyed = rest.withColumn("__shard", F.pmod(F.xxhash64(*columns, F.lit(level)), F.lit(shards)))
         packed = written(keyed.groupBy("__shard").applyInPandas(_placer(tokens_col, columns, capacities, weights, rule, level, last), schema), "packed")
         done.append(packed.filter("full").drop("full"))
         if last:
             break
-        rest, level, before = packed.filter("not full").select(*columns), level + 1, count
+        rest, level = packed.filter("not full").select(*columns), level + 1
         if rest.isEmpty():
             break
     out = done[0]
