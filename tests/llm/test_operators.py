@@ -106,6 +106,19 @@ def test_jaccard_empty(spark):
     assert jaccard_join.linked_documents(frame(spark, [])).count() == 0
 
 
+def test_jaccard_bit_set(spark, monkeypatch):
+    """Words of bits reach the driver, not slots."""
+    rng = np.random.default_rng(4)
+    slots = [0, 63, 64, jaccard_join.BITS - 1, *range(6400, 6528), *rng.integers(0, jaccard_join.BITS, 300).tolist()]
+    df = spark.createDataFrame([(x,) for x in slots * 2], "slot int")
+    rows, collect = [], type(df).toArrow
+    monkeypatch.setattr(type(df), "toArrow", lambda self: (out := collect(self), rows.append(out.num_rows))[0])
+    bits = jaccard_join.bit_set(df)
+    assert rows == [len({x >> 6 for x in slots})]
+    assert len(bits) == jaccard_join.BITS >> 3 and np.flatnonzero(np.unpackbits(bits, bitorder="little")).tolist() == sorted(set(slots))
+    assert not jaccard_join.bit_set(df.limit(0)).any()
+
+
 def test_jaccard_subsets_and_blocks():
     t = jaccard_join.Threshold(85, 100)
     rng = np.random.default_rng(0)

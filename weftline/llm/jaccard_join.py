@@ -137,10 +137,13 @@ class Order:
         return np.concatenate([rare, rest]), np.arange(n) >= len(rare)
 
 
-def bit_array(slots: np.ndarray) -> np.ndarray:
-    bits = np.zeros(BITS >> 3, np.uint8)
-    np.bitwise_or.at(bits, slots >> 3, np.uint8(1) << (slots & 7).astype(np.uint8))
-    return bits
+def bit_set(slots: DataFrame) -> np.ndarray:
+    """The bits of the column slot, grouped by 64-bit word on Spark: at most BITS / 64 rows reach the driver."""
+    word, bit = F.expr("cast(slot div 64 as int)").alias("word"), F.expr("bit_or(shiftleft(1L, cast(slot % 64 as int)))").alias("bits")
+    got = slots.groupBy(word).agg(bit).toArrow()
+    words = np.zeros(BITS >> 6, "<i8")
+    words[got["word"].to_numpy()] = got["bits"].to_numpy()
+    return words.view(np.uint8)
 
 
 def _sketch(size: int, t: Threshold):
@@ -382,7 +385,7 @@ def _frequent_bits(lists: DataFrame, least: int) -> np.ndarray:
         if total + n > MOST_FREQUENT:
             break
         total, from_ = total + n, size
-    return bit_array(often.filter(F.col("size") >= from_).select("slot").distinct().toArrow()["slot"].to_numpy().astype(np.int64))
+    return bit_set(often.filter(F.col("size") >= from_).select("slot"))
 
 
 def linked_documents(docs: DataFrame, size: int = 4, num: int = 85, den: int = 100, id_col: str = "doc_id", text_col: str = "text", long_list: int = LONG_LIST, labelled: bool = False) -> DataFrame:
@@ -463,8 +466,7 @@ def _finish(texts: DataFrame, base: DataFrame, classes: DataFrame, families: Dat
     # Whole sets of the classes to compare, from one more scan; a bit set of fixed size leaves out most others.
     asked = pairs.select(F.col("u").alias("cid")).unionByName(pairs.select(F.col("v").alias("cid"))).unionByName(blocks.select("cid")).distinct()
     wanted = written(classes.join(asked.hint("merge"), "cid").select("cid", "sig", "least_id"), "jaccard-wanted")
-    slots = wanted.select(F.expr(f"cast(xxhash64(sig, least_id) & {BITS - 1}L as int)").alias("slot")).distinct()
-    bits = bit_array(slots.toArrow()["slot"].to_numpy().astype(np.int64))
+    bits = bit_set(wanted.select(F.expr(f"cast(xxhash64(sig, least_id) & {BITS - 1}L as int)").alias("slot")))
     sets = texts.mapInArrow(_whole_sets(size, spark.sparkContext.broadcast(bits)), "sig binary, tokens binary")
     sets = written(sets, "jaccard-sets").dropDuplicates(["sig"])
 
