@@ -1,8 +1,11 @@
+import re
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from weftline.operators import aligned, overlap, scripts, transfer
+from weftline.plans import registry
 
 VEC = "token string, id int, vec array<double>"
 
@@ -144,6 +147,30 @@ def test_alignment_recovers_a_rotation(spark):
     assert all(np.allclose(got[i], v[i]) for i in range(40))
 
 
+def test_aligned_vectors_of_the_query(spark, monkeypatch):
+    """The registered query against numpy: rotate, cosine, softmax over the ten nearest."""
+    rng = np.random.default_rng(12)
+    spaces = {lang: {f"{lang if i % 2 else 'both'}{i}": rng.normal(size=3) for i in range(30)} for lang in ("en", "de")}
+    vec = {t: rng.normal(size=4) for t in [*spaces["en"], "without"]}
+    ids = {t: i for i, t in enumerate([*spaces["de"], "rare"])}
+    monkeypatch.setattr(registry.derived, "auxiliary", lambda s, d, lang: spark.createDataFrame([(t, v.tolist()) for t, v in spaces[lang].items()], "token string, aux array<double>"))
+    monkeypatch.setattr(registry, "_source", lambda s, d: spark.createDataFrame([(t, i, v.tolist()) for i, (t, v) in enumerate(vec.items())], VEC))
+    monkeypatch.setattr(registry, "_target", lambda s, d: spark.createDataFrame(list(ids.items()), "token string, id int"))
+    got = {r["token"]: r["vec"] for r in registry.QUERIES["init_aligned_vectors"](spark, "").collect()}
+    unit = lambda v: v / np.linalg.norm(v)
+    u, _, vt = np.linalg.svd(sum(np.outer(unit(v), unit(spaces["de"][t])) for t, v in spaces["en"].items() if t in spaces["de"]))
+    want = {}
+    for t, v in spaces["de"].items():
+        near = sorted(((unit(x @ u @ vt) @ unit(v), s) for s, x in spaces["en"].items()), reverse=True)[:10]
+        weights = np.exp([sim / 0.1 for sim, _ in near])
+        want[t] = weights @ np.stack([vec[s] for _, s in near]) / weights.sum()
+    shown = spark.createDataFrame([(t, v.tolist()) for t, v in want.items()], "token string, vec array<double>")
+    shown = {r["token"]: r["vec"] for r in registry.vector_text(shown).collect()}
+    assert got.keys() == shown.keys()
+    number = lambda text: np.array(re.findall(r"-?[0-9]+", text), float)
+    assert all(np.abs(number(got[t]) - number(shown[t])).max() <= 1 and len(number(got[t])) == 4 for t in shown)
+
+
 def test_scripts_of_the_whole_table(spark):
     given = {"a": "Latin", "ⴰ": "Tifinagh", "ߊ": "Nko", "ⲁ": "Coptic", "ꦲ": "Javanese", "ᮊ": "Sundanese", "𐰀": "Old_Turkic", "漢": "Han", "1": "Common", "\ue000": "UNK"}
     df = spark.createDataFrame([(i, c) for i, c in enumerate(given)], "id int, token string")

@@ -471,16 +471,24 @@ def overlap_fuzzy(spark, sf_dir):
     return overlap.match_overlap(_target(spark, sf_dir), source, exact=False)
 
 
-@query
-def init_aligned(spark, sf_dir):
+def _aligned(spark, sf_dir):
     """Dictionary: the tokens spelt alike in both languages."""
     source_space, target_space = derived.auxiliary(spark, sf_dir, "en"), derived.auxiliary(spark, sf_dir, "de")
     dictionary = source_space.join(target_space.select("token"), "token").select(
         F.col("token").alias("source_token"), F.col("token").alias("target_token")
     )
-    return aligned.init_aligned(_target(spark, sf_dir), _source(spark, sf_dir), source_space, target_space, dictionary).select(
-        "token", "id", F.size("vec").alias("dim")
-    )
+    return aligned.init_aligned(_target(spark, sf_dir), _source(spark, sf_dir), source_space, target_space, dictionary)
+
+
+@query
+def init_aligned(spark, sf_dir):
+    return _aligned(spark, sf_dir).select("token", "id", F.size("vec").alias("dim"))
+
+
+@query
+def init_aligned_vectors(spark, sf_dir):
+    """The vectors themselves; SQL cannot express the rotation."""
+    return vector_text(_aligned(spark, sf_dir))
 
 
 # --- evaluation, telemetry, tensors ---
