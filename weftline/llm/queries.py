@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weftline.llm import best_fit, exact_dedup, jaccard_join, knn_join, language_id, line_dedup, lm_score, piece_sampling, token_frames, warc
+from weftline.llm import best_fit, bpe_trie, exact_dedup, jaccard_join, knn_join, language_id, line_dedup, lm_score, piece_sampling, token_frames, warc
 from weftline.session import fresh_folder
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -123,3 +123,8 @@ SELECT page_id, payload_bytes, payload_digest, CASE WHEN again THEN 'revisit' EL
     CASE WHEN again THEN first_id END AS refers_to
 FROM j
 """
+
+
+@query
+def op13_bpe_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe_trie.round_trip(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
