@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weftline.llm import best_fit, bpe_trie, exact_dedup, jaccard_join, knn_join, language_id, line_dedup, lm_score, piece_sampling, token_frames, warc
+from weftline.llm import best_fit, bpe_trie, exact_dedup, jaccard_join, knn_join, language_id, line_dedup, lm_score, merkle, piece_sampling, token_frames, warc
 from weftline.session import fresh_folder
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -125,6 +125,48 @@ FROM j
 """
 
 
+@query
+def op12_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    even = F.crc32(docs.doc_id.cast("string").cast("binary")) % 2 == 0
+    tampered = F.when(even, F.translate("text", "\n", "")).otherwise(docs.text)
+    return merkle.prove_rows(docs, ["doc_id", "source", "lang", "n_chars", "text"], "source", "doc_id", {"text": tampered})
+
+
+SQL["op12_merkle"] = """
+WITH RECURSIVE d AS (SELECT doc_id, source, dense_rank() OVER (ORDER BY source NULLS FIRST) - 1 AS tree, text,
+    coalesce(octet_length(encode(CAST(doc_id AS VARCHAR))) || ':' || doc_id, '-') || coalesce(octet_length(encode(source)) || ':' || source, '-')
+    || coalesce(octet_length(encode(lang)) || ':' || lang, '-') || coalesce(octet_length(encode(CAST(n_chars AS VARCHAR))) || ':' || n_chars, '-') AS head,
+    list_reduce(list_prepend(CAST(4294967295 AS BIGINT), flatten([[CAST(ascii(c) AS BIGINT), -1, -1, -1, -1, -1, -1, -1, -1]
+        FOR c IN string_split(CAST(doc_id AS VARCHAR), '')])),
+        lambda a, x: CASE WHEN x >= 0 THEN xor(a, x) ELSE xor(a >> 1, (a & 1) * 3988292384) END) AS crc FROM documents),
+h AS (SELECT doc_id, tree, sha256(head || coalesce(octet_length(encode(text)) || ':' || text, '-')) AS leaf,
+    sha256(head || coalesce(octet_length(encode(other)) || ':' || other, '-')) AS other
+    FROM (SELECT *, CASE WHEN crc & 1 = 1 THEN replace(text, chr(10), '') ELSE text END AS other FROM d)),
+leaves AS (SELECT *, row_number() OVER (PARTITION BY tree ORDER BY doc_id NULLS FIRST, leaf) - 1 AS pos FROM h),
+up AS (SELECT tree, 0 AS level, pos, leaf AS hash, count(*) OVER (PARTITION BY tree) AS n FROM leaves UNION ALL
+    SELECT tree, level + 1, pos // 3, sha256(string_agg(hash, '' ORDER BY pos)), (n + 2) // 3 FROM up WHERE n > 1 GROUP BY tree, level, pos // 3, n),
+subroots AS (SELECT tree, hash FROM up WHERE n = 1),
+top AS (SELECT 0 AS level, tree AS pos, hash, count(*) OVER () AS n FROM subroots UNION ALL
+    SELECT level + 1, pos // 3, sha256(string_agg(hash, '' ORDER BY pos)), (n + 2) // 3 FROM top WHERE n > 1 GROUP BY level, pos // 3, n),
+beside AS (SELECT tree, level, pos, n,
+    coalesce(string_agg(hash, '') OVER (PARTITION BY tree, level, pos // 3 ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), '') AS b,
+    coalesce(string_agg(hash, '') OVER (PARTITION BY tree, level, pos // 3 ORDER BY pos ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING), '') AS a
+    FROM (SELECT * FROM up UNION ALL SELECT -1 AS tree, level, pos, hash, n FROM top)),
+inner_fold AS (SELECT doc_id, leaf, tree, pos AS leaf_pos, 0 AS level, pos, other AS hash, '' AS proof FROM leaves UNION ALL
+    SELECT doc_id, leaf, f.tree, leaf_pos, f.level + 1, f.pos // 3, sha256(b || hash || a), proof || b || a
+    FROM inner_fold f JOIN beside s ON s.tree = f.tree AND s.level = f.level AND s.pos = f.pos AND n > 1),
+at_subroot AS (SELECT f.* FROM inner_fold f JOIN beside s ON s.tree = f.tree AND s.level = f.level AND s.pos = f.pos AND n = 1),
+outer_fold AS (SELECT doc_id, leaf, tree, leaf_pos, 0 AS level, tree AS pos, hash, proof FROM at_subroot UNION ALL
+    SELECT doc_id, leaf, f.tree, leaf_pos, f.level + 1, f.pos // 3, sha256(b || hash || a), proof || b || a
+    FROM outer_fold f JOIN beside s ON s.tree = -1 AND s.level = f.level AND s.pos = f.pos AND n > 1),
+at_root AS (SELECT f.* FROM outer_fold f JOIN beside s ON s.tree = -1 AND s.level = f.level AND s.pos = f.pos AND n = 1)
+SELECT doc_id, leaf, subroots.hash AS subroot, root.hash AS root, sha256(proof) AS proof_sha256, at_root.hash AS folded_root,
+    at_root.hash = root.hash AS verified
+FROM at_root JOIN subroots USING (tree), (SELECT hash FROM top WHERE n = 1) AS root
+"""
+
+
 @query
 def op13_bpe_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe_trie.round_trip(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
