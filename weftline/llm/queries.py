@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weftline.llm import best_fit, bpe_trie, exact_dedup, jaccard_join, knn_join, language_id, line_dedup, lm_score, merkle, piece_sampling, token_frames, warc
+from weftline.llm import best_fit, bpe_trie, exact_dedup, jaccard_join, knn_join, language_id, line_dedup, lm_score, merkle, piece_sampling, spelling, token_frames, warc
 from weftline.session import fresh_folder
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -125,6 +125,36 @@ FROM j
 """
 
 
+@query
+def op11_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.variants(table(spark, sf_dir, "documents"), min_letters=6, min_count=5, times=5, one_in=199)
+
+
+SQL["op11_spelling"] = """
+WITH RECURSIVE crc_of_byte AS (SELECT list(list_reduce([n, 0, 0, 0, 0, 0, 0, 0, 0], lambda a, x: xor(a >> 1, (a & 1) * 3988292384)) ORDER BY n) AS t
+    FROM range(256) AS r(n)),
+runs AS (SELECT doc_id, translate(unnest(regexp_extract_all(text, '[A-Za-zÀ-ÿ]+')),
+    'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS run FROM documents),
+own AS (SELECT doc_id, run, count(*) AS c FROM runs GROUP BY ALL),
+hashed AS (SELECT run, c, xor(4294967295, list_reduce(list_prepend(CAST(4294967295 AS BIGINT), flatten([
+        CASE WHEN unicode(x) < 128 THEN [CAST(unicode(x) AS BIGINT)] ELSE [195, CAST(unicode(x) - 64 AS BIGINT)] END
+        FOR x IN string_split(coalesce(CAST(doc_id AS VARCHAR), '') || ':' || run, '')])),
+    lambda a, b: xor(a >> 8, t[(xor(a, b) & 255) + 1]))) AS h FROM own, crc_of_byte),
+w AS (SELECT CASE WHEN h % 199 = 0 THEN substr(run, 1, h % length(run)) || substr(run, h % length(run) + 2) ELSE run END AS word, CAST(sum(c) AS BIGINT) AS n
+    FROM hashed GROUP BY 1 HAVING length(word) >= 6 AND sum(c) >= 5),
+cut AS (SELECT word, k, substr(word, 1, k - 1) AS l, substr(word, k + 1) AS r FROM (SELECT word, unnest(range(1, length(word) + 1)) AS k FROM w)),
+shorter AS (SELECT DISTINCT cut.word AS x, w.word AS y FROM cut JOIN w ON w.word = l || r),
+near AS (SELECT a.word AS x, b.word AS y FROM cut a JOIN cut b USING (k, l, r) WHERE a.word <> b.word
+    UNION SELECT x, y FROM shorter UNION SELECT y, x FROM shorter),
+best AS (SELECT x, y, n, count(*) OVER (PARTITION BY x) AS n_near, row_number() OVER (PARTITION BY x ORDER BY n DESC, y) AS place FROM near JOIN w ON w.word = y),
+formed AS (SELECT w.word, w.n, coalesce(n_near, 0) AS n_near, CASE WHEN b.n >= 5 * w.n THEN y END AS form, CASE WHEN b.n >= 5 * w.n THEN b.n END AS form_n
+    FROM w LEFT JOIN best b ON x = word AND place = 1),
+chain AS (SELECT word, word AS root FROM formed UNION ALL SELECT c.word, f.form FROM chain c JOIN formed f ON f.word = c.root AND f.form IS NOT NULL),
+ends AS (SELECT c.word, c.root FROM chain c JOIN formed f ON f.word = c.root AND f.form IS NULL)
+SELECT word, form, root, n, n_near, form_n FROM formed JOIN ends USING (word)
+"""
+
+
 @query
 def op12_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
