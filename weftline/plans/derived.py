@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.constants import DEFAULT_VOCAB_SIZE
-from ..operators import benchlog, encode, index, ordered, packing, vocab
+from ..operators import benchlog, encode, index, merges, ordered, packing, vocab
 from ..session import spread
 from ..sources.tables import materialise
 
@@ -73,6 +73,15 @@ def corpus_vocab(spark: SparkSession, sf_dir: str, size: int) -> DataFrame:
     return materialise(spark, "vocab", {"size": size}, [f"{sf_dir}/documents.parquet"], build)
 
 
+def merge_vocab(spark: SparkSession, sf_dir: str, size: int = DEFAULT_VOCAB_SIZE) -> DataFrame:
+    """Vocabulary by merges over all documents, written once per size."""
+
+    def build() -> DataFrame:
+        return merges.merge_vocab(materialise(spark, "word-counts", {}, [f"{sf_dir}/documents.parquet"], lambda: vocab.word_freq(texts(spark, sf_dir))), size)
+
+    return materialise(spark, "merge-vocab", {"size": size}, [f"{sf_dir}/documents.parquet"], build)
+
+
 def language_vocab(spark: SparkSession, sf_dir: str, lang: str, size: int = DEFAULT_VOCAB_SIZE) -> DataFrame:
     def build() -> DataFrame:
         mine = texts(spark, sf_dir).where(F.col("lang") == lang)

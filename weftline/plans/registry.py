@@ -14,7 +14,7 @@ from pyspark.sql import types as T
 from ..functions.arrays import ensure_bos
 from ..functions.constants import BOS_ID, EOS_ID
 from ..functions.text import pieces
-from ..operators import aligned, benchlog, bpe, corpus, encode, evaluate, index, overlap, packing
+from ..operators import aligned, benchlog, bpe, corpus, encode, evaluate, index, merges, overlap, packing
 from ..operators import samples as shaping
 from ..operators import scripts, splits, telemetry, tensors, transfer, vocab
 from ..session import fresh_folder, spread, written
@@ -258,6 +258,19 @@ def bpe_merges(spark, sf_dir):
     return bpe.train_merges(vocab.word_freq(derived.texts(spark, sf_dir)), 16)
 
 
+@query
+def bpe_vocab(spark, sf_dir):
+    """The vocabulary of the default size by merges over all words of all documents. No SQL: tests hold it against training one by one."""
+    return derived.merge_vocab(spark, sf_dir)
+
+
+@query
+def encode_bpe(spark, sf_dir):
+    """All documents encoded with the merge vocabulary. No SQL: tests hold it against plain joins by rank."""
+    encoder = merges.merge_vocab_encoder(derived.merge_vocab(spark, sf_dir))
+    return _token_rows(encode.encode_corpus(derived.texts(spark, sf_dir).select("doc_id", "text"), encoder))
+
+
 def _token_rows(df: DataFrame) -> DataFrame:
     return df.select("doc_id", "len", joined("ids").alias("ids"))
 
