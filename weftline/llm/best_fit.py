@@ -7,7 +7,9 @@ residual and vector. Shards of a bounded number of documents pack on their own;
 taken apart and packed again in fewer shards, until one shard holds what is left. A shard hands on at most half of its
 documents, those of its emptiest sequences, so that every round halves what is left.
 
-A document of no tokens needs a place like any other. A document larger than a capacity raises an error.
+A document of no tokens needs a place like any other. A document larger than a capacity raises an error. A null text is an
+empty one. Rows that repeat are packed each; a null id stays null, and ids beside it stay exact (batches are Arrow, not floats).
+An empty table gives no pieces. Only the id and the text are read, so other columns cannot clash.
 """
 
 from __future__ import annotations
@@ -16,8 +18,8 @@ import zlib
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -75,18 +77,26 @@ def best_fit(tokens: np.ndarray, capacities: tuple[float, float, float], weights
 
 
 def _placer(tokens_col: str, columns: list[str], capacities, weights, rule: str, level: int, last: bool):
-    def place(frame: pd.DataFrame) -> pd.DataFrame:
-        shard = int(frame["__shard"].iloc[0])
-        frame = frame.drop(columns="__shard").sort_values([tokens_col, *columns], ascending=False, kind="stable", na_position="last").reset_index(drop=True)
-        tokens = frame[tokens_col].to_numpy(np.int64)
-        frame["sequence_id"] = (level << 56) + (shard << 24) + best_fit(tokens, capacities, weights, rule)
-        by = frame.groupby("sequence_id")[tokens_col]
-        frame["offset"] = by.cumsum().astype(np.int64) - tokens
-        used = by.transform("sum")
-        open_ = frame.assign(used=used)[used < FULL * capacities[0]].groupby("sequence_id")["used"].agg(["first", "size"]).sort_values("first", kind="stable")
-        again = open_.index[open_["size"].cumsum() <= len(frame) // 2]
-        frame["full"] = last | ~frame["sequence_id"].isin(again)
-        return frame
+    def place(items: pa.Table) -> pa.Table:
+        shard = items.column("__shard")[0].as_py()
+        keys = [tokens_col, *[c for c in columns if c != tokens_col]]
+        items = items.select(columns)
+        items = items.take(pc.sort_indices(items, sort_keys=[(c, "descending") for c in keys], null_placement="at_end"))
+        tokens = items.column(tokens_col).to_numpy().astype(np.int64)
+        sequence = best_fit(tokens, capacities, weights, rule)
+        together = np.argsort(sequence, kind="stable")
+        before = np.cumsum(tokens[together]) - tokens[together]
+        first = np.flatnonzero(np.diff(sequence[together], prepend=-1))
+        offset = np.empty(len(tokens), np.int64)
+        offset[together] = before - np.repeat(before[first], np.diff(first, append=len(tokens)))
+        used, size = np.zeros(len(first), np.int64), np.bincount(sequence)
+        np.add.at(used, sequence, tokens)
+        open_ = np.flatnonzero(used < FULL * capacities[0])
+        open_ = open_[np.argsort(used[open_], kind="stable")]
+        again = open_[np.cumsum(size[open_]) <= len(tokens) // 2]
+        number = (level << 56) + (shard << 24) + sequence
+        full = np.full(len(tokens), True) if last else ~np.isin(sequence, again)
+        return items.append_column("sequence_id", pa.array(number)).append_column("offset", pa.array(offset)).append_column("full", pa.array(full))
 
     return place
 
@@ -102,7 +112,7 @@ def pack(items: DataFrame, tokens_col: str, capacities: tuple[float, float, floa
         last = shards == 1
 
         keyed = rest.withColumn("__shard", F.pmod(F.xxhash64(*columns, F.lit(level)), F.lit(shards)))
-        packed = written(keyed.groupBy("__shard").applyInPandas(_placer(tokens_col, columns, capacities, weights, rule, level, last), schema), "packed")
+        packed = written(keyed.groupBy("__shard").applyInArrow(_placer(tokens_col, columns, capacities, weights, rule, level, last), schema), "packed")
         done.append(packed.filter("full").drop("full"))
         if last:
             break
