@@ -40,3 +40,49 @@ def test_pieces(spark):
     cases = {"the cat": ["▁the", "▁cat"], " a\n\tb　c ": ["▁a", "▁b", "▁c"], "x12 3": ["▁x", "1", "2", "▁", "3"], "": [], " \n": []}
     df = spark.createDataFrame([(t,) for t in cases], "text string")
     assert [r[0] for r in df.select(pieces(F.col("text"))).collect()] == list(cases.values())
+
+
+def landed(spark, data, split_bytes):
+    """Lines as text files in order, several a source, read in splits of so many bytes."""
+    from weftline.session import fresh_folder
+    from weftline.sources import corpora
+
+    folder = fresh_folder(spark, "lines")
+    df = spark.createDataFrame(data, LINE)
+    kept = {k: spark.conf.get(k) for k in ("spark.sql.files.maxPartitionBytes", "spark.sql.shuffle.partitions", "spark.sql.adaptive.enabled")}
+    spark.conf.set("spark.sql.adaptive.enabled", "false")  # else a small table is one range
+    spark.conf.set("spark.sql.shuffle.partitions", "5")
+    try:
+        corpora.write_ordered_lines(df, folder, ["line_no"])
+        spark.conf.set("spark.sql.files.maxPartitionBytes", str(split_bytes))
+        lines = corpora.read_lines(spark, folder)
+        n_splits = lines.select("file", "split").distinct().count()
+        out = [rows(corpus.lines_in_splits_to_documents(lines, keep_tail)) for keep_tail in (False, True)]
+    finally:
+        for k, v in kept.items():
+            spark.conf.set(k, v)
+    want = [rows(corpus.lines_to_documents(df, keep_tail).select("source_id", "doc_no", "text")) for keep_tail in (False, True)]
+    return out, want, n_splits
+
+
+def test_documents_from_files_cut_into_splits(spark):
+    import random
+
+    rng = random.Random(4)
+    data = []
+    for source in ("en", "01", None, "de"):
+        texts = [rng.choice(["\n", "a\n", "b c\n", "é\r\n", " \n", "line of many words " * 3 + "\n"]) for _ in range(rng.randint(1, 300))]
+        data += [(source, k * 5 + (1 << 40), t) for k, t in enumerate(texts)]
+    data += [("long", k, "one document over many splits\n") for k in range(90)] + [("long", 90, "\n")]
+    data += [("open", k, "never closed\n") for k in range(50)]
+    rng.shuffle(data)
+    for split_bytes in (64, 700, 1 << 20):
+        got, want, n_splits = landed(spark, data, split_bytes)
+        assert got == want
+        assert n_splits > 20 or split_bytes > 64
+
+
+def test_only_borders_of_splits_are_shuffled(spark):
+    data = [("en", k, "\n" if k % 4 == 3 else f"line {k}\n") for k in range(400)]
+    got, want, n_splits = landed(spark, data, 1 << 20)
+    assert got == want and len(got[0]) == 100 and n_splits <= 5

@@ -58,3 +58,14 @@ def test_reports_are_bounded_and_cover_every_incoming_length():
         report = packing._report_shard(pdf, 10)
         assert len(report) <= 12
         assert list(report["low"]) == [0, *(report["high"][:-1] + 1)] and report["high"].iloc[-1] == 10
+
+
+@pytest.mark.parametrize("shards", [1, 7])
+def test_large_ids_beside_a_null_id(spark, shards):
+    ids = [(1 << 60) + k for k in range(40)]
+    df = spark.createDataFrame([*[(i, 5) for i in ids], (None, 5), (None, 3)], "doc_id long, len int")
+    got = packing.pack_greedy(df, 9, shards=shards).collect()
+    plain = packing.pack_greedy(df.where("doc_id is not null"), 9, shards=shards).collect()
+    assert {r.doc_id for r in plain} <= set(ids) and {r.doc_id for r in got} <= {*ids, None}
+    assert len([r for r in got if r.doc_id is not None]) == len({r.doc_id for r in got} - {None})
+    assert sum(r.doc_id is None for r in got) == 2  # they come first, so their sample is closed

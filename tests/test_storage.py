@@ -145,3 +145,23 @@ def test_text_sink_keeps_every_character(spark, tmp_path):
     corpora.write_splits(df, f"file://{tmp_path}/t", "text")
     back = corpora.read_splits(spark, f"file://{tmp_path}/t", T.StructType([T.StructField("text", T.StringType())]), "text")
     assert sorted(r.text for r in back.collect()) == sorted(texts)
+
+
+def test_streams_keep_null_sources_and_devices(spark):
+    data = [(s, i, t) for s in (None, "a") for i, t in enumerate(["x\n", "\n", "y\n", "\n", "z\n", "w\n", "\n"])]
+    df = spark.createDataFrame(data, "source_id string, line_no long, text string")
+    folder = fresh_folder(spark, "docs")
+    ingest.stream_documents(land(spark, df, ["line_no < 2", "line_no between 2 and 4", "line_no > 4"]), folder).awaitTermination()
+    got = spark.read.parquet(folder + "/out").select("source_id", "doc_no", "text")
+    assert rows(got) == rows(corpus.lines_to_documents(df).select("source_id", "doc_no", "text")) and got.count() == 6
+
+    times = derived.telemetry(spark, "/root/testdata/sf0.001").drop("event_id", "event_type").where("step < 30")
+    times = times.withColumn("device", F.when(F.col("device") != 0, F.col("device"))).withColumn("run_id", F.when(F.col("run_id") > 1, F.col("run_id")))
+    times = times.where("run_id is not null or device is not null").where("run_id is null or run_id = 3")
+    times = times.dropDuplicates(["run_id", "device", "step"])
+    folder = fresh_folder(spark, "rates")
+    ingest.stream_throughput(land(spark, times, ["step < 9", "step >= 9"]), folder, 5).awaitTermination()
+    want = telemetry.throughput(times, 5)
+    got = spark.read.parquet(folder + "/out")
+    keys = ["run_id", "device", "step"]
+    assert rows(got.select(*keys)) == rows(want.select(*keys)) and got.where("device is null").count() > 0

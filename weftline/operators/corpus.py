@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from collections.abc import Iterator
+
+import pyarrow as pa
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.constants import REJECTED_WARNINGS
 from ..functions.text import clip_words, normalised
+from ..session import written
 from .ordered import running_sums
 
 
@@ -43,6 +47,67 @@ def lines_to_documents(lines: DataFrame, keep_tail: bool = False) -> DataFrame:
     return join_lines(numbered if keep_tail else numbered.where(F.col("doc_no") < F.col("doc_no_total")))
 
 
+_FRAGMENT = pa.schema(
+    [("source_id", pa.string()), ("file", pa.string()), ("split", pa.int64()), ("nth", pa.int64()), ("opens", pa.bool_()), ("closes", pa.bool_()), ("text", pa.string())]
+)
+_FRAGMENT_DDL = "source_id string, file string, split long, nth long, opens boolean, closes boolean, text string"
+
+
+def _fragments(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """What lies between the breaks of a split, in order: ``opens`` if a break comes before it in the split, ``closes`` if one ends it."""
+    key, nth, lines = None, 0, []
+
+    def told(rows: list[tuple]) -> pa.RecordBatch:
+        columns = zip(*rows, strict=True) if rows else [[]] * len(_FRAGMENT)
+        return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, _FRAGMENT, strict=True)], schema=_FRAGMENT)
+
+    for part in parts:
+        rows = []
+        for *own, text in zip(*(part.column(c).to_pylist() for c in ("source_id", "file", "split", "text")), strict=True):
+            if own != key:
+                if key:
+                    rows.append((*key, nth, nth > 0, False, "".join(lines)))
+                key, nth, lines = own, 0, []
+            if text == "\n":
+                rows.append((*key, nth, nth > 0, True, "".join(lines)))
+                nth, lines = nth + 1, []
+            else:
+                lines.append(text)
+        yield told(rows)
+    if key:
+        yield told([(*key, nth, nth > 0, False, "".join(lines))])
+
+
+def lines_in_splits_to_documents(lines: DataFrame, keep_tail: bool = False) -> DataFrame:
+    """(source_id, doc_no, text) as ``lines_to_documents`` gives them, from lines as they are read from files.
+
+    A document that opens and closes inside a split is put together where it is read. Only the fragments at the borders of
+    splits, two a split, meet in a shuffle; their documents are numbered by the breaks of the splits before, one row a split.
+    Lines must come as ``read_lines`` gives them, without an exchange between. A source goes through its files by name.
+    """
+    found = written(lines.select("source_id", "file", "split", "text").mapInArrow(_fragments, _FRAGMENT_DDL), "fragments")
+    breaks = found.groupBy("source_id", "file", "split").agg(F.count_if("closes").alias("breaks"))
+    before = Window.partitionBy("source_id").orderBy("file", "split").rowsBetween(Window.unboundedPreceding, -1)
+    whole = Window.partitionBy("source_id")  # one row a split
+    bases = breaks.select(
+        *[F.col(c).alias(f"_{c}") for c in ("source_id", "file", "split")],
+        F.coalesce(F.sum("breaks").over(before), F.lit(0)).alias("base"),
+        F.sum("breaks").over(whole).alias("total"),
+    )
+    same = [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in ("source_id", "file", "split")]
+    placed = found.join(bases, same).withColumn("doc_no", F.col("base") + F.col("nth"))
+    if not keep_tail:
+        placed = placed.where(F.col("doc_no") < F.col("total"))
+    inner = placed.where(F.col("opens") & F.col("closes")).select("source_id", "doc_no", "text")
+    border = placed.where(~(F.col("opens") & F.col("closes"))).groupBy("source_id", "doc_no")
+    parts = border.agg(F.array_sort(F.collect_list(F.struct("file", "split", "text"))).alias("parts"))
+    texts = parts.select("source_id", "doc_no", F.array_join(F.transform("parts", lambda p: p["text"]), "").alias("text"))
+    if keep_tail:  # an empty rest after the last break is no document
+        texts = texts.join(bases.select("_source_id", "total").distinct(), F.col("source_id").eqNullSafe(F.col("_source_id")))
+        texts = texts.where((F.col("doc_no") < F.col("total")) | (F.col("text") != "")).select("source_id", "doc_no", "text")
+    return inner.unionByName(texts)
+
+
 def normalise_text(df: DataFrame) -> DataFrame:
     """Drop rows that are only a newline, strip the rest and end them in one newline.
 

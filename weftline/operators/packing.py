@@ -88,7 +88,7 @@ def _walk_shard(docs: pd.DataFrame, start: pd.DataFrame, block: int) -> pd.DataF
         borders.append(at)
         at = int(ends[at])
     chunk = int(start["first_chunk"].iloc[0]) + np.searchsorted(np.array(borders, dtype=np.int64), np.arange(n), side="right")
-    walked = pd.DataFrame({"doc_id": docs["doc_id"].to_numpy(), "chunk": chunk})
+    walked = pd.DataFrame({"doc_id": docs["doc_id"].to_numpy(), "no_id": docs["no_id"].to_numpy(), "chunk": chunk})
     return walked[chunk < int(start["chunks"].iloc[0])]
 
 
@@ -114,12 +114,14 @@ def pack_greedy(
     # tasks sort by the leading 30 digits of the key as two numbers
     keyed = docs.withColumn("order", order_key(seed, "doc_id"))
     alone = keyed.where(F.col("len") > block).select((F.col("doc_id") * 2 + 1).alias("sample_id"), "doc_id", "order")
+    # a null would turn the whole column into floats in a task, so a null id is a mark beside 0; it comes first
     short = keyed.where(F.col("len") <= block).select(
-        "doc_id",
+        F.coalesce("doc_id", F.lit(0).cast("long")).alias("doc_id"),
+        F.col("doc_id").isNull().alias("no_id"),
         "len",
-        digits(1, 15).alias("high_key"),
-        digits(16, 15).alias("low_key"),
-        F.shiftright(digits(1, 8) * shards, 32).alias("shard"),
+        F.coalesce(digits(1, 15), F.lit(-1)).alias("high_key"),
+        F.coalesce(digits(16, 15), F.lit(-1)).alias("low_key"),
+        F.coalesce(F.shiftright(digits(1, 8) * shards, 32), F.lit(0)).alias("shard"),
     )
 
     reports = short.groupBy("shard").applyInPandas(lambda pdf: _report_shard(pdf, block), _REPORT)
@@ -128,7 +130,8 @@ def pack_greedy(
     walked = (
         short.groupBy("shard")
         .cogroup(starts.groupBy("shard"))
-        .applyInPandas(lambda d, s: _walk_shard(d, s, block), "doc_id long, chunk long")
+        .applyInPandas(lambda d, s: _walk_shard(d, s, block), "doc_id long, no_id boolean, chunk long")
+        .withColumn("doc_id", F.when(~F.col("no_id"), F.col("doc_id")))
     )
     packed = walked.select((F.col("chunk") * 2).alias("sample_id"), "doc_id", order_key(seed, "doc_id").alias("order"))
     return packed.unionByName(alone)

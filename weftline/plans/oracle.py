@@ -562,6 +562,6 @@ def build() -> dict[str, str]:
     sql["stream_ingest"] = with_(WARNED) + f"""SELECT doc_id, CASE WHEN {bucket} < 500 THEN 'dev' WHEN {bucket} < 1000 THEN 'test' ELSE 'train' END AS split,
       {strip('text')} || chr(10) AS text FROM warned WHERE text <> chr(10)
       AND (warnings IS NULL OR len(list_filter(warnings, lambda w: coalesce(w IN ({REJECTED}), false))) = 0)"""
-    sql["stream_docs"] = sql["lines_to_docs"]
+    sql["stream_docs"] = sql["lines_from_files"] = sql["lines_to_docs"]
     sql["stream_throughput"] = sql["throughput"]
     return sql

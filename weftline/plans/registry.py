@@ -145,6 +145,14 @@ def lines_to_docs(spark, sf_dir):
     return corpus.lines_to_documents(derived.lines(spark, sf_dir))
 
 
+@query
+def lines_from_files(spark, sf_dir):
+    """Lines landed as text files in a folder per source, read in splits and put together again."""
+    folder = fresh_folder(spark, "landed-lines")
+    corpora.write_ordered_lines(derived.lines(spark, sf_dir), folder, ["line_no"])
+    return corpus.lines_in_splits_to_documents(corpora.read_lines(spark, folder))
+
+
 @query
 def normalise_text(spark, sf_dir):
     return corpus.normalise_text(derived.ragged_documents(spark, sf_dir))

@@ -39,6 +39,24 @@ def read_corpus(spark: SparkSession, corpus: str, path: str, lang: str | None =
     return adapt(raw, corpus, lang)
 
 
+def read_lines(spark: SparkSession, path: str, source: str = "source_id") -> DataFrame:
+    """Lines of landed text files with their order: (source, file, split, at, text), one line feed at the end of each.
+
+    Large files are read in splits; ``split`` is where a line's split starts in its file, and ``at`` grows along the split. So
+    (file, split, at) is the order of the lines, whatever the splits are. ``source`` is a folder column; carriage returns stay.
+    """
+    layout = T.StructType([T.StructField("value", T.StringType()), T.StructField(source, T.StringType())])  # no guess at the folders' type
+    rows = spark.read.schema(layout).option("lineSep", "\n").text(path)
+    place = [F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("split"), F.monotonically_increasing_id().alias("at")]
+    return rows.select(F.col(source).alias("source_id"), *place, F.concat("value", F.lit("\n")).alias("text"))
+
+
+def write_ordered_lines(df: DataFrame, path: str, order: list[str], source: str = "source_id") -> None:
+    """Lines (source, order, text) as text files in a folder per source: by file name, then by line, they are in order."""
+    slim = df.select(source, *order, F.regexp_replace("text", "\n$", "").alias("value"))
+    slim.repartitionByRange(source, *order).sortWithinPartitions(source, *order).select(source, "value").write.partitionBy(source).text(path)
+
+
 def read_texts(spark: SparkSession, path: str) -> DataFrame:
     """Texts for tokenisation, by suffix: JSON lines with a ``text`` field, or plain lines."""
     plain = path.rstrip("/")

@@ -38,6 +38,16 @@ def _state(batch: DataFrame, folder: str, number: int, empty: DataFrame) -> Data
     return spark.read.schema(empty.schema).parquet(path) if exists(spark, path) else empty
 
 
+def _meet(left: DataFrame, right: DataFrame, keys: list[str], how: str) -> DataFrame:
+    """A join by keys in which null meets null; the result has the keys once, from the side that has the row."""
+    own = right.withColumnsRenamed({k: f"_of_{k}" for k in keys})
+    joined = left.withColumn("_here", F.lit(True)).join(own, [left[k].eqNullSafe(own[f"_of_{k}"]) for k in keys], how)
+    if how == "left_semi":
+        return joined.drop("_here")
+    whole = {k: F.when(F.col("_here"), F.col(k)).otherwise(F.col(f"_of_{k}")) for k in keys} if how == "full" else {}
+    return joined.withColumns(whole).drop("_here", *[f"_of_{k}" for k in keys])
+
+
 def _keep(state: DataFrame, folder: str, number: int) -> None:
     """Write the state after a batch. Only the last batch can be replayed, so older states go."""
     state.write.mode("overwrite").parquet(f"{folder}/state/batch={number}")
@@ -73,7 +83,7 @@ def stream_documents(stream: DataFrame, folder: str) -> StreamingQuery:
         known = _state(batch, folder, number, empty)
         seen = known.groupBy("source_id").agg(F.max("closed").alias("closed_before"))  # one row per source
         lines = known.where(F.col("text").isNotNull()).unionByName(rows).select("source_id", "line_no", "text")
-        placed = number_documents(lines).join(seen, "source_id", "left").withColumn("before", F.coalesce("closed_before", F.lit(0)))
+        placed = _meet(number_documents(lines), seen, ["source_id"], "left").withColumn("before", F.coalesce("closed_before", F.lit(0)))
         closed = F.col("doc_no") < F.col("doc_no_total")
         done = placed.where(closed).withColumn("doc_no", F.col("doc_no") + F.col("before"))
         join_lines(done).write.mode("overwrite").parquet(f"{folder}/out/batch={number}")
@@ -81,7 +91,7 @@ def stream_documents(stream: DataFrame, folder: str) -> StreamingQuery:
         open_lines = tail.select("source_id", "line_no", "text", (F.col("before") + F.col("doc_no_total")).alias("closed"))
         totals = lines.groupBy("source_id").agg(F.count_if(F.col("text") == "\n").alias("breaks"))
         # one mark row per source keeps its break count even when no line is open
-        marks = totals.join(seen, "source_id", "full").select(
+        marks = _meet(totals, seen, ["source_id"], "full").select(
             "source_id",
             F.lit(-1).cast("long").alias("line_no"),
             F.lit(None).cast("string").alias("text"),
@@ -103,10 +113,10 @@ def stream_throughput(stream: DataFrame, folder: str, window: int, world: int =
         known = _state(batch, folder, number, rows.limit(0))
         both = known.withColumn("fresh", F.lit(False)).unionByName(rows)
         rates = throughput(both, window, world)
-        new = rates.join(rows.select(*DEVICE, "step"), [*DEVICE, "step"], "left_semi")
+        new = _meet(rates, rows.select(*DEVICE, "step"), [*DEVICE, "step"], "left_semi")
         new.write.mode("overwrite").parquet(f"{folder}/out/batch={number}")
         last = both.groupBy(*DEVICE).agg(F.max("step").alias("_last"))
-        kept = both.join(last, DEVICE).where(F.col("step") > F.col("_last") - (window - 1)).drop("_last")
+        kept = _meet(both, last, DEVICE, "inner").where(F.col("step") > F.col("_last") - (window - 1)).drop("_last")
         _keep(kept, folder, number)
 
     return _start(stream, folder, step)
