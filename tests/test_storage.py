@@ -165,3 +165,14 @@ def test_streams_keep_null_sources_and_devices(spark):
     got = spark.read.parquet(folder + "/out")
     keys = ["run_id", "device", "step"]
     assert rows(got.select(*keys)) == rows(want.select(*keys)) and got.where("device is null").count() > 0
+
+
+def test_event_time_windows_drop_what_is_too_late(spark):
+    """A batch moves the watermark; rows that it passed two batches ago are dropped, rows in open windows count however old."""
+    times = [("10:05", 1), ("10:55", 1), ("11:30", 2), ("11:31", 3), ("10:56", 4), ("11:02", 4), ("12:01", 4)]
+    data = [(f"2024-01-01 {t}:00", None if n == 2 else 1, 0, 1, 5, 0.5, n) for t, n in times]
+    df = spark.createDataFrame(data, "at string, run_id int, device int, samples int, tokens int, train_s double, n int").withColumn("ts", F.to_timestamp("at"))
+    folder = fresh_folder(spark, "windows")
+    ingest.stream_windows(land(spark, df, ["n = 1", "n = 2", "n = 3", "n = 4"]), folder).awaitTermination()
+    got = [(r.start.hour, r.run_id, r.batches, r.tokens_per_sec) for r in ingest.latest_windows(spark, folder).collect()]
+    assert sorted(got, key=str) == sorted([(10, 1, 2, 10.0), (11, None, 1, 10.0), (11, 1, 2, 10.0), (12, 1, 1, 10.0)], key=str)

@@ -154,6 +154,20 @@ def _telemetry(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ordered.ranked(named, ["event_id"], "step", keys=["run_id", "device"])
 
 
+def timed_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events as training batches with their time, and ``at``, the time in microseconds."""
+    user = F.col("user_id")
+    return table(spark, sf_dir, "events").select(
+        F.unix_micros(F.col("ts").cast("timestamp")).alias("at"),
+        "ts",
+        (user % 8).alias("run_id"),
+        (F.floor(user / 8) % 2).alias("device"),
+        F.lit(1).alias("samples"),
+        F.get_json_object("props", "$.k").cast("long").alias("tokens"),
+        ((F.round(F.col("value") * 100) + 1) / 1024).alias("train_s"),
+    )
+
+
 def tensor_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     names = F.element_at(
         F.array(

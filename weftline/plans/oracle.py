@@ -564,4 +564,7 @@ def build() -> dict[str, str]:
       AND (warnings IS NULL OR len(list_filter(warnings, lambda w: coalesce(w IN ({REJECTED}), false))) = 0)"""
     sql["stream_docs"] = sql["lines_from_files"] = sql["lines_to_docs"]
     sql["stream_throughput"] = sql["throughput"]
+    sql["stream_windows"] = """SELECT strftime(date_trunc('hour', ts), '%Y-%m-%d %H:%M:%S') AS start, user_id % 8 AS run_id, user_id // 8 % 2 AS device,
+      count(*) AS batches, count(*) AS samples, sum(k)::BIGINT AS tokens, round(sum(k) / sum(s), 6) AS tokens_per_sec FROM (
+        SELECT ts, user_id, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k, (round(value * 100) + 1) / 1024 AS s FROM events) GROUP BY 1, 2, 3"""
     return sql

@@ -684,6 +684,14 @@ def stream_throughput(spark, sf_dir):
     return _rounded_rates(spark.read.parquet(out).drop("batch"))
 
 
+@query
+def stream_windows(spark, sf_dir):
+    """Rates by hours of event time; the rows arrive in order of time, so none is late."""
+    out = _streamed(spark, derived.timed_batches(spark, sf_dir), "at", ingest.stream_windows)
+    rates = ingest.latest_windows(spark, out.removesuffix("/out"))
+    return rates.select(F.date_format("start", "yyyy-MM-dd HH:mm:ss").alias("start"), "run_id", "device", "batches", "samples", "tokens", F.round("tokens_per_sec", 6).alias("tokens_per_sec"))
+
+
 # --- flagship ---
 
 

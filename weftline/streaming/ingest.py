@@ -10,7 +10,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
@@ -122,6 +122,34 @@ def stream_throughput(stream: DataFrame, folder: str, window: int, world: int =
     return _start(stream, folder, step)
 
 
+def stream_windows(stream: DataFrame, folder: str, time: str = "ts", width: str = "1 hour", lateness: str = "10 minutes") -> StreamingQuery:
+    """``windowed_rates`` written as they change: each micro-batch writes the windows it touched, as they stand then.
+
+    Windows live in Spark's keyed state until the watermark has passed them; later rows of theirs are dropped. A replayed batch
+    overwrites its folder. ``latest_windows`` reads the last state of each window.
+    """
+
+    def step(batch: DataFrame, number: int) -> None:
+        batch.withColumn("batch_no", F.lit(number).cast("long")).write.mode("overwrite").parquet(f"{folder}/out/batch={number}")
+
+    return (
+        windowed_rates(stream, time, width, lateness)
+        .writeStream.outputMode("update")
+        .foreachBatch(step)
+        .option("checkpointLocation", f"{folder}/checkpoint")
+        .trigger(availableNow=True)
+        .start()
+    )
+
+
+def latest_windows(spark: SparkSession, folder: str) -> DataFrame:
+    """The last row written for each window and device; null devices are a group like any other."""
+    rows = spark.read.parquet(f"{folder}/out").drop("batch")
+    values = [c for c in rows.columns if c not in ("start", *DEVICE, "batch_no")]
+    last = rows.groupBy("start", *DEVICE).agg(F.max(F.struct("batch_no", *values)).alias("last"))
+    return last.select("start", *DEVICE, *[f"last.{c}" for c in values])
+
+
 def windowed_rates(stream: DataFrame, time: str = "ts", width: str = "1 hour", lateness: str = "10 minutes") -> DataFrame:
     """Samples and tokens per second in tumbling event-time windows, late rows up to the watermark included."""
     stamped = stream.withColumn(time, F.col(time).cast("timestamp")).withWatermark(time, lateness)
