@@ -36,7 +36,7 @@ from .vocab import char_coverage, char_freq
 
 #: Candidates of the first round and of any round at most; distinct runs that a round brings to the driver at most.
 FIRST_CANDIDATES, CANDIDATES = 256, 8192
-RUNS = 1 << 19
+RUNS = 1 << 16
 
 Pair = tuple[str, str]
 _WORDS = pa.schema([("symbols", pa.list_(pa.string())), ("freq", pa.int64())])
