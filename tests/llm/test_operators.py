@@ -269,33 +269,14 @@ def test_language_id(spark):
     assert {r.lang_pred for r in nothing} == {None, "und"}
 
 
-def test_lm_score(spark):
-    rows = [(1, "a b a c"), (2, "a b b"), (3, None), (4, " \n"), (5, "C a"), (6, "z"), (6, "z"), (None, "a b")]
-    df = spark.createDataFrame([(*r, 0) for r in rows], "doc_id long, text string, target int")
-    ids = spark.createDataFrame([(1,), (1,), (6,), (None,)], "doc_id long")
-    got = lm_score.score(df, lm_score.fit(df, ids, vocabulary=3, slots=1 << 16), mu=2.0).collect()
-    split = [(i, (t or "").translate(LOW).split()) for i, t in rows]
-    total = collections.Counter(w for _, ws in split for w in ws)
-    assert sorted((str(r.doc_id), r.n_tokens) for r in got) == sorted((str(i), len(ws)) for i, ws in split)
-    assert all((r.n_tokens == 0) == (r.score is None) for r in got)
-    # Probabilities of both models sum to one over the vocabulary, for every context.
-    model = lm_score.fit(df, ids, vocabulary=3, slots=1 << 16)
-    v = model.vocabulary
-    for m in range(2):
-        unigram = (model.words[m] + 1) / (model.words[m].sum() + v.start)
-        assert abs(unigram[: v.start].sum() - 1) < 1e-9
-        for before in range(v.start + 1):
-            p = [(model.pairs[m][v.slot(np.array([before]), np.array([w]))[0]] + 2 * unigram[w]) / (model.contexts[m][before] + 2) for w in range(v.start)]
-            assert abs(sum(p) - 1) < 1e-9
-    assert model.words[0].sum() == sum(total.values()) and model.words[1].sum() == 4 + 2
-
-
-def test_lm_score_of_every_bigram(spark):
-    """More words than any fixed table of the test could hold apart; scores against brute force over all words and bigrams."""
+def test_lm_score_of_every_bigram(spark, monkeypatch):
+    """Many small blocks and parts; scores against brute force over all words and bigrams."""
+    monkeypatch.setattr(lm_score, "BLOCK_BYTES", 700)
+    monkeypatch.setattr(lm_score, "PART_KEYS", 300)
     rng = random.Random(3)
     words = [f"w{i}" for i in range(400)]
     rows = [(i, " ".join(rng.choice(words[: rng.choice((5, 400))]) for _ in range(rng.randint(1, 60)))) for i in range(50)]
-    rows += [(60, None), (61, " \n"), (62, "W1 once"), (62, "W1 once"), (62, "w1 w2"), (None, "w1 never w2"), (None, None), (63, "é only here"), (63, "é only there")]
+    rows += [(60, None), (61, " \n"), (62, "W1 once"), (62, "W1 once"), (62, "w1 w2"), (None, "w1 never w2"), (None, None), (63, "é only here"), (63, "é only there"), (64, "long w1 " * 30000)]
     df = spark.createDataFrame([(*r, 0, 0) for r in rows], "doc_id long, text string, target int, n int").repartition(4)
     good = spark.createDataFrame([(i,) for i in (*range(0, 50, 3), 0, 62, None)], "doc_id long")
     split = [(i, (t or "").translate(LOW).split()) for i, t in rows]

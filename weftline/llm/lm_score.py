@@ -8,14 +8,17 @@ the smoothing, so a token's two losses differ by the counts alone. For model M
     p(w | v) = (c(v, w) + mu * unigram(w)) / (c(v as context) + mu)
 
 and a document's score is the mean over its tokens of target loss minus background loss in nats: lower is nearer to the
-target. ``score_corpus`` keeps the counts as tables that grow with the corpus, keyed by predecessor and word (64-bit hashes
-of the words), and joins them with each document's distinct bigrams; no task and not the driver holds a whole table.
+target. The counts grow with the corpus and are whole: no task and not the driver holds all of them.
 
-``fit`` and ``score`` hold a small model in memory instead: the ``vocabulary`` most frequent words and ``slots`` hashed
-sums of bigrams. No query uses them.
+Texts are read once, into blocks of about ``BLOCK_BYTES``: the block's distinct words (64-bit hashes) and each token's
+place among them. A block asks for the counts of its distinct words, then, with rare words made one, for those of its
+distinct bigrams (64-bit hashes of both words). Questions are dealt over parts of the hash range, as many as keep a part
+near ``PART_KEYS`` keys; within a part they are sorted, so that the answer is the sums in the same order, without keys.
+A block names a key once however often it holds it, so that no key is hot. Losses are then added up inside the block.
 
 A text without words has no tokens and null losses. With no target documents all target counts are 0. Rows that repeat an
-id are scored, and counted, each by itself; a null id is never a target.
+id are scored, and counted, each by itself; a null id is never a target. Other columns take no part. An empty table gives
+no rows.
 """
 
 from __future__ import annotations
@@ -24,279 +27,229 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import zstandard
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from weftline.llm.common import batches, constants, mix, only, raw_texts, signed, steps, word_hashes
+from weftline.llm.common import STEP_BYTES, constants, mix, only, partitions_for, raw_texts, steps, word_hashes
 from weftline.session import written
 
-#: The predecessor of a document's first word; no word has this hash.
-START = 0
-
-#: Distinct keys that a counting task gathers before it sends them on.
-HELD = 1 << 21
-
-
-class Counter:
-    """Sums of two counts by key, sent on whenever many distinct keys are held."""
+#: The predecessor of a document's first word, and the word that stands for all rare ones; no word has these hashes.
+START, UNKNOWN = 0, (1 << 64) - 1
 
-    schema = pa.schema([("key", pa.int64()), ("background", pa.int64()), ("target", pa.int64())])
-
-    def __init__(self):
-        self.parts: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
-        self.size = 0
-
-    def add(self, keys: np.ndarray, target: np.ndarray) -> Iterator[pa.RecordBatch]:
-        unique, back = np.unique(keys, return_inverse=True)
-        self.parts.append((unique, np.bincount(back, minlength=len(unique)), np.bincount(back, weights=target, minlength=len(unique)).astype(np.int64)))
-        self.size += len(unique)
-        if self.size > HELD:
-            self._merge()
-            if self.size > HELD // 2:
-                yield from self.flush()
-
-    def _merge(self) -> None:
-        keys = np.concatenate([p[0] for p in self.parts])
-        unique, back = np.unique(keys, return_inverse=True)
-        sums = [np.bincount(back, weights=np.concatenate([p[i] for p in self.parts]), minlength=len(unique)).astype(np.int64) for i in (1, 2)]
-        self.parts, self.size = [(unique, *sums)], len(unique)
-
-    def flush(self) -> Iterator[pa.RecordBatch]:
-        if self.parts:
-            self._merge()
-            keys, background, target = self.parts[0]
-            yield from batches({"key": signed(keys), "background": background, "target": target}, self.schema, 1 << 18)
-        self.parts, self.size = [], 0
-
-
-def _counted(rows: DataFrame, keys) -> DataFrame:
-    """``keys(texts, flags)`` yields arrays of keys and target flags; their summed counts by key."""
-
-    def count(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counter = Counter()
-        for part in parts:
-            texts, flags = raw_texts(part.column(0)), np.array(part.column(1).to_pylist(), bool)
-            for a, b in steps(texts):
-                for found, target in keys(texts[a:b], flags[a:b]):
-                    yield from counter.add(found, target)
-        yield from counter.flush()
-
-    rows = rows.mapInArrow(count, "key long, background long, target long")
-    return rows.groupBy("key").agg(F.sum("background").alias("background"), F.sum("target").alias("target"))
-
-
-def word_keys(texts: list[bytes], flags: np.ndarray):
-    words, counts = word_hashes(texts)
-    yield words, np.repeat(flags, counts)
-
-
-class Vocabulary:
-    """Ids 1 to V of the known words, 0 for the others, V + 1 for the start of a document."""
-
-    def __init__(self, hashes: np.ndarray, slots: int):
-        self.hashes, self.slots, self.start = np.sort(hashes), slots, len(hashes) + 1
-
-    def ids(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Each token's id and that of its predecessor, and the tokens of each text."""
-        words, counts = word_hashes(texts)
-        at = np.searchsorted(self.hashes, words)
-        ids = np.where((at < len(self.hashes)) & (self.hashes[np.minimum(at, max(0, len(self.hashes) - 1))] == words), at + 1, 0) if len(self.hashes) else np.zeros(len(words), np.int64)
-        before = np.concatenate(([0], ids[:-1])) if len(ids) else ids
-        firsts = (np.cumsum(counts) - counts)[counts > 0]
-        before[firsts] = self.start
-        return ids, before, counts
-
-    def slot(self, before: np.ndarray, ids: np.ndarray) -> np.ndarray:
-        weights = constants(5, 2)
-        return (mix(before.astype(np.uint64) * weights[0] + ids.astype(np.uint64) * weights[1]) & np.uint64(self.slots - 1)).astype(np.int64)
-
-    def keys(self, texts: list[bytes], flags: np.ndarray):
-        """Keys of bigram slots, then of words, then of contexts."""
-        ids, before, counts = self.ids(texts)
-        target = np.repeat(flags, counts)
-        for key in (self.slot(before, ids), self.slots + ids, self.slots + self.start + 1 + before):
-            yield key, target
-
-
-class Model:
-    """Counts of both models: bigram slots, words and contexts, each as (2, n): background, target."""
-
-    def __init__(self, vocabulary: Vocabulary, full: np.ndarray):
-        v = vocabulary
-        self.full, self.vocabulary, self.pairs = full, v, full[:, : v.slots]
-        self.words, self.contexts = full[:, v.slots : v.slots + v.start + 1].astype(float), full[:, v.slots + v.start + 1 :].astype(float)
-
-    def losses(self, texts: list[bytes], mu: float) -> tuple[np.ndarray, np.ndarray]:
-        """Summed losses of both models, (2, documents), and tokens."""
-        ids, before, counts = self.vocabulary.ids(texts)
-        slot = self.vocabulary.slot(before, ids)
-        owner = np.repeat(np.arange(len(texts)), counts)
-        out = np.zeros((2, len(texts)))
-        for m in range(2):
-            unigram = (self.words[m] + 1) / (self.words[m].sum() + self.vocabulary.start)
-            p = (self.pairs[m][slot] + mu * unigram[ids]) / (self.contexts[m] + mu)[before]
-            out[m] = np.bincount(owner, weights=-np.log(p), minlength=len(texts))
-        return out, counts
-
-
-def fit(docs: DataFrame, target_ids: DataFrame, id_col: str = "doc_id", text_col: str = "text", vocabulary: int = 1 << 16, slots: int = 1 << 22) -> Model:
-    """Count both models over all documents; ``target_ids`` has a column of that id name."""
-    texts = only(docs, id_col, text_col).select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
-    words = _counted(texts.select("text", F.lit(False)), word_keys)
-    top = words.orderBy(F.desc("background"), "key").limit(vocabulary).select("key").toArrow()["key"].to_numpy()
-    known = Vocabulary(top.view(np.uint64), slots)
-    target = target_ids.select(F.col(id_col).alias("id")).filter("id is not null").distinct().withColumn("target", F.lit(True))
-    # A merge join at every size: tasks hold neither side whole, and hot ids are split at run time.
-    flagged = texts.join(target.hint("merge"), "id", "left").select("text", F.coalesce("target", F.lit(False)).alias("target"))
-    counts = written(_counted(flagged, known.keys), "lm-counts")
-    got = counts.select(F.col("key").cast("int"), "background", "target").toArrow()  # at most slots + 2 * vocabulary + 4 rows
-    sums = np.stack([got["background"].to_numpy(), got["target"].to_numpy()])
-    full = np.zeros((2, slots + 2 * (known.start + 1)), np.uint32 if not sums.size or sums.max() < 1 << 32 else np.int64)
-    full[:, got["key"].to_numpy()] = sums
-    return Model(known, full)
-
-
-def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", mu: float = 10.0) -> DataFrame:
-    """The id, n_tokens, target_loss, background_loss (means over tokens) and score, their difference, of every row."""
-    sent = docs.sparkSession.sparkContext.broadcast((model.vocabulary.hashes, model.vocabulary.slots, model.full))
-
-    def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes, slots, full = sent.value
-        known = Model(Vocabulary(hashes, slots), full)
-        for part in parts:
-            texts = raw_texts(part.column(1))
-            done = [known.losses(texts[a:b], mu) for a, b in steps(texts)]
-            sums, n = np.concatenate([d[0] for d in done], axis=1), np.concatenate([d[1] for d in done])
-            with np.errstate(invalid="ignore", divide="ignore"):
-                background, target = sums / n
-            columns = [pa.array(x, pa.float64(), mask=n == 0) for x in (target, background, target - background)]
-            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(n, pa.int64()), *columns], ["id", "n_tokens", "target_loss", "background_loss", "score"])
+#: Bytes of text and rows that make a block; a longer text makes a block of its own.
+BLOCK_BYTES, BLOCK_ROWS = 1 << 23, 1 << 17
 
-    rows = only(docs, id_col, text_col).select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-    return rows.mapInArrow(run, "id long, n_tokens long, target_loss double, background_loss double, score double").withColumnRenamed("id", id_col)
+#: Keys that one part of the hash range is meant to hold.
+PART_KEYS = 1 << 20
 
+_BLOCK = "block long, ids array<long>, counts array<int>, vocabulary binary, tokens binary"
+_ASKED = "block long, part long, keys binary, values array<binary>"
+_TOLD = "block long, part long, values array<binary>"
+#: The part number of the row that holds a part's sums over its words, and of the row that holds a block's target rows.
+_SUMS, _TARGETS = -1, -2
 
-def bigrams(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Each token's predecessor and hash, and the tokens of each text."""
-    words, counts = word_hashes(texts)
-    words = signed(np.where(words == START, np.uint64(1), words))
-    before = np.concatenate(([START], words[:-1])).astype(np.int64) if len(words) else words
-    before[(np.cumsum(counts) - counts)[counts > 0]] = START
-    return before, words, counts
 
+def pack(values: np.ndarray) -> bytes:
+    """Whole numbers as compressed planes of bytes: small ones and small differences take little room."""
+    return zstandard.ZstdCompressor(level=1).compress(np.ascontiguousarray(values, "<u8").view(np.uint8).reshape(-1, 8).T.tobytes())
 
-def summed(keys: list[np.ndarray], values: list[np.ndarray]) -> tuple[list[np.ndarray], list[np.ndarray]]:
-    """The distinct rows of the keys and the sums of the values of each."""
-    if not len(keys[0]):
-        return keys, values
-    order = np.lexsort(keys[::-1])
-    keys = [k[order] for k in keys]
-    first = np.flatnonzero(np.concatenate(([True], np.any([k[1:] != k[:-1] for k in keys], axis=0))))
-    return [k[first] for k in keys], [np.add.reduceat(v[order], first) for v in values]
 
+def unpack(data: bytes) -> np.ndarray:
+    planes = np.frombuffer(zstandard.ZstdDecompressor().decompress(data), np.uint8).reshape(8, -1)
+    return np.ascontiguousarray(planes.T).view("<u8").ravel()
 
-def _count_bigrams(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Counts by predecessor and word, summed within the task and sent on whenever many are held."""
-    schema = pa.schema([(n, pa.int64()) for n in ("before", "word", "background", "target")])
-    held: list[list[np.ndarray]] = []
-    size = 0
 
-    def merged() -> list[list[np.ndarray]]:
-        columns = [np.concatenate([h[i] for h in held]) for i in range(4)]
-        keys, values = summed(columns[:2], columns[2:])
-        return [[*keys, *values]]
+def _row(values: list, types: str) -> pa.RecordBatch:
+    kinds = {"long": pa.int64(), "binary": pa.binary(), "array<long>": pa.list_(pa.int64()), "array<int>": pa.list_(pa.int32()), "array<binary>": pa.list_(pa.binary())}
+    fields = [f.split(" ") for f in types.split(", ")]
+    return pa.RecordBatch.from_arrays([pa.array([v], kinds[k]) for v, (_, k) in zip(values, fields)], [n for n, _ in fields])
 
-    for part in parts:
-        texts, flags = raw_texts(part.column(0)), np.array(part.column(1).to_pylist(), np.int64)
-        for a, b in steps(texts):
-            before, words, counts = bigrams(texts[a:b])
-            keys, values = summed([before, words], [np.ones(len(words), np.int64), np.repeat(flags[a:b], counts)])
-            held.append([*keys, *values])
-            size += len(keys[0])
-            if size > HELD:
-                held = merged()
-                size = len(held[0][0])
-                if size > HELD // 2:
-                    yield from batches(dict(zip(schema.names, held[0])), schema)
-                    held, size = [], 0
-    if held:
-        yield from batches(dict(zip(schema.names, merged()[0])), schema)
-
-
-def _document_bigrams(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """id, text_hash, before, word, n: the distinct bigrams of each row."""
-    schema = pa.schema([(n, pa.int64()) for n in ("id", "text_hash", "before", "word", "n")])
-    for part in parts:
-        texts = raw_texts(part.column(2))
-        for a, b in steps(texts):
-            before, words, counts = bigrams(texts[a:b])
-            (owner, before, words), (n,) = summed([np.repeat(np.arange(a, b), counts), before, words], [np.ones(len(words), np.int64)])
-            for i in range(0, len(n), 65536):
-                own = pa.array(owner[i : i + 65536])
-                numbers = [pa.array(x[i : i + 65536]) for x in (before, words, n)]
-                yield pa.RecordBatch.from_arrays([part.column(0).take(own), part.column(1).take(own), *numbers], schema=schema)
 
+def _blocks(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """One row a block; its number is the task's and a running one, fixed once the blocks are written."""
+    task, number, ids, hashes, counts, size = TaskContext.get().partitionId(), 0, [], [], [], 0
+
+    def block() -> pa.RecordBatch:
+        words = np.concatenate(hashes)
+        words[words == START] = 1
+        words[words == UNKNOWN] = UNKNOWN - 1
+        vocabulary, tokens = np.unique(words, return_inverse=True)
+        return _row([task << 32 | number, ids, np.concatenate(counts), pack(np.diff(vocabulary, prepend=np.uint64(0))), pack(tokens)], _BLOCK)
 
-def _token_numbers(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for part in parts:
-        texts = raw_texts(part.column(2))
-        n = [word_hashes(texts[a:b])[1] for a, b in steps(texts)]
-        yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(np.concatenate(n) if n else [], pa.int64())], ["id", "text_hash", "n_tokens"])
+        texts, own = raw_texts(part.column(1)), part.column(0).to_pylist()
+        for a, b in steps(texts, min(STEP_BYTES, BLOCK_BYTES)):
+            step = sum(map(len, texts[a:b]))
+            if ids and (size + step > BLOCK_BYTES or len(ids) + b - a > BLOCK_ROWS):
+                yield block()
+                number, ids, hashes, counts, size = number + 1, [], [], [], 0
+            words, n = word_hashes(texts[a:b])
+            ids, size = ids + own[a:b], size + step
+            hashes.append(words)
+            counts.append(n)
+    if ids:
+        yield block()
+
+
+class Block:
+    """A block as arrays: local vocabulary, each token's place in it, that of its predecessor (-1: none), its row."""
+
+    def __init__(self, row: dict):
+        self.number, self.ids, self.counts = row["block"], row["ids"], np.array(row["counts"], np.int64)
+        self.words = np.cumsum(unpack(row["vocabulary"]), dtype=np.uint64)
+        self.tokens = unpack(row["tokens"]).astype(np.int64)
+        self.before = np.concatenate(([-1], self.tokens[:-1])) if len(self.tokens) else self.tokens
+        self.before[(np.cumsum(self.counts) - self.counts)[self.counts > 0]] = -1
+        self.rows = np.repeat(np.arange(len(self.ids)), self.counts)
+        self.told = {t["part"]: t["values"] for t in row.get("word_facts") or []}
+
+    def targets(self) -> np.ndarray:
+        """Which tokens belong to rows of the target."""
+        flags = np.zeros(len(self.ids), bool)
+        if _TARGETS in self.told:
+            flags[unpack(self.told[_TARGETS][0]).astype(np.int64)] = True
+        return flags[self.rows]
+
+    def bigrams(self, least: int) -> tuple[np.ndarray, np.ndarray]:
+        """Sorted distinct hashes of the bigrams, rare words made one, and each token's place among them."""
+        known = np.concatenate(([True], self.facts(self.told)[0][1:] >= least))
+        names = np.where(known, np.concatenate(([np.uint64(START)], self.words)), np.uint64(UNKNOWN))
+        weights = constants(7, 2)
+        return np.unique(mix(names[self.before + 1] * weights[0] + names[self.tokens + 1] * weights[1]), return_inverse=True)
+
+    @staticmethod
+    def facts(told: dict) -> list[np.ndarray]:
+        """The answers of all parts in the order of the keys."""
+        parts = [told[p] for p in sorted(told) if p >= 0]
+        return [np.concatenate([unpack(p[i]) for p in parts]) for i in range(len(parts[0]))]
+
+
+def _each(parts: Iterator[pa.RecordBatch]) -> Iterator[dict]:
+    for part in parts:
+        for i in range(part.num_rows):
+            yield part.slice(i, 1).to_pylist()[0]
+
+
+def _asked(block: int, keys: np.ndarray, values: list[np.ndarray], parts: int) -> Iterator[pa.RecordBatch]:
+    """The sorted keys and their counts, by part of the hash range."""
+    part = (keys >> np.uint64(32)) * np.uint64(parts) >> np.uint64(32)
+    starts = np.flatnonzero(np.concatenate(([True], part[1:] != part[:-1])))
+    for a, b in zip(starts, np.append(starts[1:], len(keys))):
+        yield _row([block, int(part[a]), pack(np.diff(keys[a:b], prepend=np.uint64(0))), [pack(v[a:b]) for v in values]], _ASKED)
+
+
+def _ask_words(parts: int):
+    """Of each word of a block, and of the start: tokens and contexts of the background, then of the target."""
+
+    def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for row in _each(batches):
+            block = Block(row)
+            if len(block.tokens):
+                size, target = len(block.words) + 1, block.targets()
+                values = [np.bincount(at[of] + 1, minlength=size) for of in (slice(None), target) for at in (block.tokens, block.before)]
+                yield from _asked(block.number, np.concatenate(([np.uint64(START)], block.words)), values, parts)
+
+    return ask
+
+
+def _ask_bigrams(parts: int, least: int):
+    def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for row in _each(batches):
+            block = Block(row)
+            if len(block.tokens):
+                keys, at = block.bigrams(least)
+                yield from _asked(block.number, keys, [np.bincount(at[of], minlength=len(keys)) for of in (slice(None), block.targets())], parts)
+
+    return ask
+
+
+def _tell(least: int | None):
+    """Sums over all blocks for each block's keys, in their order; with ``least`` also the part's sums over its words."""
+
+    def tell(table: pa.Table) -> pa.Table:
+        rows = table.to_batches()
+        part = table["part"][0].as_py()
+        keys = [np.cumsum(unpack(k), dtype=np.uint64) for k in table["keys"].to_pylist()]
+        ends = np.cumsum([len(k) for k in keys])
+        distinct, at = np.unique(np.concatenate(keys), return_inverse=True)
+        values = table["values"].to_pylist()
+        del rows, keys
+        sums = [np.bincount(at, np.concatenate([unpack(v[i]) for v in values]), len(distinct)).astype(np.uint64) for i in range(len(values[0]))]
+        out = [_row([block, part, [pack(s[at[a:b]]) for s in sums]], _TOLD) for block, a, b in zip(table["block"].to_pylist(), np.append(0, ends[:-1]), ends)]
+        if least is not None:
+            word, rare = distinct != START, (distinct != START) & (sums[0] < least)
+            of_part = [np.count_nonzero(word & ~rare), sums[0].sum(), sums[2].sum(), *(s[rare].sum() for s in sums)]
+            out.append(_row([part, _SUMS, [int(x).to_bytes(8, "big") for x in of_part]], _TOLD))
+        return pa.Table.from_batches(out)
+
+    return tell
+
+
+def _target_rows(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for row in _each(parts):
+        yield _row([row["block"], _TARGETS, [pack(np.array(row["at"], np.int64))]], _TOLD)
+
+
+def _score(least: int, mu: float, whole: list[int]):
+    """``whole``: words of the vocabulary, tokens of both models, then the rare words' tokens and contexts."""
+    known, *tokens = whole[:3]
+    rare = whole[3:]
+
+    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for row in _each(batches):
+            block = Block(row)
+            n = len(block.ids)
+            losses = np.zeros((2, n))
+            if len(block.tokens):
+                words = block.facts(block.told)
+                unseen = words[0] < least
+                unseen[0] = False
+                _, at = block.bigrams(least)
+                pairs = block.facts({t["part"]: t["values"] for t in row["bigram_facts"]})
+                for m in range(2):
+                    word, context = (np.where(unseen, rare[2 * m + i], words[2 * m + i]).astype(float) for i in (0, 1))
+                    unigram = (word + 1) / (tokens[m] + known + 1)
+                    p = (pairs[m][at] + mu * unigram[block.tokens + 1]) / (context[block.before + 1] + mu)
+                    losses[m] = np.bincount(block.rows, -np.log(p), n)
+            with np.errstate(invalid="ignore", divide="ignore"):
+                background, target = losses / block.counts
+            columns = [pa.array(x, pa.float64(), mask=block.counts == 0) for x in (target, background, target - background)]
+            out = [pa.array(block.ids, pa.int64()), pa.array(block.counts), *columns]
+            yield pa.RecordBatch.from_arrays(out, ["id", "n_tokens", "target_loss", "background_loss", "score"])
 
+    return score
 
-def _losses(counts: DataFrame, least: int, mu: float) -> DataFrame:
-    """before, word, background_loss, target_loss of every bigram of the counts.
 
-    A count with the unknown word is a sum over bigrams: those of one predecessor stand with the predecessor, those of one
-    word with the word, those of two unknown words are one number. Merge joins split the rows of frequent words.
-    """
-    models = ("background", "target")
-    sums = [F.sum(m).alias(f"w_{m}") for m in models]
-    words = written(counts.groupBy("word").agg(*sums).withColumn("known", F.col("w_background") >= least), "lm-words")
-    by_word = counts.join(words.select("word", "known").hint("merge"), "word")
-    of_context = [e for m in models for e in (F.sum(m).alias(f"x_{m}"), F.sum(F.when(F.col("known"), 0).otherwise(F.col(m))).alias(f"xu_{m}"))]
-    contexts = by_word.groupBy("before").agg(*of_context)
-    known = words.select(F.col("word").alias("before"), F.col("known").alias("context_known"))
-    contexts = contexts.join(known.hint("merge"), "before", "left").withColumn("context_known", F.coalesce("context_known", F.lit(True)))  # START is known
-    contexts = written(contexts, "lm-contexts")
-    rare = counts.join(contexts.filter("not context_known").select("before").hint("merge"), "before", "left_semi")
-    after_rare = rare.groupBy("word").agg(*[F.sum(m).alias(f"wu_{m}") for m in models])
-    words = written(words.join(after_rare.hint("merge"), "word", "left").na.fill(0, [f"wu_{m}" for m in models]), "lm-words")
-
-    unknown = words.agg(F.count_if("known").alias("v"), *[e for m in models for e in (F.sum(f"w_{m}").alias(f"n_{m}"), F.sum(F.when(~F.col("known"), F.col(f"w_{m}"))).alias(f"w_{m}"))]).first()
-    both = contexts.filter("not context_known").agg(*[F.sum(f"{c}_{m}").alias(f"{c}_{m}") for c in ("x", "xu") for m in models]).first()
-    joined = counts.join(words.hint("merge"), "word").join(contexts.hint("merge"), "before")
-
-    def loss(m: str):
-        def or_else(flag: str, column, number):
-            return F.when(F.col(flag), column).otherwise(F.lit(number or 0))
-
-        unigram = (or_else("known", F.col(f"w_{m}"), unknown[f"w_{m}"]) + 1) / F.lit(float((unknown[f"n_{m}"] or 0) + unknown["v"] + 1))
-        of_known = F.when(F.col("known"), F.col(m)).otherwise(F.col(f"xu_{m}"))
-        count = F.when(F.col("context_known"), of_known).otherwise(or_else("known", F.col(f"wu_{m}"), both[f"xu_{m}"]))
-        return -F.log((count + mu * unigram) / (or_else("context_known", F.col(f"x_{m}"), both[f"x_{m}"]) + mu))
-
-    return joined.select("before", "word", *[loss(m).alias(f"{m}_loss") for m in models])
+def _by_block(facts: DataFrame, name: str) -> DataFrame:
+    """All answers to a block in one row: no more than the block asked for."""
+    return facts.groupBy("block").agg(F.collect_list(F.struct("part", "values")).alias(name))
 
 
 def score_corpus(docs: DataFrame, target_ids: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: int = 2, mu: float = 10.0) -> DataFrame:
     """Count both models over the rows of docs; their id, n_tokens, target_loss, background_loss (means over tokens) and score, the difference.
 
-    ``target_ids`` has a column of the id's name. Equal rows have equal losses, so sums over (id, text_hash) serve each of them.
+    ``target_ids`` has a column of the id's name.
     """
     texts = only(docs, id_col, text_col).select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-    target = target_ids.select(F.col(id_col).cast("long").alias("id")).filter("id is not null").distinct().withColumn("target", F.lit(True))
-    # A merge join at every size: tasks hold neither side whole, and hot ids are split at run time.
-    flagged = texts.join(target.hint("merge"), "id", "left").select("text", F.coalesce("target", F.lit(False)).alias("target"))
-    found = flagged.mapInArrow(_count_bigrams, "before long, word long, background long, target long")
-    counts = written(found.groupBy("before", "word").agg(F.sum("background").alias("background"), F.sum("target").alias("target")), "lm-counts")
-
-    keyed = texts.select("id", F.xxhash64("text").alias("text_hash"), "text")
-    own = keyed.mapInArrow(_document_bigrams, "id long, text_hash long, before long, word long, n long")
-    met = own.join(_losses(counts, least, mu).hint("merge"), ["before", "word"])
-    total = [F.sum("n").alias("n"), *[F.sum(F.col("n") * F.col(f"{m}_loss")).alias(f"{m}_loss") for m in ("target", "background")]]
-    sums = met.groupBy("id", "text_hash").agg(*total).withColumnsRenamed({"id": "__id", "text_hash": "__hash"})
-    rows = keyed.mapInArrow(_token_numbers, "id long, text_hash long, n_tokens long")
-    rows = rows.join(sums.hint("merge"), F.col("id").eqNullSafe(F.col("__id")) & (F.col("text_hash") == F.col("__hash")), "left")
-    means = rows.select("id", "n_tokens", *[(F.col(f"{m}_loss") / F.col("n")).alias(f"{m}_loss") for m in ("target", "background")])
-    return means.withColumn("score", F.col("target_loss") - F.col("background_loss")).withColumnRenamed("id", id_col)
+    blocks = written(texts.mapInArrow(_blocks, _BLOCK), "lm-blocks")
+    total = blocks.agg(F.sum(F.aggregate("counts", F.lit(0).cast("long"), lambda a, n: a + n))).first()[0]
+    parts = partitions_for(total or 0, PART_KEYS)
+
+    target = target_ids.select(F.col(id_col).cast("long").alias("id")).filter("id is not null").distinct()
+    places = blocks.select("block", F.posexplode("ids").alias("at", "id")).join(target.hint("merge"), "id", "left_semi")
+    marked = places.groupBy("block").agg(F.collect_list("at").alias("at")).mapInArrow(_target_rows, _TOLD)  # at most BLOCK_ROWS a block
+    marked = written(marked, "lm-targets")
+
+    asked = blocks.join(_by_block(marked, "word_facts").hint("merge"), "block", "left").mapInArrow(_ask_words(parts), _ASKED)
+    told = written(asked.groupBy("part").applyInArrow(_tell(least), _TOLD), "lm-words")
+    number = [F.sum(F.conv(F.hex(F.col("values")[i]), 16, 10).cast("long")).alias(f"v{i}") for i in range(7)]
+    whole = [x or 0 for x in told.filter(F.col("part") == _SUMS).agg(*number).first()]
+    words = _by_block(told.filter(F.col("part") >= 0).unionByName(marked), "word_facts").hint("merge")
+
+    asked = blocks.join(words, "block", "left").mapInArrow(_ask_bigrams(parts, least), _ASKED)
+    bigrams = written(asked.groupBy("part").applyInArrow(_tell(None), _TOLD), "lm-bigrams")
+    met = blocks.join(words, "block", "left").join(_by_block(bigrams, "bigram_facts").hint("merge"), "block", "left")
+    scored = met.mapInArrow(_score(least, mu, whole), "id long, n_tokens long, target_loss double, background_loss double, score double")
+    return scored.withColumnRenamed("id", id_col)
