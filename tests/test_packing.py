@@ -60,6 +60,37 @@ def test_reports_are_bounded_and_cover_every_incoming_length():
         assert list(report["low"]) == [0, *(report["high"][:-1] + 1)] and report["high"].iloc[-1] == 10
 
 
+@pytest.mark.parametrize("top", [3, 12, 60])
+def test_groups_compose_to_the_report_of_their_documents(top):
+    import pandas as pd
+
+    rng = random.Random(top)
+    for sizes in ([1, 1, 1], [5, 0, 9, 2], [40, 1, 30], [2] * 12):
+        docs = [rng.randrange(0, top) for _ in range(sum(sizes))]
+        docs = [d for d in docs if d <= 20] or [1]
+        pdf = pd.DataFrame({"shard": 0, "high_key": range(len(docs)), "low_key": 0, "doc_id": range(len(docs)), "len": docs})
+        pdf["shard"] = [min(int(i * len(sizes) / len(docs)), len(sizes) - 1) for i in range(len(docs))]
+        parts = pd.concat([packing._report_shard(p, 20) for _, p in pdf.groupby("shard")]).assign(group=0)
+        got, want = packing._compose_reports(parts, 20), packing._report_shard(pdf.assign(shard=0), 20)
+
+        def at(report, carry):
+            r = report[(report["low"] <= carry) & (carry <= report["high"])]
+            assert len(r) == 1
+            r = r.iloc[0]
+            return r["out"] + (0 if r["absolute"] else carry), r["closed"]
+
+        assert len(got) <= 22
+        assert [at(got, c) for c in range(21)] == [at(want, c) for c in range(21)]
+
+
+@pytest.mark.parametrize("shards, levels", [(500, 0), (500, 1), (500, 2), (16, 2)])
+def test_equals_the_sequential_walk_at_every_depth(spark, monkeypatch, shards, levels):
+    monkeypatch.setattr(packing, "FAN_BITS", 3)
+    rng = random.Random(levels)
+    docs = [(i * 3, rng.choice((0, 1, 5, 30))) for i in range(300)]
+    assert packed(spark, docs, 24, shards=shards, levels=levels) == fold(docs, 24)
+
+
 @pytest.mark.parametrize("shards", [1, 7])
 def test_large_ids_beside_a_null_id(spark, shards):
     ids = [(1 << 60) + k for k in range(40)]

@@ -13,19 +13,37 @@ from .overlap import neighbour_means
 
 
 def cross_covariance(source: DataFrame, target: DataFrame, dictionary: DataFrame) -> np.ndarray:
-    """Sum of outer products over dictionary pairs (source_token, target_token): dim x dim numbers, summed in Spark."""
+    """Sum of outer products over dictionary pairs (source_token, target_token): dim x dim numbers.
+
+    Every task adds up one matrix product an Arrow batch and sends one row; Spark adds the rows cell by cell. Vectors are
+    scaled to length one, zero vectors stay zero.
+    """
     pairs = dictionary.join(source.select(F.col("token").alias("source_token"), F.col("aux").alias("x")), "source_token").join(
         target.select(F.col("token").alias("target_token"), F.col("aux").alias("y")), "target_token"
     )
-    unit = lambda v: F.transform(v, lambda a: F.coalesce(F.try_divide(a, F.sqrt(F.aggregate(v, F.lit(0.0), lambda s, b: s + b * b))), F.lit(0.0)))
-    flat = pairs.select(unit(F.col("x")).alias("x"), unit(F.col("y")).alias("y")).select(F.posexplode("x").alias("i", "a"), "y")
-    cells = flat.select("i", "a", F.posexplode("y").alias("j", "b")).groupBy("i", "j").agg(F.sum(F.col("a") * F.col("b")).alias("v"))
+
+    def unit(column: pd.Series) -> np.ndarray:
+        rows = np.stack(column.to_list()).astype(float)
+        length = np.linalg.norm(rows, axis=1, keepdims=True)
+        return np.divide(rows, length, out=np.zeros_like(rows), where=length > 0)
+
+    def products(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        total = None
+        for batch in batches:
+            if len(batch):
+                product = unit(batch["x"]).T @ unit(batch["y"])
+                total = product if total is None else total + product
+        if total is not None:
+            yield pd.DataFrame({"width": [total.shape[1]], "cells": [total.ravel()]})
+
+    partial = pairs.select("x", "y").where("x is not null and y is not null").mapInPandas(products, "width int, cells array<double>")
+    cells = partial.select("width", F.posexplode("cells").alias("at", "v")).groupBy("at").agg(F.sum("v").alias("v"), F.max("width").alias("width"))
     rows = cells.toPandas()  # dim * dim rows
     if rows.empty:
         return np.zeros((0, 0))
-    out = np.zeros((int(rows["i"].max()) + 1, int(rows["j"].max()) + 1))
-    out[rows["i"].to_numpy(), rows["j"].to_numpy()] = rows["v"].to_numpy()
-    return out
+    out = np.zeros(len(rows))
+    out[rows["at"].to_numpy()] = rows["v"].to_numpy()
+    return out.reshape(-1, int(rows["width"].iloc[0]))
 
 
 def alignment(source: DataFrame, target: DataFrame, dictionary: DataFrame) -> np.ndarray:

@@ -7,7 +7,9 @@ the length of the chunk open at its border, a number from 0 to ``block``:
 
 1. every shard reports, for each range of incoming lengths, its outgoing length and closed chunks
    (``block + 2`` rows at most, since incoming lengths that close at the same document agree);
-2. these reports are chained in shard order, which gives each shard its true incoming length;
+2. these reports are functions from incoming to outgoing length that compose: a group of shards has a report of the same
+   form and size. Groups of at most 256 reports are composed level by level, the reports of the last level are chained,
+   and the true incoming lengths go back down to the groups and to the shards;
 3. every shard walks its documents once from there.
 """
 
@@ -20,7 +22,9 @@ from pyspark.sql import functions as F
 
 from ..functions.constants import SHUFFLE_SEED
 from ..functions.draws import order_key
+
 SHARD_DOCS = 1 << 19
+FAN_BITS = 8  # a group composes 256 reports
 
 _REPORT = "shard long, low long, high long, out long, closed long, absolute boolean"
 _START = "shard long, carry long, first_chunk long, chunks long"
@@ -68,14 +72,35 @@ def _report_shard(pdf: pd.DataFrame, block: int) -> pd.DataFrame:
     return pd.DataFrame(rows, columns=["shard", "low", "high", "out", "closed", "absolute"])
 
 
-def _chain_reports(pdf: pd.DataFrame) -> pd.DataFrame:
-    carry, chunk, rows = 0, 0, []
+def _compose_reports(pdf: pd.DataFrame, block: int) -> pd.DataFrame:
+    """The report of a group from those of its shards. Its pieces cut 0 to ``block``, so there are block + 1 at most."""
+    low, high = np.array([0]), np.array([block])
+    out, closed, absolute = np.array([0]), np.array([0]), np.array([False])
+    for _, report in pdf.sort_values(["shard", "low"]).groupby("shard", sort=True):
+        lows, highs, outs, more, fixed = (report[c].to_numpy() for c in ("low", "high", "out", "closed", "absolute"))
+        for at in np.flatnonzero(~absolute):  # the one piece, if any, whose chunk is still open: cut where the next report changes
+            shift = out[at]
+            meets = (highs >= low[at] + shift) & (lows <= high[at] + shift)
+            k = int(meets.sum())
+            pieces = np.maximum(lows[meets] - shift, low[at]), np.minimum(highs[meets] - shift, high[at])
+            low, high = (np.concatenate((x[:at], new, x[at + 1 :])) for x, new in zip((low, high), pieces))
+            out, closed, absolute = (np.concatenate((x[:at], np.repeat(x[at], k), x[at + 1 :])) for x in (out, closed, absolute))
+        hit = np.searchsorted(highs, np.where(absolute, out, low + out), side="left")
+        out, closed, absolute = np.where(fixed[hit], outs[hit], out + outs[hit]), closed + more[hit], absolute | fixed[hit]
+    return pd.DataFrame({"shard": int(pdf["group"].iloc[0]), "low": low, "high": high, "out": out, "closed": closed, "absolute": absolute})
+
+
+def _chain_reports(pdf: pd.DataFrame, start: pd.DataFrame | None = None) -> pd.DataFrame:
+    """Incoming lengths and first chunks in shard order, from those of the group; without them it is the whole walk."""
+    carry, chunk = (0, 0) if start is None else (int(start["carry"].iloc[0]), int(start["first_chunk"].iloc[0]))
+    rows = []
     for shard, report in pdf.sort_values(["shard", "low"]).groupby("shard", sort=True):
         rows.append((shard, carry, chunk))
         hit = report.iloc[int(np.searchsorted(report["high"].to_numpy(), carry, side="left"))]
         carry = int(hit["out"]) if hit["absolute"] else carry + int(hit["out"])
         chunk += int(hit["closed"])
-    return pd.DataFrame(rows, columns=["shard", "carry", "first_chunk"]).assign(chunks=chunk)
+    chunks = chunk if start is None else int(start["chunks"].iloc[0])
+    return pd.DataFrame(rows, columns=["shard", "carry", "first_chunk"]).assign(chunks=chunks)
 
 
 def _walk_shard(docs: pd.DataFrame, start: pd.DataFrame, block: int) -> pd.DataFrame:
@@ -93,17 +118,18 @@ def _walk_shard(docs: pd.DataFrame, start: pd.DataFrame, block: int) -> pd.DataF
 
 
 def pack_greedy(
-    docs: DataFrame, block: int, seed: int = SHUFFLE_SEED, skip_last: bool = False, shards: int | None = None
+    docs: DataFrame, block: int, seed: int = SHUFFLE_SEED, skip_last: bool = False, shards: int | None = None, levels: int = 1
 ) -> DataFrame:
     """Members of every sample: (sample_id, doc_id, order) from documents (doc_id, len).
 
     Members of a sample follow ``order``. Packed samples have even ids in closing order, a document
     longer than the block has the odd id 2 * doc_id + 1. The chunk still open at the end is dropped.
-    The result does not depend on ``shards``: unset, a shard holds about SHARD_DOCS documents.
+    The result does not depend on ``shards``: unset, a shard holds about SHARD_DOCS documents. Nor does it depend on
+    ``levels`` of groups: with one, no group has over 256 reports up to 2^35 documents; each more serves 256 times as many.
     """
     docs = docs.select("doc_id", F.col("len").cast("long").alias("len"))
-    if shards is None:
-        shards = max(16, docs.count() // SHARD_DOCS)
+    counted = docs.agg(F.greatest(F.lit(16), F.floor(F.count(F.lit(1)) / SHARD_DOCS)).cast("long").alias("n"))
+    shards = counted.scalar() if shards is None else F.lit(shards).cast("long")
     if skip_last:
         last = docs.agg(F.max("doc_id").alias("last")).scalar()
         docs = docs.where(F.col("doc_id") != last)
@@ -125,8 +151,14 @@ def pack_greedy(
     )
 
     reports = short.groupBy("shard").applyInPandas(lambda pdf: _report_shard(pdf, block), _REPORT)
-    # one group: per shard as many rows as documents fit in one chunk, block + 2 at most
-    starts = reports.withColumn("all", F.lit(0)).groupBy("all").applyInPandas(_chain_reports, _START)
+    below = []
+    for _ in range(levels):
+        below.append(reports.withColumn("group", F.expr(f"shiftright(shard, {FAN_BITS})")))
+        reports = below[-1].groupBy("group").applyInPandas(lambda pdf: _compose_reports(pdf, block), _REPORT)
+    # the root of the tree; a report has as many rows as documents fit in one chunk, block + 2 at most
+    starts = reports.withColumn("all", F.lit(0)).groupBy("all").applyInPandas(lambda pdf: _chain_reports(pdf), _START)
+    for reports in reversed(below):
+        starts = reports.groupBy("group").cogroup(starts.groupBy("shard")).applyInPandas(lambda r, s: _chain_reports(r, s), _START)
     walked = (
         short.groupBy("shard")
         .cogroup(starts.groupBy("shard"))
