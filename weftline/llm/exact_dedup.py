@@ -46,8 +46,9 @@ def exact_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         .select("id", "norm", F.octet_length("norm").alias("size"), F.xxhash64(F.substring("norm", 1, prefix)).alias("head"))
     )
     keys = written(keyed.select("size", "head"), "copies-keys")
-    sizes = keys.groupBy("size").count().filter("count > 1").select("size")
-    heads = keys.join(sizes, "size").groupBy("size", "head").count().filter("count > 1")
+    pairs = keys.groupBy("size", "head").count()  # copies of one text are one row before anything is dealt by size
+    sizes = pairs.groupBy("size").agg(F.sum("count").alias("of_size")).filter("of_size > 1").select("size")
+    heads = pairs.join(sizes, "size").filter("count > 1")
     survives = _bit_set(heads.select(F.pmod(F.xxhash64("size", "head"), F.lit(bits)).alias("slot")), bits)
     keyed = keyed.withColumn("slot", F.pmod(F.xxhash64("size", "head"), F.lit(bits))).withColumn("survives", survives("slot"))
     digest = F.sha2(F.col("norm").cast("binary"), 256)
