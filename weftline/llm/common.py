@@ -8,7 +8,6 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
 #: The white space of the contracts, U+0009 to U+000D and U+0020.
 SPACE = " \t\n\x0b\x0c\r"
@@ -143,10 +142,6 @@ def write_file(folder: str, name: str, chunks: Iterator[bytes]) -> None:
     system.move(f"{root}/.{name}", f"{root}/{name}")
 
 
-def text_or_empty(column: str):
-    return F.coalesce(F.col(column).cast("string"), F.lit(""))
-
-
 def partitions_for(rows: int, each: int) -> int:
     return max(1, -(-rows // each))
 
