@@ -15,7 +15,6 @@ FIRST_PIECE_ID = FIRST_BYTE_ID + 256
 SHUFFLE_SEED = 42
 DEFAULT_VOCAB_SIZE = 32768
 CHARACTER_COVERAGE = 0.9995
-MAX_SENTENCE_BYTES = 8192
 
 # Marks that reject a web document.
 REJECTED_WARNINGS = ["noisy", "header", "footer", "short_sentences", "tiny", "adult"]
