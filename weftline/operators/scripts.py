@@ -55,28 +55,31 @@ def _bare(token: Column) -> Column:
     return F.when(marked, F.substr(token, F.lit(2))).otherwise(token)
 
 
-def token_script(tokens: DataFrame, table: DataFrame | None = None) -> DataFrame:
-    """Most frequent script of a token's characters, the first seen on a tie. Works inside the row.
+def character_scripts(chars: DataFrame, table: DataFrame | None = None) -> DataFrame:
+    """Script of each distinct character (char, script): by its property, or by a table of code points, UNK where there is none.
 
-    With a table the scripts are looked up by code point (an equi-join on at most 1,114,112 codes).
+    There are at most 1,114,112 characters, however many rows hold them.
     """
-    chars = F.filter(F.split(_bare(F.col("token")), ""), lambda c: c != "")
+    distinct = chars.select("char").distinct()
     if table is None:
-        named = tokens.select("token", "id", F.transform(chars, script_of).alias("found"))
-    else:
-        flat = tokens.select("token", "id", F.posexplode(chars).alias("pos", "char"))
-        # code point of a character: its big-endian UTF-32 bytes
-        code = F.conv(F.hex(F.encode(F.col("char"), "UTF-32")), 16, 10).cast("int")
-        looked = flat.withColumn("code", code).join(table, "code", "left").withColumn("script", F.coalesce("script", F.lit("UNK")))
-        rows = looked.groupBy("token", "id").agg(F.array_sort(F.collect_list(F.struct("pos", "script"))).alias("rows"))  # one token
-        named = rows.select("token", "id", F.transform("rows", lambda r: r["script"]).alias("found"))
-
-    def better(best: Column, script: Column) -> Column:
-        count = F.size(F.filter("found", lambda f: f == script))
-        return F.when(count > best["n"], F.struct(count.alias("n"), script.alias("script"))).otherwise(best)
-
-    start = F.struct(F.lit(0).alias("n"), F.lit("UNK").alias("script"))
-    return named.select("token", "id", F.aggregate(F.array_distinct("found"), start, better)["script"].alias("script"))
+        return distinct.select("char", script_of(F.col("char")).alias("script"))
+    # code point of a character: its big-endian UTF-32 bytes
+    code = F.conv(F.hex(F.encode(F.col("char"), "UTF-32")), 16, 10).cast("int")
+    looked = distinct.withColumn("code", code).join(table, "code", "left")
+    return looked.select("char", F.coalesce("script", F.lit("UNK")).alias("script"))
+
+
+def token_script(tokens: DataFrame, table: DataFrame | None = None) -> DataFrame:
+    """Most frequent script of a token's characters, the first seen on a tie; UNK for tokens without characters.
+
+    Scripts are looked up once for each distinct character, from its Unicode property or from a table of code points.
+    """
+    distinct = tokens.select("token").distinct()
+    chars = distinct.select("token", F.posexplode(F.split(_bare(F.col("token")), "")).alias("pos", "char")).where(F.col("char") != "")
+    known = F.broadcast(character_scripts(chars, table))  # one row per code point at most
+    counts = chars.join(known, "char").groupBy("token", "script").agg(F.count(F.lit(1)).alias("n"), F.min("pos").alias("first"))
+    main = counts.groupBy("token").agg(F.max_by("script", F.struct("n", -F.col("first"))).alias("script"))
+    return tokens.select("token", "id").join(main, "token", "left").select("token", "id", F.coalesce("script", F.lit("UNK")).alias("script"))
 
 
 def script_groups(scripts: DataFrame, specials: list[str] = TRANSFER_SPECIALS, word_position: bool = True) -> DataFrame:
