@@ -43,6 +43,24 @@ def test_clustered_ids_are_cut_evenly(spark):
     assert sizes < 9000 / 256 * 4
 
 
+def test_more_rows_give_more_shards(spark):
+    """With few rows a shard, the parts of a quantile range follow the order, and ranks stay right."""
+    df = spark.range(0, 6 * 10**9, 10**6).union(spark.range(10000, 13000)).union(spark.createDataFrame([(None,), (5,), (5,)], "id long"))
+    cut = ordered.with_range_shard(df, "id", shards=4, rows=100)
+    spans = sorted((r["_shard"], r["lo"], r["hi"]) for r in cut.groupBy("_shard").agg(F.min("id").alias("lo"), F.max("id").alias("hi")).collect())
+    assert len(spans) > 40 and all(a[2] <= b[1] for a, b in zip(spans, spans[1:]))
+    assert ordered.with_range_shard(df.limit(0), "id", rows=1).count() == 0
+
+
+def test_key_shards_grow_with_the_rows(spark, monkeypatch):
+    monkeypatch.setattr(ordered, "KEY_SHARDS", 2)
+    monkeypatch.setattr(ordered, "SHARD_ROWS", 10)
+    df = spark.range(500).withColumn("_order", order_key(1, "id"))
+    assert 40 <= df.select(ordered.key_shard(df, "_order").alias("s")).distinct().count() <= 50
+    places = {r["id"]: r["position"] for r in splits.shuffle_global(df.select("id"), "id", seed=1).collect()}
+    assert sorted(places, key=places.get) == [r["id"] for r in df.orderBy("_order").collect()]
+
+
 def test_result_does_not_depend_on_partitions(spark):
     df = spark.createDataFrame(frame(spark, 500), "id long, k string, v long")
     want = rows(splits.shuffle_global(df, "id"))
@@ -56,7 +74,7 @@ def test_result_does_not_depend_on_partitions(spark):
 @pytest.mark.parametrize("shards", [None, "key"])
 def test_rank_marks_edges(spark, shards):
     df = spark.range(100).withColumn("_order", order_key(1, "id"))
-    key, shard = ("_order", ordered.key_shard("_order")) if shards else ("id", None)
+    key, shard = ("_order", ordered.key_shard(df, "_order")) if shards else ("id", None)
     rules = {"none": lambda n: F.lit(0), "one": lambda n: F.lit(1), "some": lambda n: F.floor(n * 0.37), "all": lambda n: n, "past": lambda n: n + 5}
     marks = ordered.rank_marks(df, key, rules, shard)
     marked = df.withColumn("m", marks)
@@ -81,7 +99,7 @@ def test_only_shard_tables_are_in_one_partition(spark, name):
     lines = df._jdf.queryExecution().executedPlan().toString().split("\n")
     found = [lines[i + 1 : i + 3] for i, line in enumerate(lines) if "Exchange SinglePartition" in line]
     for below in found:
-        assert re.search(r"Aggregate\(keys?=\[(_shard#\d+)?\]", "".join(below)), below
+        assert re.search(r"Aggregate\(keys?=\[(_shard#\d+L?)?\]", "".join(below)), below
 
 
 def test_splits_need_no_shuffle_of_the_documents(spark):

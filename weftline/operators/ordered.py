@@ -1,9 +1,10 @@
 """Ordered scans that never put the data in one partition.
 
-A shard is any column that grows with the order key. Totals per shard form a table of at most
-``SHARDS`` rows per key; its running sum gives every shard a base, and a local window inside
-(key, shard) does the rest. Hot keys are cut by the shard, so no window group grows with a key.
-Shards come from the data alone, so a retried task gives the same result.
+A shard is any column that grows with the order key. There are as many as the rows ask for: at least
+``SHARDS`` (``KEY_SHARDS`` for seeded keys), then one per ``SHARD_ROWS`` rows, by a count that is read
+inside the query. Totals per shard form a table of one row per shard and key; its running sum gives
+every shard a base, and a local window inside (key, shard) does the rest. Hot keys are cut by the shard,
+so no window group grows with a key. Shards come from the data alone, so a retried task gives the same result.
 """
 
 from __future__ import annotations
@@ -13,32 +14,41 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-SHARDS = 256  # power of two; raise for very large inputs
-KEY_DIGITS = 3  # leading hexadecimal digits of a seeded key: 4,096 shards
+SHARDS = 256  # power of two: shards by quantiles
+KEY_SHARDS = 4096  # least shards of a seeded key
+SHARD_ROWS = 1 << 16  # rows of a shard beyond which there are more shards
 _SHARD = "_shard"
 
 
-def key_shard(key: str, digits: int = KEY_DIGITS) -> Column:
-    """Shard of a seeded hexadecimal key. The key is uniform, so shards are even."""
-    return F.substring(F.col(key), 1, digits)
+def key_shard(df: DataFrame, key: str) -> Column:
+    """Shard of a seeded hexadecimal key. The key is uniform, so shards are even, about ``SHARD_ROWS`` rows each in a large table."""
+    shards = df.agg(F.greatest(F.lit(KEY_SHARDS), F.ceil(F.count(F.lit(1)) / SHARD_ROWS)).cast("long").alias("n")).scalar()
+    leading = F.conv(F.substring(F.col(key), 1, 8), 16, 10).cast("long")
+    return F.shiftright(leading * shards, 32)
 
 
-def with_range_shard(df: DataFrame, order: str, shards: int = SHARDS) -> DataFrame:
-    """Add the shard of any numeric order column from its quantiles, so that clustered values are cut evenly.
+def with_range_shard(df: DataFrame, order: str, shards: int = SHARDS, rows: int | None = None) -> DataFrame:
+    """Add the shard of any numeric order column: its quantile range, cut evenly into parts of about ``rows`` rows.
 
-    The quantile sketch is one mergeable aggregate read through a scalar subquery;
-    the binary search costs log2(shards) steps per row.
+    Quantiles, ends and count are one mergeable aggregate read through a scalar subquery; the binary search
+    costs log2(shards) steps per row. Clustered values are cut by the quantiles, equal values share a shard.
     """
-    marks = [i / shards for i in range(1, shards)]
-    bounds = df.agg(F.percentile_approx(order, marks, 10000).alias("bounds")).scalar()
+    marks = [i / shards for i in range(shards + 1)]
+    parts = F.ceil(F.count(F.lit(1)) / (shards * (rows or SHARD_ROWS))).cast("long")
+    facts = df.agg(F.struct(F.percentile_approx(order, marks, 10000).alias("bounds"), parts.alias("parts")).alias("facts")).scalar()
     steps = F.array(*[F.lit(1 << i) for i in reversed(range(shards.bit_length() - 1))])
     found = F.aggregate(
         steps,
         F.lit(0),
-        lambda at, step: at + F.when(F.get(F.col("_bounds"), at + step - 1) <= F.col(order), step).otherwise(F.lit(0)),
+        lambda at, step: at + F.when(F.get(F.col("_facts.bounds"), at + step) <= F.col(order), step).otherwise(F.lit(0)),
     )
+    low, high = (F.get(F.col("_facts.bounds"), F.col(_SHARD) + i).cast("double") for i in (0, 1))
+    share = (F.col(order).cast("double") - low) / (high - low)
+    part = F.greatest(F.lit(0), F.least(F.col("_facts.parts") - 1, F.floor(share * F.col("_facts.parts"))))
+    fine = F.when(F.col("_facts.parts") > 1, F.col(_SHARD) * F.col("_facts.parts") + F.coalesce(F.when(high > low, part), F.lit(0)))
     # rows without an order key come first; a shard is never null, so no null check repeats the search
-    return df.withColumn("_bounds", bounds).withColumn(_SHARD, F.coalesce(found, F.lit(0))).drop("_bounds")
+    coarse = df.withColumn("_facts", facts).withColumn(_SHARD, F.coalesce(found, F.lit(0)))
+    return coarse.withColumn(_SHARD, F.coalesce(fine, F.col(_SHARD).cast("long"))).drop("_facts")
 
 
 def running_sums(
@@ -61,7 +71,7 @@ def running_sums(
     totals = tagged.groupBy(*keys, _SHARD).agg(*[F.sum(f"_v_{n}").alias(f"_t_{n}") for n in names])
     before = Window.partitionBy(*keys).orderBy(_SHARD).rowsBetween(Window.unboundedPreceding, -1)
     whole = Window.partitionBy(*keys)
-    # at most SHARDS (or 16 ** KEY_DIGITS) rows per key here
+    # one row per shard and key here
     bases = totals.select(
         *keys,
         _SHARD,
@@ -70,10 +80,11 @@ def running_sums(
     )
     inside = Window.partitionBy(*keys, _SHARD).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
     local = tagged.select("*", *[F.coalesce(F.sum(f"_v_{n}").over(inside), F.lit(0)).alias(f"_l_{n}") for n in names])
-    # Null keys are a group like any other; without keys, the bases are bounded by the number of shards.
+    # Null keys are a group like any other.
     own = bases.withColumnsRenamed({n: f"_of_{n}" for n in [*keys, _SHARD]})
-    same = [local[n].eqNullSafe(own[f"_of_{n}"]) for n in [*keys, _SHARD]]
-    joined = local.join(F.broadcast(own) if not keys else own, same).drop(*[f"_of_{n}" for n in [*keys, _SHARD]])
+    # a shard is never null: a plain equality lets the join use the exchange of the window
+    same = [local[n].eqNullSafe(own[f"_of_{n}"]) for n in keys] + [local[_SHARD] == own[f"_of_{_SHARD}"]]
+    joined = local.join(own, same).drop(*[f"_of_{n}" for n in [*keys, _SHARD]])
     running = [(F.col(f"_b_{n}") + F.col(f"_l_{n}")).alias(n) for n in names]
     return joined.select(*df.columns, *running, *[f"{n}_total" for n in names if totals_too])
 

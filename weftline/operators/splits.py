@@ -20,7 +20,8 @@ def _keyed(df: DataFrame, key: str, seed: int) -> DataFrame:
 
 def shuffle_global(df: DataFrame, key: str = "doc_id", seed: int = SHUFFLE_SEED) -> DataFrame:
     """Add ``position`` in the seeded order of the whole set."""
-    return ranked(_keyed(df, key, seed), ["_order", key], "position", shard=key_shard("_order")).drop("_order")
+    keyed = _keyed(df, key, seed)
+    return ranked(keyed, ["_order", key], "position", shard=key_shard(keyed, "_order")).drop("_order")
 
 
 def shuffle_buffered(df: DataFrame, buffer: int, key: str = "doc_id", seed: int = SHUFFLE_SEED) -> DataFrame:
@@ -46,7 +47,7 @@ def sample_limit(df: DataFrame, limit: int, key: str = "doc_id", seed: int = SHU
     if limit == -1:
         return df
     keyed = _keyed(df, key, seed)
-    marks = rank_marks(keyed, "_order", {"end": lambda n: F.lit(limit)}, key_shard("_order"))
+    marks = rank_marks(keyed, "_order", {"end": lambda n: F.lit(limit)}, key_shard(keyed, "_order"))
     return _where_within(keyed, marks, "end", F.col("_order")).drop("_order")
 
 
@@ -60,7 +61,7 @@ def split_head(df: DataFrame, dev: int, test: int, max_train: int = -1, key: str
     keyed = _keyed(df, key, seed)
     rules = {"dev": lambda n: F.lit(dev), "test": lambda n: F.lit(dev + test)}
     rules["train"] = lambda n: n if max_train == -1 else F.lit(dev + test + max_train)
-    return _label(keyed, rank_marks(keyed, "_order", rules, key_shard("_order")), list(rules))
+    return _label(keyed, rank_marks(keyed, "_order", rules, key_shard(keyed, "_order")), list(rules))
 
 
 def split_tail(df: DataFrame, dev: int, test: int, max_train: int = -1, key: str = "doc_id", seed: int = SHUFFLE_SEED) -> DataFrame:
@@ -76,7 +77,7 @@ def split_tail(df: DataFrame, dev: int, test: int, max_train: int = -1, key: str
         "dev": lambda n: train_end(n) + dev,
         "test": lambda n: n,
     }
-    marks = rank_marks(keyed, "_order", rules, key_shard("_order"))
+    marks = rank_marks(keyed, "_order", rules, key_shard(keyed, "_order"))
     return _label(keyed, marks, list(rules)).where(F.col("split") != "skipped")
 
 
@@ -99,7 +100,7 @@ def epoch_order(samples: DataFrame, epochs: int, key: str = "sample_id") -> Data
     """A fresh order per epoch, seeded by the epoch number."""
     copies = samples.withColumn("epoch", F.explode(F.sequence(F.lit(0), F.lit(epochs - 1))))
     keyed = copies.withColumn("_order", order_key(F.col("epoch").cast("string"), key))
-    return ranked(keyed, ["_order", key], "position", keys=["epoch"], shard=key_shard("_order")).drop("_order")
+    return ranked(keyed, ["_order", key], "position", keys=["epoch"], shard=key_shard(keyed, "_order")).drop("_order")
 
 
 def resume_order(order: DataFrame, step: int, batch: int) -> DataFrame:
