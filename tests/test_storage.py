@@ -52,6 +52,28 @@ def test_split_round_trip(spark, tmp_path, fmt):
     assert not (tmp_path / fmt / "lang=de" / "split=test").exists()
 
 
+@pytest.mark.parametrize("fmt", ["json", "text"])
+@pytest.mark.parametrize("split_bytes", ["134217728", "700"])
+def test_ordered_splits_give_positions_back(spark, tmp_path, fmt, split_bytes):
+    """Ties aside, the order written is the order read, also where files are read in pieces; null languages, nulls and odd texts stay."""
+    lang = F.when(F.col("id") % 3 > 0, "de").when(F.col("id") % 2 == 0, "fr")
+    text = F.concat(F.lit("a\r\\"), F.col("id").cast("string"), F.lit("\n\\n\u2028x"))
+    df = spark.range(600).select(lang.alias("lang"), F.when(F.col("id") < 90, "dev").otherwise("train").alias("split"), F.md5(F.col("id").cast("string")).alias("order"), text.alias("text"))
+    corpora.write_splits(df.repartition(5), f"file://{tmp_path}/s", fmt, order="order")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", split_bytes)
+    try:
+        back = corpora.read_ordered_splits(spark, f"file://{tmp_path}/s", T.StructType([T.StructField("text", T.StringType())]), fmt)
+        got = {(r["lang"], r["split"], r["position"]): r["text"] for r in back.collect()}
+        some = {(r["lang"], r["split"], r["position"]): r["text"] for r in back.where("lang = 'fr' and position < 7").collect()}
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    want = {}
+    for r in sorted(df.collect(), key=lambda r: r["order"]):
+        at = sum(1 for k in want if k[:2] == (r["lang"], r["split"]))
+        want[r["lang"], r["split"], at] = r["text"]
+    assert got == want and some == {k: t for k, t in want.items() if k[0] == "fr" and k[2] < 7}
+
+
 def test_contiguous_shards(spark, tmp_path):
     corpora.write_contiguous(spark.range(1000).orderBy(F.rand(1)), str(tmp_path / "s"), "id", 7)
     files = sorted((tmp_path / "s").glob("part-*"))

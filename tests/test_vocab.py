@@ -89,10 +89,12 @@ def test_training_text_limit(spark):
 def test_vocab_diff(spark):
     a = spark.createDataFrame([("x", 1), ("y", 2), ("z", 3)], "token string, id int")
     b = spark.createDataFrame([("x", 1), ("y", 5)], "token string, id int")
-    assert tuple(vocab.vocab_diff(a, b).first()) == (3, 2, 2, 1, 1, False)
-    assert tuple(vocab.vocab_diff(a, a).first()) == (3, 3, 3, 0, 3, True)
-    ids = {"unk": 0, "bos": 1, "eos": 2, "pad": 3}
-    assert vocab.special_ids_equal(ids, dict(ids)) and not vocab.special_ids_equal(ids, {**ids, "pad": 0})
+    assert tuple(vocab.vocab_diff(a, b).first()) == (3, 2, 2, 1, 1, False, True)
+    assert tuple(vocab.vocab_diff(a, a).first()) == (3, 3, 3, 0, 3, True, True)
+    full, ids = vocab.with_specials(a), {"<unk>": 0, "<s>": 1, "</s>": 2, "<pad>": 3}
+    assert tuple(vocab.vocab_diff(full, vocab.with_specials(b)).first()) == (7, 6, 6, 1, 5, False, True)
+    for other in ({**ids, "<pad>": 0}, {"<unk>": 0, "<s>": 1, "</s>": 2}):  # another id, and none on one side
+        assert not vocab.vocab_diff(full, vocab.with_specials(a, other)).first()["special_equal"]
 
 
 def test_encoding_and_byte_tokens(spark):
@@ -137,6 +139,9 @@ def test_manifest_width(spark):
     big = spark.range(65536 - 260 + 1).select(F.col("id").cast("string").alias("token"))
     facts = [vocab.manifest(v, "t", True, False, 1, 2).first()["data_dtype"] for v in (small, big)]
     assert facts == ["uint16", "uint32"]
+    assert "val_clipped_data_file" not in vocab.manifest(small, "t", True, False, 1, 2).columns
+    names = vocab.manifest(small, "t", True, False, 1, 2, clip=9).first()
+    assert (names["train_index_file"], names["val_clipped_data_file"]) == ("train.offsets.parquet", "val-clipped-9.tokens.parquet")
 
 
 def test_small_vocabulary_keeps_whole_texts(spark):

@@ -7,6 +7,9 @@ EOS_ID = 2
 PAD_ID = 3
 IGNORE_ID = -1
 
+# The tokens of the reserved ids.
+SPECIAL_TOKENS = {"<unk>": UNK_ID, "<s>": BOS_ID, "</s>": EOS_ID, "<pad>": PAD_ID}
+
 # Byte tokens follow the four special tokens, pieces follow the byte tokens.
 FIRST_BYTE_ID = 4
 FIRST_PIECE_ID = FIRST_BYTE_ID + 256

@@ -9,6 +9,7 @@ from ..functions.constants import (
     CHARACTER_COVERAGE,
     DEFAULT_VOCAB_SIZE,
     FIRST_PIECE_ID,
+    SPECIAL_TOKENS,
 )
 from ..functions.text import pieces
 
@@ -52,8 +53,18 @@ def build_vocab(freq: DataFrame, size: int = DEFAULT_VOCAB_SIZE) -> DataFrame:
     return top.select("token", (F.row_number().over(order) + FIRST_PIECE_ID - 1).alias("id"), "freq")
 
 
-def vocab_diff(left: DataFrame, right: DataFrame) -> DataFrame:
-    """Sizes, shared tokens, symmetric difference and id agreement of two vocabularies (token, id)."""
+def with_specials(vocab: DataFrame, specials: dict[str, int] = SPECIAL_TOKENS) -> DataFrame:
+    """(token, id) of a vocabulary and its special tokens."""
+    rows = F.explode(F.array(*[F.struct(F.lit(token).alias("token"), F.lit(ident).cast(vocab.schema["id"].dataType).alias("id")) for token, ident in specials.items()]))
+    own = vocab.sparkSession.range(1).select(rows.alias("r")).select("r.token", "r.id")
+    return vocab.select("token", "id").unionByName(own)
+
+
+def vocab_diff(left: DataFrame, right: DataFrame, specials: list[str] = list(SPECIAL_TOKENS)) -> DataFrame:
+    """Sizes, shared tokens, symmetric difference and id agreement of two vocabularies (token, id).
+
+    ``special_equal``: every special token has the same id in both, or is in neither.
+    """
     both = left.select("token", F.col("id").alias("a")).join(right.select("token", F.col("id").alias("b")), "token", "full")
     in_a, in_b = F.col("a").isNotNull(), F.col("b").isNotNull()
     same = in_a & in_b & (F.col("a") == F.col("b"))
@@ -64,17 +75,21 @@ def vocab_diff(left: DataFrame, right: DataFrame) -> DataFrame:
         F.count_if(in_a != in_b).alias("only_one"),
         F.count_if(same).alias("same_id"),
         (F.count_if(same) == F.count(F.lit(1))).alias("equal"),
+        (F.count_if(F.col("token").isin(specials) & ~same) == 0).alias("special_equal"),
     )
 
 
-def special_ids_equal(left: dict[str, int], right: dict[str, int]) -> bool:
-    """Whether unk, bos, eos and pad carry the same ids."""
-    return all(left.get(name) == right.get(name) for name in ("unk", "bos", "eos", "pad"))
+def table_names(clip: int | None = None) -> dict[str, str]:
+    """Names of the tables of a tokenised set: tokens and their index, of training, validation and clipped validation texts."""
+    sets = {"train": "train", "dev": "val"} | ({"val_clipped": f"val-clipped-{clip}"} if clip is not None else {})
+    kinds = {"data": "tokens", "index": "offsets"}
+    return {f"{name}_{kind}_file": f"{stem}.{suffix}.parquet" for name, stem in sets.items() for kind, suffix in kinds.items()}
 
 
-def manifest(vocab: DataFrame, tokenizer: str, prepend_bos: bool, append_eos: bool, bos_id: int, eos_id: int) -> DataFrame:
-    """One row of facts about a tokenised set; the vocabulary itself stays a table in id order."""
+def manifest(vocab: DataFrame, tokenizer: str, prepend_bos: bool, append_eos: bool, bos_id: int, eos_id: int, clip: int | None = None) -> DataFrame:
+    """One row of facts about a tokenised set; the vocabulary itself stays a table in id order. ``clip``: length of the clipped validation texts."""
     return vocab.agg(
+        *[F.lit(file).alias(name) for name, file in table_names(clip).items()],
         F.lit(tokenizer).alias("tokenizer"),
         F.lit(prepend_bos).alias("prepend_bos"),
         F.lit(append_eos).alias("append_eos"),

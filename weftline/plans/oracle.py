@@ -397,9 +397,10 @@ def build() -> dict[str, str]:
     sql["read_slice"] = "SELECT doc_id, lang FROM documents QUALIFY row_number() OVER (ORDER BY doc_id) <= floor((SELECT count(*) FROM documents) * 0.5)"
     sql["scan_jsonl"] = "SELECT text, count(*) AS n FROM documents GROUP BY text"
     head = f"CASE WHEN r < {DEV} THEN 'dev' WHEN r < {DEV + TEST} THEN 'test' WHEN r < {DEV + TEST + TRAIN_CAP} THEN 'train' END"
-    sql["sink_roundtrip"] = with_(RANKED) + f"""SELECT d.lang, s.split, d.text, count(*) AS n, f.format FROM documents d JOIN (
-      SELECT doc_id, CASE WHEN r < {DEV} THEN 'dev' WHEN r < {DEV + TRAIN_CAP} THEN 'train' END AS split FROM ranked) s USING (doc_id),
-      (VALUES ('json'), ('text')) f(format) WHERE s.split IS NOT NULL GROUP BY ALL"""
+    sql["sink_roundtrip"] = with_(RANKED) + f"""SELECT d.lang, s.split, row_number() OVER (PARTITION BY d.lang, s.split, f.format ORDER BY s.r) - 1 AS position,
+      d.text, f.format FROM documents d JOIN (
+      SELECT doc_id, r, CASE WHEN r < {DEV} THEN 'dev' WHEN r < {DEV + TRAIN_CAP} THEN 'train' END AS split FROM ranked) s USING (doc_id),
+      (VALUES ('json'), ('text')) f(format) WHERE s.split IS NOT NULL"""
     sql["materialise_reuse"] = "SELECT lang, count(*) AS docs, sum(n_chars)::BIGINT AS chars, count(*) AS docs_again FROM documents GROUP BY lang"
     sql["token_shards"] = with_(*TOKENS) + "SELECT count(*) AS docs, sum(len)::BIGINT AS tokens, sum(list_sum(ids))::BIGINT AS id_sum, 0::BIGINT AS overlaps FROM tok"
     sql["token_text"] = f"SELECT doc_id, array_to_string({pieces('text')}, ' ') AS line FROM documents"
@@ -445,11 +446,18 @@ def build() -> dict[str, str]:
     sql["doc_offsets"] = with_(*TOKENS, OFFSETS) + "SELECT doc_id, len::INTEGER AS len, doc_idx, start FROM offs"
     sql["offset_check"] = with_(*TOKENS, OFFSETS) + """SELECT count(*) AS docs, sum(len)::BIGINT AS tokens, min(start) AS first_start,
       sum(CASE WHEN nxt <> start + len THEN 1 ELSE 0 END)::BIGINT AS gaps, 0::BIGINT AS border_errors FROM (SELECT *, lead(start) OVER (ORDER BY doc_idx) AS nxt FROM offs)"""
-    sql["manifest"] = with_(WORDS, vocab("v")) + """SELECT 'pieces' AS tokenizer, false AS prepend_bos, true AS append_eos, 1 AS bos_token_id, 2 AS eos_token_id,
+    sql["manifest"] = with_(WORDS, vocab("v")) + """SELECT 'train.tokens.parquet' AS train_data_file, 'train.offsets.parquet' AS train_index_file,
+      'val.tokens.parquet' AS dev_data_file, 'val.offsets.parquet' AS dev_index_file,
+      'val-clipped-64.tokens.parquet' AS val_clipped_data_file, 'val-clipped-64.offsets.parquet' AS val_clipped_index_file,
+      'pieces' AS tokenizer, false AS prepend_bos, true AS append_eos, 1 AS bos_token_id, 2 AS eos_token_id,
       count(*) + 260 AS vocab_size, CASE WHEN count(*) + 260 <= 65536 THEN 'uint16' ELSE 'uint32' END AS data_dtype, 'uint64' AS doc_offset_dtype FROM v"""
-    sql["vocab_diff"] = with_(WORDS, vocab("a", lang="en"), vocab("b", lang="de")) + """SELECT count(a.id) AS left_size, count(b.id) AS right_size,
-      count(*) FILTER (a.id IS NOT NULL AND b.id IS NOT NULL) AS shared, count(*) FILTER ((a.id IS NULL) <> (b.id IS NULL)) AS only_one,
-      count(*) FILTER (a.id = b.id) AS same_id, count(*) FILTER (a.id = b.id) = count(*) AS equal FROM a FULL JOIN b USING (token)"""
+    marks = "(VALUES ('<unk>', 0), ('<s>', 1), ('</s>', 2), ('<pad>', 3)) m(token, id)"
+    sql["vocab_diff"] = with_(WORDS, vocab("a", lang="en"), vocab("b", lang="de")) + f""", l AS (SELECT token, id FROM a UNION ALL FROM {marks}),
+      r AS (SELECT token, id FROM b UNION ALL FROM {marks})
+      SELECT count(l.id) AS left_size, count(r.id) AS right_size,
+      count(*) FILTER (l.id IS NOT NULL AND r.id IS NOT NULL) AS shared, count(*) FILTER ((l.id IS NULL) <> (r.id IS NULL)) AS only_one,
+      count(*) FILTER (l.id = r.id) AS same_id, count(*) FILTER (l.id = r.id) = count(*) AS equal,
+      count(*) FILTER (l.id = r.id AND token IN (SELECT token FROM {marks})) = 4 AS special_equal FROM l FULL JOIN r USING (token)"""
 
     sql["pack_greedy"] = with_(*TOKENS, PACK) + "SELECT sample_id, doc_id FROM members"
     sql["pack_report"] = with_(*TOKENS, PACK) + REPORT

@@ -12,7 +12,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.arrays import ensure_bos
-from ..functions.constants import BOS_ID, EOS_ID
+from ..functions.constants import BOS_ID, EOS_ID, SHUFFLE_SEED
+from ..functions.draws import order_key
 from ..functions.text import pieces
 from ..operators import aligned, benchlog, bpe, corpus, encode, evaluate, index, merges, overlap, packing
 from ..operators import samples as shaping
@@ -88,15 +89,15 @@ def scan_jsonl(spark, sf_dir):
 
 @query
 def sink_roundtrip(spark, sf_dir):
-    """Splits written as JSON and as text and read back; a split of size 0 leaves no folder."""
+    """Splits written in shuffled order as JSON and as text, read back with their positions; a split of size 0 leaves no folder."""
     docs = splits.split_head(derived.documents(spark, sf_dir).select("doc_id", "text", "lang"), DEV, 0, TRAIN_CAP)
+    mixed = docs.withColumn("order", order_key(SHUFFLE_SEED, "doc_id"))
     folder = fresh_folder(spark, "sink")
-    schema = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("text", T.StringType())])
+    schema = T.StructType([T.StructField("text", T.StringType())])
     out = None
     for fmt in ("json", "text"):
-        corpora.write_splits(docs, f"{folder}/{fmt}", fmt)
-        back = corpora.read_splits(spark, f"{folder}/{fmt}", schema, fmt)
-        part = back.groupBy("lang", "split", "text").agg(F.count(F.lit(1)).alias("n")).withColumn("format", F.lit(fmt))
+        corpora.write_splits(mixed, f"{folder}/{fmt}", fmt, order="order")
+        part = corpora.read_ordered_splits(spark, f"{folder}/{fmt}", schema, fmt).withColumn("format", F.lit(fmt))
         out = part if out is None else out.unionByName(part)
     return out
 
@@ -319,12 +320,12 @@ def offset_check(spark, sf_dir):
 @query
 def manifest(spark, sf_dir):
     words = derived.corpus_vocab(spark, sf_dir, vocab.DEFAULT_VOCAB_SIZE)
-    return vocab.manifest(words, "pieces", False, True, BOS_ID, EOS_ID)
+    return vocab.manifest(words, "pieces", False, True, BOS_ID, EOS_ID, clip=64)
 
 
 @query
 def vocab_diff(spark, sf_dir):
-    return vocab.vocab_diff(derived.language_vocab(spark, sf_dir, "en"), derived.language_vocab(spark, sf_dir, "de"))
+    return vocab.vocab_diff(*[vocab.with_specials(derived.language_vocab(spark, sf_dir, lang)) for lang in ("en", "de")])
 
 
 # --- samples ---
@@ -645,21 +646,18 @@ def log_oom(spark, sf_dir):
 # --- streams ---
 
 
-def _landed(spark, df: DataFrame, order: str, parts: int) -> str:
-    """Land a table as files that arrive one after the other along ``order``."""
-    folder = fresh_folder(spark, "landing")
+def _streamed(spark, df: DataFrame, order: str, start: Callable[[DataFrame, str], object], parts: int = 3) -> str:
+    """Land a table in parts along ``order``, each as as many files as Spark writes, and let the stream go on after each part.
+
+    The stream starts again from its checkpoint, so what arrived in a part is one micro-batch. Rows without an order come first.
+    """
+    landing, folder = fresh_folder(spark, "landing"), fresh_folder(spark, "stream")
     bounds = df.agg(F.min(order).alias("lo"), F.max(order).alias("hi")).first()
-    width = (bounds["hi"] - bounds["lo"]) // parts + 1
+    low, width = bounds["lo"] or 0, ((bounds["hi"] or 0) - (bounds["lo"] or 0)) // parts + 1
+    part = F.coalesce(F.floor((F.col(order) - low) / width), F.lit(0))
     for i in range(parts):
-        low = bounds["lo"] + i * width
-        df.where((F.col(order) >= low) & (F.col(order) < low + width)).coalesce(1).write.mode("append").parquet(folder)
-    return folder
-
-
-def _streamed(spark, df: DataFrame, order: str, start: Callable[[DataFrame, str], object], parts: int = 3) -> str:
-    landing, folder = _landed(spark, df, order, parts), fresh_folder(spark, "stream")
-    stream = spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(landing)
-    start(stream, folder).awaitTermination()
+        df.where(part == i).write.mode("append").parquet(landing)
+        start(spark.readStream.schema(df.schema).parquet(landing), folder).awaitTermination()
     return f"{folder}/out"
 
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -67,30 +67,64 @@ def read_texts(spark: SparkSession, path: str) -> DataFrame:
     raise ValueError(f"expected .json, .jsonl or .txt: {path}")
 
 
-def write_splits(df: DataFrame, path: str, fmt: str = "json") -> None:
+def write_splits(df: DataFrame, path: str, fmt: str = "json", order: str | None = None) -> None:
     """One folder per language and split. A split without rows writes nothing.
 
-    The text format keeps one document per line by escaping backslashes, line feeds and carriage returns.
+    With ``order`` the rows of a split are in that order, by number of the file, then by line; ``read_ordered_splits`` gives
+    their places back. The column itself is not written. The text format keeps one document per line by escaping
+    backslashes, line feeds and carriage returns.
     """
     writer = df
+    if order:
+        place = ["lang", "split", order]
+        writer = df.repartitionByRange(*place).sortWithinPartitions(*place)
     if fmt == "text":
         escaped = F.replace(F.replace(F.col("text"), F.lit("\\"), F.lit("\\\\")), F.lit("\n"), F.lit("\\n"))
         escaped = F.replace(escaped, F.lit("\r"), F.lit("\\r"))
-        writer = df.select("lang", "split", escaped.alias("text"))
+        writer = writer.select("lang", "split", escaped.alias("text"))
+    elif order:
+        writer = writer.drop(order)
     writer.write.mode("overwrite").partitionBy("lang", "split").format(fmt).save(path)
 
 
+def _unescaped(line: str) -> Column:
+    # Between escaped backslashes, the other escapes stand alone.
+    plain = F.transform(F.split(line, r"\\\\"), lambda x: F.replace(F.replace(x, F.lit("\\n"), F.lit("\n")), F.lit("\\r"), F.lit("\r")))
+    return F.array_join(plain, "\\")
+
+
 def read_splits(spark: SparkSession, path: str, schema: T.StructType, fmt: str = "json") -> DataFrame:
     """Read written splits; language and split are folder columns, so filters on them prune."""
     full = T.StructType([*schema.fields, T.StructField("lang", T.StringType()), T.StructField("split", T.StringType())])
     if fmt == "text":
-        # Between escaped backslashes, the other escapes stand alone.
-        plain = F.transform(F.split("value", r"\\\\"), lambda x: F.replace(F.replace(x, F.lit("\\n"), F.lit("\n")), F.lit("\\r"), F.lit("\r")))
-        unescaped = F.array_join(plain, "\\")
-        return spark.read.text(path).select(unescaped.alias("text"), "lang", "split")
+        return spark.read.text(path).select(_unescaped("value").alias("text"), "lang", "split")
     return spark.read.schema(full).format(fmt).load(path)
 
 
+def read_ordered_splits(spark: SparkSession, path: str, schema: T.StructType, fmt: str = "json") -> DataFrame:
+    """Splits written in an order, as JSON or text lines, with ``position`` from 0 in each language and split.
+
+    A file is read in pieces, whose rows Spark numbers in turn. The index has one row per piece: its first number and the rows
+    before it in its split. So a row's position needs no sort and no window over the texts. Null languages are a group like any other.
+    """
+    folders = [T.StructField("lang", T.StringType()), T.StructField("split", T.StringType())]
+    lines = T.StructType([T.StructField("value", T.StringType()), *folders])
+    number = F.regexp_extract("_metadata.file_name", "part-([0-9]+)", 1).cast("long")
+    place = [number.alias("_no"), F.col("_metadata.file_name").alias("_file"), F.col("_metadata.file_block_start").alias("_at")]
+    # both formats are read as lines, and parsed after the numbers are given: a record that is dropped would shift the others
+    read = spark.read.schema(lines).option("lineSep", "\n").text(path)
+    raw = read.select("lang", "split", "value", *place, F.monotonically_increasing_id().alias("_row"))
+    keys = ["lang", "split", "_no", "_file", "_at"]
+    pieces = raw.groupBy(*keys).agg(F.min("_row").alias("_first"), F.count(F.lit(1)).alias("_rows"))
+    before = Window.partitionBy("lang", "split").orderBy("_no", "_file", "_at").rowsBetween(Window.unboundedPreceding, -1)
+    index = pieces.withColumn("_base", F.coalesce(F.sum("_rows").over(before), F.lit(0))).withColumnsRenamed({k: f"_of{k}" for k in keys})
+    rows = raw.join(index, [raw[k].eqNullSafe(index[f"_of{k}"]) for k in keys])
+    position = (F.col("_base") + F.col("_row") - F.col("_first")).alias("position")
+    if fmt == "text":
+        return rows.select("lang", "split", position, _unescaped("value").alias("text"))
+    return rows.select("lang", "split", position, F.from_json("value", schema).alias("_record")).select("lang", "split", "position", "_record.*")
+
+
 def write_lines(df: DataFrame, path: str, column: str = "line") -> None:
     """One text line per row, as vector trainers read it."""
     df.select(column).write.mode("overwrite").text(path)
