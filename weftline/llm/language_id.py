@@ -22,12 +22,16 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
+from weftline.functions.text import slices
 from weftline.llm.common import STEP_BYTES, batches, constants, mix, only, signed, worker_cache
 
 #: Lengths of grams in characters, with one space at each end of a word.
 SIZES = (3, 4)
 UNKNOWN = "und"
+#: Bytes of text that a task holds as Python strings at a time.
+SLICE_BYTES = 1 << 22
 
 
 def letters() -> np.ndarray:
@@ -77,7 +81,7 @@ def grams(texts: list[str | None]) -> Iterator[tuple[int, int, np.ndarray, np.nd
 
 def _count(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     schema = pa.schema([("lang", pa.string()), ("gram", pa.int64()), ("n", pa.int64())])
-    for part in parts:
+    for part in (whole.slice(*s) for whole in parts for s in slices(whole.column(1), SLICE_BYTES)):
         langs = np.array(part.column(0).to_pylist(), object)
         texts = part.column(1).to_pylist()
         for lang in sorted(set(langs)):
@@ -166,19 +170,25 @@ def predict(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str
     sent = docs.sparkSession.sparkContext.broadcast((model.languages, model.table, model.hashes, model.false_rate))
     names = [*dict.fromkeys([id_col, *keep])]
 
+    given = [f.dataType for f in docs.select(*names).schema if f.name == text_col]
+    at = names.index(text_col) if given == [StringType()] else len(names)
+
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = Model(*sent.value)
-        for part in parts:
-            n, rate = shares(known, part.column(part.num_columns - 1).to_pylist())
-            if known.languages:
-                best = rate.argmax(axis=1)
-                score = np.where(n > 0, rate[np.arange(len(n)), best], 0.0)
-                lang = [known.languages[i] if k else UNKNOWN for i, k in zip(best.tolist(), n.tolist())]
-            else:
-                score, lang = np.zeros(len(n)), [None if k else UNKNOWN for k in n.tolist()]
-            yield pa.RecordBatch.from_arrays([*part.columns[:-1], pa.array(lang, pa.string()), pa.array(score, pa.float64())], [*names, *named])
-
-    rows = docs.select(*names, F.col(text_col).cast("string").alias("__text"))
+        for whole in parts:
+            for start, length in slices(whole.column(at), SLICE_BYTES):
+                part = whole.slice(start, length)
+                n, rate = shares(known, part.column(at).to_pylist())
+                if known.languages:
+                    best = rate.argmax(axis=1)
+                    score = np.where(n > 0, rate[np.arange(len(n)), best], 0.0)
+                    lang = [known.languages[i] if k else UNKNOWN for i, k in zip(best.tolist(), n.tolist())]
+                else:
+                    score, lang = np.zeros(len(n)), [None if k else UNKNOWN for k in n.tolist()]
+                yield pa.RecordBatch.from_arrays([*part.columns[: len(names)], pa.array(lang, pa.string()), pa.array(score, pa.float64())], [*names, *named])
+
+    # a text that is kept anyway is sent once
+    rows = docs.select(*names, *([] if at < len(names) else [F.col(text_col).cast("string").alias("__text")]))
     ddl = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*names).schema)
     return rows.mapInArrow(run, f"{ddl}, `{named[0]}` string, `{named[1]}` double")
 
