@@ -103,7 +103,7 @@ def _encode_texts(texts: pa.Array, encoder) -> pa.Array:
     found = words(texts)
     coded = found.flatten().dictionary_encode()
     own = word_pieces(coded.dictionary)
-    ids = encoder.arrow(own.flatten()) if isinstance(encoder, _VocabEncoder) else pa.array(encoder(own.flatten().to_pylist()), pa.list_(pa.int32()))
+    ids = encoder.arrow(own.flatten()) if hasattr(encoder, "arrow") else pa.array(encoder(own.flatten().to_pylist()), pa.list_(pa.int32()))
     # a word's ids are those of its pieces
     known = pa.ListArray.from_arrays(ids.offsets.take(own.offsets).cast(pa.int32()), ids.values)
     flat = known.take(coded.indices)
